@@ -34,42 +34,48 @@ RULES = (
 )
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.char_length(F.translate(text, chars, ""))
+_OWN = ("_t", "_s", "_words", "_lines", "_h", "_grams", "_twice", "_at", "_m")
+
+
+def _count(chars: str) -> Column:
+    return F.char_length(F.regexp_replace("_s", f"[^{chars}]+", "")).cast("bigint")
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """``docs`` with the counts of each whole text; a null text has none."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(WHITE))
-    out = docs.drop("_t", "_words", "_lines", "_grams", "_at").withColumn("_t", text)
+    out = docs.drop(*_OWN).withColumn("_t", text)
     out = out.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT)))
     out = out.withColumn("_lines", F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != ""))
-    # digests of the 3-word windows with their place, in order: equal windows are neighbours
+    # what is left without small letters and letters beyond ASCII holds all other counts
+    out = out.withColumn("_s", F.regexp_replace("_t", "[^\\x00-\\x60\\x7B-\\x7F]+", ""))
     out = out.withColumn(
-        "_grams",
+        "_h",
         F.expr(
-            """array_sort(transform(slice(zip_with(zip_with(_words, slice(_words, 2, size(_words)), (a, b) -> struct(a, b)),
-               slice(_words, 3, size(_words)), (p, c) -> xxhash64(p.a, p.b, c)), 1, greatest(size(_words) - 2, 0)), (h, i) -> struct(h, i)))"""
+            """slice(zip_with(zip_with(_words, slice(_words, 2, size(_words)), (a, b) -> struct(a, b)),
+               slice(_words, 3, size(_words)), (p, c) -> xxhash64(p.a, p.b, c)), 1, greatest(size(_words) - 2, 0))"""
         ),
     )
+    # digests of the 3-word windows with their place, in order, where any occurs twice: equal windows are neighbours
+    out = out.withColumn("_grams", F.expr("if(size(array_distinct(_h)) < size(_h), array_sort(transform(_h, (h, i) -> struct(h, i))), cast(array() as array<struct<h: bigint, i: int>>))"))
     out = out.withColumn("_twice", F.expr("filter(zip_with(_grams, slice(_grams, 2, size(_grams)), (x, y) -> if(x.h = y.h, struct(x.i as a, y.i as b), null)), z -> z is not null)"))
     out = out.withColumn("_at", F.expr("array_sort(array_union(transform(_twice, z -> z.a), transform(_twice, z -> z.b)))"))
     stop = F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))
     counts = F.struct(
         F.size("_words").cast("bigint").alias("n_words"),
-        _without(F.col("_t"), WHITE).cast("bigint").alias("word_chars"),
-        (F.char_length("_t") - _without(F.col("_t"), SYMBOLS)).cast("bigint").alias("n_symbols"),
+        (F.char_length("_t") - _count("\\x20\\x09-\\x0D")).alias("word_chars"),
+        _count(SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.expr("aggregate(zip_with(_at, slice(_at, 2, size(_at)), (p, q) -> least(3, coalesce(q - p, 3))), 0L, (s, x) -> s + x)").alias("n_repeat_words"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         F.size(stop).cast("bigint").alias("n_stop_words"),
-        (F.char_length("_t") - _without(F.col("_t"), UPPER)).cast("bigint").alias("n_capitals"),
-        (F.char_length("_t") - _without(F.col("_t"), "!")).cast("bigint").alias("n_exclamations"),
-        (F.char_length("_t") - _without(F.col("_t"), "0123456789")).cast("bigint").alias("n_digits"),
+        _count("A-Z").alias("n_capitals"),
+        _count("!").alias("n_exclamations"),
+        _count("0-9").alias("n_digits"),
     )
     # one generated row each: a filter on a count stays above it and does not count again
-    kept = [f"`{c}`" for c in docs.columns if c not in ("_t", "_words", "_lines", "_grams", "_at", "_twice", "_m")]
+    kept = [f"`{c}`" for c in docs.columns if c not in _OWN]
     return out.select(*kept, F.explode(F.array(counts)).alias("_m")).select(*kept, "_m.*")
 
 
