@@ -1,8 +1,9 @@
 """Byte-level BPE over a global distinct-word shuffle.
 
-Texts are cut in pre-tokens.  A chunk of texts keeps its sequence of local word numbers, so that
-each distinct word leaves it once; all chunks' words meet in one shuffle, where each distinct
-word is encoded once, and the ids go back to the chunks by a join.  There the sequence puts
+Texts are cut in pre-tokens.  A chunk of texts keeps its sequence of local word numbers, the
+positions, so that each distinct word leaves it once.  Words are dealt by digest over buckets and
+travel packed, one row a chunk and bucket; all chunks' words of a bucket meet in one task, which
+encodes each distinct word once and sends its ids back to the chunks.  There the sequence puts
 them in place.  Decoding joins the table of token bytes, which is as large as the vocabulary
 and so is broadcast.
 """
@@ -12,6 +13,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise
+from .common import as_bytes, materialise_by
 
 #: Characters of text in one chunk: bounds what a task holds at once.
 CHUNK = 8_000_000
@@ -37,14 +40,14 @@ def _encoder(ranks: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
 
 
-PART = "chunk bigint, k int, word binary, rest binary, lengths binary, seq binary"
+PART = "chunk bigint, bucket int, words binary, rest binary, lengths binary, seq binary, dealt binary"
 
 
-def _pack(seq: np.ndarray) -> bytes:
-    """Word numbers by planes of bytes, compressed: frequent words have small numbers."""
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed: small ones are mostly zeros."""
     import zstandard
 
-    return zstandard.compress(seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -53,6 +56,22 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    import zstandard
+
+    sizes = np.array([len(words), *map(len, words)], "<u4").tobytes()
+    return zstandard.compress(sizes + b"".join(words), 3)
+
+
+def _unpack_words(packed: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
+
+
 def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -60,8 +79,8 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _chunks(pattern: str):
-    """Rows of two kinds: a chunk (the other columns of its texts, tokens per text, word numbers), and each of its words."""
+def _chunks(pattern: str, buckets: int):
+    """Rows of two kinds: a chunk (other columns of its texts, tokens per text, word numbers, bucket of each word), and its words of a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -81,51 +100,74 @@ def _chunks(pattern: str):
                     lengths.append(len(words))
                     size += len(texts[at] or "")
                     at += 1
-                n = len(number)
                 done += 1
+                raw = [w.encode() for w in number]
+                dealt = np.fromiter((crc32(w) % buckets for w in raw), np.uint16, len(raw))
+                order = np.argsort(dealt, kind="stable").tolist()
+                used, starts = np.unique(dealt[order], return_index=True)
+                packed = [_pack_words([raw[i] for i in order[x:y]]) for x, y in zip(starts.tolist(), [*starts.tolist()[1:], len(order)], strict=True)] if raw else []
+                n = len(packed)
                 yield pa.record_batch(
                     [
                         pa.array([part + done] * (n + 1), pa.int64()),
-                        pa.array([None, *range(n)], pa.int32()),
-                        pa.array([None, *(w.encode() for w in number)], pa.binary()),
+                        pa.array([None, *used.tolist()], pa.int32()),
+                        pa.array([None, *packed], pa.binary()),
                         pa.array([_ipc(others.slice(first, at - first))] + [None] * n, pa.binary()),
                         pa.array([np.array(lengths, np.int64).tobytes()] + [None] * n, pa.binary()),
                         pa.array([_pack(np.concatenate(seq))] + [None] * n, pa.binary()),
+                        pa.array([_pack(dealt)] + [None] * n, pa.binary()),
                     ],
-                    names=["chunk", "k", "word", "rest", "lengths", "seq"],
+                    names=["chunk", "bucket", "words", "rest", "lengths", "seq", "dealt"],
                 )
 
     return run
 
 
 def _encode_words(ranks: str, pattern: str):
+    """The ids of each chunk's words, for rows in bucket order; a bucket's distinct words are encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks, pattern).encode_ordinary
+        bucket, known = None, {}
         for b in batches:
-            ids = [np.array(encode(w.decode()), np.uint32).tobytes() for w in as_bytes(b.column("word"))]
-            yield pa.record_batch([b.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
+            counts, ids = [], []
+            for k, packed in zip(b.column("bucket").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if k != bucket:
+                    bucket, known = k, {}
+                own = []
+                for w in _unpack_words(packed):
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = encode(w.decode())
+                    own.append(got)
+                counts.append(_pack(np.fromiter(map(len, own), np.uint32, len(own))))
+                ids.append(_pack(np.fromiter(chain.from_iterable(own), np.uint32)))
+            yield pa.record_batch([b.column("chunk"), b.column("bucket"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], names=["of", "bucket", "counts", "ids"])
 
     return run
 
 
 def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
     """One chunk: its words' ids put in the place of its word numbers."""
-    k = right.column("k").to_numpy()
-    ids = as_bytes(right.column("ids"))
-    ids = [ids[i] for i in np.argsort(k).tolist()]
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    size = np.array([len(x) // 4 for x in ids], np.int64)
-    start = np.cumsum(size) - size
     (chunk,) = left.to_pylist()
     with pa.ipc.open_stream(chunk["rest"]) as f:
         rest = f.read_all()
+    back = sorted(right.to_pylist(), key=lambda r: r["bucket"])
+    empty = np.empty(0, np.uint32)
+    flat = np.concatenate([empty, *(_unpack(r["ids"]) for r in back)])
+    dealt = _unpack(chunk["dealt"])
+    size = np.empty(len(dealt), np.int64)
+    order = np.argsort(dealt, kind="stable")
+    size[order] = np.concatenate([empty, *(_unpack(r["counts"]) for r in back)])
+    start = np.empty(len(dealt), np.int64)
+    start[order] = np.cumsum(size[order]) - size[order]
     seq, end, out = _unpack(chunk["seq"]), 0, []
     for n in np.frombuffer(chunk["lengths"], np.int64).tolist():
         s = seq[end : end + n]
         end += n
         count = size[s]
         at = np.repeat(start[s] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        out.append(flat[at].tobytes())
+        out.append(flat[at].astype("<u4").tobytes())
     return rest.append_column("ids", pa.array(out, pa.binary()))
 
 
@@ -152,11 +194,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """
     rest = [f for f in docs.schema if f.name not in ("text", "ids")]
     names = [f"`{f.name}`" for f in rest]
-    parts = materialise(docs.select(*names, F.col("text")).mapInArrow(_chunks(pattern), PART))
-    words = parts.where("word is not null").select("chunk", "k", "word")
-    coded = words.select("word").distinct().mapInArrow(_encode_words(ranks, pattern), "word binary, ids binary")
-    back = words.join(coded, "word").select(F.col("chunk").alias("of"), "k", "ids")
-    chunks = parts.where("seq is not null").select("chunk", "rest", "lengths", "seq")
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialise_by(docs.select(*names, F.col("text")).mapInArrow(_chunks(pattern, min(60_000, 2 * shuffled)), PART), "chunk", shuffled)
+    words = parts.where("bucket is not null").select("chunk", "bucket", "words")
+    back = words.repartition(shuffled, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks, pattern), "of bigint, bucket int, counts binary, ids binary")
+    chunks = parts.where("seq is not null").select("chunk", "rest", "lengths", "seq", "dealt")
     schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rest, strict=True)] + ["ids binary"])
     return chunks.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_assemble, schema)
 

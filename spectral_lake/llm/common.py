@@ -36,6 +36,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The same, as a table bucketed by ``key``: later grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``; root is the least node reachable.
 
