@@ -484,7 +484,7 @@ def cv_unknown_by_prefix(spark, d):
     return ontology.unknown_by_prefix(src.params(spark, d), src.terms(spark, d))
 
 
-@query("SELECT file, count(*) AS total, count(name) AS known, string_agg(DISTINCT CASE WHEN name IS NULL THEN accession END, ',' ORDER BY CASE WHEN name IS NULL THEN accession END) AS unknown FROM params LEFT JOIN terms USING (accession) GROUP BY 1", "params terms")
+@query("SELECT file, count(*) AS total, count(name) AS known, coalesce(string_agg(DISTINCT CASE WHEN name IS NULL THEN accession END, ',' ORDER BY CASE WHEN name IS NULL THEN accession END), '') AS unknown FROM params LEFT JOIN terms USING (accession) GROUP BY 1", "params terms")
 def cv_directory_rollup(spark, d):
     return ontology.rollup_by_file(src.params(spark, d), src.terms(spark, d))
 
