@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialise_by
+from .common import as_bytes, bounded_batches, lean, materialise_by, trim
 
 #: Characters of text in one chunk: bounds what a task holds at once.
 CHUNK = 8_000_000
@@ -72,53 +72,63 @@ def _unpack_words(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
 
 
-def _ipc(batch: pa.RecordBatch) -> bytes:
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for b in batches:
+            out.write_batch(b)
     return sink.getvalue().to_pybytes()
 
 
 def _chunks(pattern: str, buckets: int):
     """Rows of two kinds: a chunk (other columns of its texts, tokens per text, word numbers, bucket of each word), and its words of a bucket."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find, done = regex.compile(pattern).findall, 0
         part = TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            raw = [w.encode() for w in number]
+            dealt = np.fromiter((crc32(w) % buckets for w in raw), np.uint16, len(raw))
+            order = np.argsort(dealt, kind="stable").tolist()
+            used, starts = np.unique(dealt[order], return_index=True)
+            ends = [*starts.tolist()[1:], len(order)]
+            packed = [_pack_words([raw[i] for i in order[x:y]]) for x, y in zip(starts.tolist(), ends, strict=True)] if raw else []
+            n = len(packed)
+            return pa.record_batch(
+                [
+                    pa.array([part + done] * (n + 1), pa.int64()),
+                    pa.array([None, *used.tolist()], pa.int32()),
+                    pa.array([None, *packed], pa.binary()),
+                    pa.array([_ipc(rest)] + [None] * n, pa.binary()),
+                    pa.array([np.array(lengths, np.int64).tobytes()] + [None] * n, pa.binary()),
+                    pa.array([_pack(np.concatenate(seq))] + [None] * n, pa.binary()),
+                    pa.array([_pack(dealt)] + [None] * n, pa.binary()),
+                ],
+                names=["chunk", "bucket", "words", "rest", "lengths", "seq", "dealt"],
+            )
+
+        number: dict[str, int] = {}
+        rest, lengths, seq, size = [], [], [], 0
         for b in batches:
-            texts = b.column("text").to_pylist()
-            others = b.drop_columns(["text"])
-            at = 0
-            while at < len(texts):
-                number: dict[str, int] = {}
-                first, lengths, seq, size = at, [], [], 0
-                while at < len(texts) and (at == first or size + len(texts[at] or "") <= CHUNK):
-                    words = find(texts[at] or "")
-                    seq.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
-                    lengths.append(len(words))
-                    size += len(texts[at] or "")
-                    at += 1
-                done += 1
-                raw = [w.encode() for w in number]
-                dealt = np.fromiter((crc32(w) % buckets for w in raw), np.uint16, len(raw))
-                order = np.argsort(dealt, kind="stable").tolist()
-                used, starts = np.unique(dealt[order], return_index=True)
-                packed = [_pack_words([raw[i] for i in order[x:y]]) for x, y in zip(starts.tolist(), [*starts.tolist()[1:], len(order)], strict=True)] if raw else []
-                n = len(packed)
-                yield pa.record_batch(
-                    [
-                        pa.array([part + done] * (n + 1), pa.int64()),
-                        pa.array([None, *used.tolist()], pa.int32()),
-                        pa.array([None, *packed], pa.binary()),
-                        pa.array([_ipc(others.slice(first, at - first))] + [None] * n, pa.binary()),
-                        pa.array([np.array(lengths, np.int64).tobytes()] + [None] * n, pa.binary()),
-                        pa.array([_pack(np.concatenate(seq))] + [None] * n, pa.binary()),
-                        pa.array([_pack(dealt)] + [None] * n, pa.binary()),
-                    ],
-                    names=["chunk", "bucket", "words", "rest", "lengths", "seq", "dealt"],
-                )
+            others, first = b.drop_columns(["text"]), 0
+            for at, text in enumerate(as_bytes(b.column("text"))):
+                text = (text or b"").decode()
+                if lengths and size + len(text) > CHUNK:
+                    rest.append(others.slice(first, at - first))
+                    first = at
+                    yield flush()
+                    number, rest, lengths, seq, size, done = {}, [], [], [], 0, done + 1
+                words = find(text)
+                seq.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
+                lengths.append(len(words))
+                size += len(text)
+            rest.append(others.slice(first))
+        if lengths:
+            yield flush()
 
     return run
 
@@ -126,6 +136,7 @@ def _chunks(pattern: str, buckets: int):
 def _encode_words(ranks: str, pattern: str):
     """The ids of each chunk's words, for rows in bucket order; a bucket's distinct words are encoded once."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks, pattern).encode_ordinary
         bucket, known = None, {}
@@ -168,10 +179,13 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         count = size[s]
         at = np.repeat(start[s] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         out.append(flat[at].astype("<u4").tobytes())
+    del seq, flat, back
+    trim()
     return rest.append_column("ids", pa.array(out, pa.binary()))
 
 
 def _decode(table):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, start, size = table.value
         for b in batches:
@@ -192,7 +206,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     ``ranks`` is a path that every executor can read.  Null and empty texts have no ids; rows,
     repeated ones included, each stay.  A column ids of the input is replaced.
     """
-    rest = [f for f in docs.schema if f.name not in ("text", "ids")]
+    rest = [f for f in bounded_batches(docs).schema if f.name not in ("text", "ids")]
     names = [f"`{f.name}`" for f in rest]
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = materialise_by(docs.select(*names, F.col("text")).mapInArrow(_chunks(pattern, min(60_000, 2 * shuffled)), PART), "chunk", shuffled)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import bounded_batches, lean, mix
 
 _U = np.uint64
 CELLS = 1 << 16
@@ -43,6 +43,7 @@ def trigrams(text: str | None) -> np.ndarray:
     return (h >> _U(48)).astype(np.int64)
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for b in batches:
@@ -62,7 +63,7 @@ def train(labelled: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarr
 
     Counting is distributed; the driver gets a table of at most CELLS rows a language.
     """
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(_count, "lang string, cell bigint, n bigint")
+    rows = bounded_batches(labelled).where("text is not null and lang is not null").select("text", "lang").mapInArrow(_count, "lang string, cell bigint, n bigint")
     counts = rows.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique().tolist())
     p = np.full((len(langs), CELLS), smooth)
@@ -106,6 +107,7 @@ def infer(p: np.ndarray, cells: np.ndarray, penalty: float = 1.5) -> tuple[np.nd
 
 
 def _predict(model, penalty: float):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, p = model.value
         for b in batches:
@@ -134,7 +136,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
     was learned.  Rows stay as they are, repeated ones included; columns of the input with a
     name of the result are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "mixture")
+    docs = bounded_batches(docs).drop("lang_pred", "score", "mixture")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [f for f in docs.schema if f.name != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["lang_pred string", "score double", "mixture string"])

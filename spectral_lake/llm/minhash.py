@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_bytes, components, materialise, mix, seeds
+from .common import Rolling, as_bytes, bounded_batches, components, lean, materialise, mix, seeds
 
 _U = np.uint64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -85,6 +85,7 @@ def chunk_keys(sigs: np.ndarray, chunks: int, width: int, errors: int) -> np.nda
 
 
 def _sketch(words: int, size: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, node, sigs = [], [], []
@@ -99,6 +100,7 @@ def _sketch(words: int, size: int):
 
 
 def _keyed(chunks: int, width: int, errors: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 4096):
@@ -193,6 +195,7 @@ def _blocks(measure: BySignature | BySet):
     A row (node, null) says that the node stays apart from the block's first pivot.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for rows in _grouped(batches, ("grp", "block", "slice")):
@@ -266,7 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, chunks:
     each keep their row; an empty table gives an empty table.
     """
     size, distance = chunks * width, chunks * (errors + 1) - 1
-    slim = docs.select("doc_id", "text")
+    slim = bounded_batches(docs).select("doc_id", "text")
     sketch = materialise(slim.mapInArrow(_sketch(words, size), "doc_id bigint, n_shingles bigint, node binary, sig binary"))
     nodes = materialise(sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
     keyed = nodes.select("sig", "node").mapInArrow(_keyed(chunks, width, errors), "grp bigint, node binary")
@@ -291,6 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, chunks:
 def _own_text(words: int) -> Callable:
     """Rows whose text is that of their node; texts as bytes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = as_bytes(b.column("payload")), []

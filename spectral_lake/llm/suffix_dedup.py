@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, as_bytes, materialise, mix
+from .common import Rolling, as_bytes, bounded_batches, lean, materialise, mix
 
 _U = np.uint64
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 20
 RUN = "doc_id bigint, rk bigint, ahash bigint, rhash bigint, start bigint, n int, off int"
 
 
@@ -67,6 +67,7 @@ def runs_of(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...] |
 
 
 def _runs(length: int, gram: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rks, texts = b.column("doc_id"), b.column("rk"), as_bytes(b.column("text"))
@@ -91,6 +92,7 @@ def _runs(length: int, gram: int):
 def _contexts(length: int, gram: int):
     """The bytes of each wanted run: those before its anchor reversed, those from it on."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
@@ -156,7 +158,8 @@ def multikey_sort(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
 def shared_windows(group: np.ndarray, before: list[bytes], after: list[bytes], n: np.ndarray, off: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """(run, first window, last window) of the windows that another run of its group also has."""
     pad = lambda k: max(8, -(-k // 8) * 8)
-    m, hits = len(group), []
+    m = len(group)
+    hit = np.zeros((m, int(n.max()) + 2), np.int8)  # of each run, its windows from place 1 on
     r_order, r_lcp = multikey_sort(group, _matrix(after, pad(max(map(len, after)))))
     l_order, l_lcp = multikey_sort(group, _matrix(before, pad(max(map(len, before)))))
     r_class, l_class = np.empty(m, np.int64), np.empty(m, np.int64)
@@ -172,26 +175,18 @@ def shared_windows(group: np.ndarray, before: list[bytes], after: list[bytes], n
         k = key[by]
         same = k[1:] == k[:-1]
         twice = np.r_[same, False] | np.r_[False, same]
-        if twice.any():
-            hits.append(np.stack([pick[by[twice]], np.full(int(twice.sum()), t)]))
-    if not hits:
-        return []
-    run, t = np.concatenate(hits, axis=1)
-    j = off[run] - t
-    by = np.lexsort((j, run))
-    return _stretches(run[by], j[by])
+        run = pick[by[twice]]
+        hit[run, off[run] - t + 1] = 1
+    step = np.diff(hit, axis=1)
+    run, first = np.nonzero(step == 1)
+    last = np.nonzero(step == -1)[1]
+    return list(zip(run.tolist(), first.tolist(), (last - 1).tolist(), strict=True))
 
 
-def _stretches(run: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
-    """Consecutive ``j`` of one run as (run, first, last); sorted by both."""
-    first = np.r_[True, (run[1:] != run[:-1]) | (j[1:] != j[:-1] + 1)]
-    last = np.r_[first[1:], True]
-    return list(zip(run[first].tolist(), j[first].tolist(), j[last].tolist(), strict=True))
-
-
-def _bucket(length: int, step: int = 8192):
+def _bucket(length: int, step: int = 4096):
     """Compares the runs of a bucket, sorted by leading bytes; a few thousand runs at a time."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
@@ -218,6 +213,7 @@ def _bucket(length: int, step: int = 8192):
 def _digests(length: int):
     """A row for each window of a hot anchor's run: its digest, and which window it is."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ah, rh = b.column("ahash"), b.column("rhash")
@@ -236,6 +232,7 @@ def _digests(length: int):
     return run
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kept, sizes, gone, spans = [], [], [], []
@@ -269,7 +266,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, hot: int
     table gives an empty table.  Columns named rk or spans of the input are dropped.
     """
     spark = docs.sparkSession
-    docs = docs.drop("rk", "spans", "kept_bytes", "n_bytes", "n_removed", "n_spans")
+    docs = bounded_batches(docs).drop("rk", "spans", "kept_bytes", "n_bytes", "n_removed", "n_spans")
     keyed = docs.withColumn("rk", F.xxhash64("doc_id", "text"))
     slim = keyed.select("doc_id", "rk", "text")
     runs = materialise(slim.mapInArrow(_runs(length, gram), RUN))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, lean
+
 CATEGORIES = ("degraded", "severe", "toxic")
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _MARKS, _CAPITALS, _DIGITS = b"#*$%&|<>!", bytes(range(65, 91)), b"0123456789"
@@ -36,6 +38,7 @@ def shares_of(text: str | None) -> list[float]:
     return [part(_MARKS), part(_CAPITALS), part(_DIGITS), 1 - len(set(lines)) / len(lines) if lines else 0.0]
 
 
+@lean
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
@@ -52,6 +55,7 @@ def features(text: str | None, place: dict[bytes, int]) -> np.ndarray:
 
 
 def _vectors(place: dict[bytes, int]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t, place).tolist() for t in b.column("text").to_pylist()]
@@ -124,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, words: int =
 
 
 def _apply(model):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, chain = model.value
         for b in batches:
@@ -147,7 +152,7 @@ def classify(docs: DataFrame, model: tuple[dict[bytes, int], list[np.ndarray]],
     Null and empty texts have no words and the probabilities of that; rows stay as they are.
     Columns of the input with a name of the result are replaced.
     """
-    docs = docs.drop("toxic", *(f"p_{c}" for c in CATEGORIES))
+    docs = bounded_batches(docs).drop("toxic", *(f"p_{c}" for c in CATEGORIES))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [f for f in docs.schema if f.name != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"p_{c} double" for c in CATEGORIES])
