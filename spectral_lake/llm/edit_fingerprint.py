@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, seeds
+from .common import as_bytes, bounded_batches, lean, mix, seeds
 
 _U = np.uint64
 SLOTS, LONGEST, CUT, CONTEXT, SAMPLED = 128, 48, 20, 4, 8
@@ -107,7 +107,7 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     for t in texts:
         c = codes(t)
         raw, ends = c.tobytes(), (4 * cuts(c)).tolist()
-        seqs.append([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+        seqs.append([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends], ends)])
     keys = piece_keys(list(number)) if number else np.empty(0, _U)
     return [fingerprint(keys[np.array(s, np.int64)]) for s in seqs]
 
@@ -115,6 +115,7 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
 def _compress(splits: np.ndarray):
     """Rows with their bucket of the doc_id order, texts compressed; a bucket's first row also closes the one before it."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -147,6 +148,7 @@ ROWS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string,
 def _edited(step: int):
     """For rows in doc_id order: the fingerprint of each text, of its edited text, and their likeness."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -198,7 +200,7 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None, step: int =
     """
     spark = docs.sparkSession
     parts = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select("doc_id")
+    ids = bounded_batches(docs).select("doc_id")
     cut = ids.agg(F.min("doc_id").alias("a"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first()
     splits = np.unique(np.array([x for x in [cut["a"], *(cut["q"] or [])] if x is not None], np.int64))
     rows = docs.select("doc_id", "text").mapInArrow(_compress(splits), "bucket int, tail boolean, doc_id bigint, packed binary")
