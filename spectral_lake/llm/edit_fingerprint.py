@@ -190,7 +190,7 @@ def _edited(step: int):
     return run
 
 
-def edited_fingerprints(docs: DataFrame, buckets: int | None = None, step: int = 4_000_000) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, buckets: int | None = None, step: int = 1_000_000) -> DataFrame:
     """Fingerprints of each text and of its edited text, by ascending doc_id.
 
     The edited text replaces the last floor(n/4) characters by the first as many of the next
