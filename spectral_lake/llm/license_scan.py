@@ -2,9 +2,9 @@
 
 Rules are the product of license families and ways to state a license: a few hundred regular
 expressions over normalised words, each gated by a keyword.  A text without any keyword is
-never scanned; one with keywords is scanned by their rules only.  Detections keep their word
-interval; one that lies in an interval of better priority, or in a longer one of the same, is
-suppressed.
+never scanned; one with keywords is scanned by the rules whose name and cue it holds only, as
+each rule's expression contains its family's name.  Detections keep their word interval; one
+that lies in an interval of better priority, or in a longer one of the same, is suppressed.
 """
 
 from __future__ import annotations
@@ -67,22 +67,27 @@ FAMILIES = (
     ("all-rights-reserved", "reserved", "all rights reserved"),
 )
 
-#: Fixed values: (priority, confidence, words around the name).
+#: Fixed values: (priority, confidence, cue that the text must hold, words around the name).
 FORMS = (
-    (0, 0.99, "spdx licen[sc]e identifier {}"),
-    (1, 0.97, "licen[sc]ed under (?:the |a )?(?:terms of (?:the )?)?{}"),
-    (1, 0.97, "(?:re)?distributed under (?:the |a )?(?:terms of (?:the )?)?{}"),
-    (1, 0.97, "released under (?:the |a )?(?:terms of (?:the )?)?{}"),
-    (1, 0.95, "(?:available|provided|published|covered|made available) under (?:the |a )?(?:terms of (?:the )?)?{}"),
-    (1, 0.95, "subject to (?:the )?(?:terms of (?:the )?)?{}"),
-    (1, 0.90, "licen[sc]e (?:is )?(?:the )?{}"),
-    (2, 0.70, "{}"),
+    (0, 0.99, " identifier ", "spdx licen[sc]e identifier {}"),
+    (1, 0.97, " under ", "licen[sc]ed under (?:the |a )?(?:terms of (?:the )?)?{}"),
+    (1, 0.97, " under ", "(?:re)?distributed under (?:the |a )?(?:terms of (?:the )?)?{}"),
+    (1, 0.97, " under ", "released under (?:the |a )?(?:terms of (?:the )?)?{}"),
+    (1, 0.95, " under ", "(?:available|provided|published|covered|made available) under (?:the |a )?(?:terms of (?:the )?)?{}"),
+    (1, 0.95, " subject to ", "subject to (?:the )?(?:terms of (?:the )?)?{}"),
+    (1, 0.90, " licen", "licen[sc]e (?:is )?(?:the )?{}"),
+    (2, 0.70, "", "{}"),
 )
 
 
 def signature_rules() -> list[tuple[int, int, float, str, str, str]]:
     """(order, priority, confidence, label, keyword, expression), best first."""
-    rules = [(p, c, label, word, form.format(f"(?:{name})")) for p, c, form in FORMS for label, word, name in FAMILIES]
+    return [r[:6] for r in _gated_rules()]
+
+
+def _gated_rules() -> list[tuple]:
+    """The same, each with the name in its expression and its cue."""
+    rules = [(p, c, label, word, form.format(f"(?:{name})"), name, cue) for p, c, cue, form in FORMS for label, word, name in FAMILIES]
     return [(i, *r) for i, r in enumerate(sorted(rules, key=lambda r: r[0]))]
 
 
@@ -96,8 +101,13 @@ def _marks(norm: str, phrase: str) -> str:
 
 
 def _rule_table() -> str:
-    rows = ", ".join(f"struct({i} as i, {p} as prio, double({c}) as conf, '{label}' as label, ' {word} ' as word, '(?<= )(?:{rx})(?= )' as rx)" for i, p, c, label, word, rx in signature_rules())
-    return f"array({rows})"
+    """SQL for the rules by keyword and name: each gate is tried once a text."""
+    whole = lambda rx: f"'(?<= )(?:{rx})(?= )'"
+    words: dict[str, dict[str, list[str]]] = {}
+    for i, p, c, label, word, rx, name, cue in _gated_rules():
+        words.setdefault(word, {}).setdefault(name, []).append(f"struct({i} as i, {p} as prio, double({c}) as conf, '{label}' as label, '{cue}' as cue, {whole(rx)} as rx)")
+    named = lambda names: ", ".join(f"struct({whole(name)} as name, array({', '.join(rules)}) as rules)" for name, rules in names.items())
+    return "array(" + ", ".join(f"struct(' {word} ' as word, array({named(names)}) as names)" for word, names in words.items()) + ")"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -128,8 +138,10 @@ def scan(docs: DataFrame) -> DataFrame:
     for k, (phrase, _) in enumerate(BASE):
         out = out.withColumn(f"_b{k}", F.when(F.col("_d").isNotNull(), F.expr(_marks("_d", phrase))).otherwise(F.array().cast("array<int>")))
     # each rule marks its matches; the words before a mark are the spaces before it
+    names = F.expr(f"filter(flatten(transform(filter({_rule_table()}, g -> contains(_n, g.word)), g -> g.names)), f -> _n rlike f.name)")
+    out = out.withColumn("_r", F.when(gate, names))
     hits = F.expr(
-        f"""flatten(transform(filter({_rule_table()}, r -> contains(_n, r.word)), r ->
+        """flatten(transform(filter(flatten(transform(_r, f -> f.rules)), r -> contains(_n, r.cue)), r ->
           aggregate(split(regexp_replace(_n, r.rx, '\\u0001$0\\u0002'), '\\u0001'),
             struct(cast(array() as array<struct<label: string, prio: int, conf: double, i: int, lo: int, hi: int>>) as found, 0 as seen),
             (s, p) -> struct(
@@ -138,7 +150,7 @@ def scan(docs: DataFrame) -> DataFrame:
               s.seen + length(p) - length(replace(p, ' ', '')) as seen),
             s -> s.found)))"""
     )
-    out = out.withColumn("_h", F.when(gate, hits))
+    out = out.withColumn("_h", F.when(F.size("_r") > 0, hits))
     kept = F.expr(
         """filter(_h, d -> not exists(_h, e -> e.lo <= d.lo and e.hi >= d.hi and
              (e.prio < d.prio or (e.prio = d.prio and (e.hi - e.lo > d.hi - d.lo or (e.hi - e.lo = d.hi - d.lo and e.i < d.i))))))"""
