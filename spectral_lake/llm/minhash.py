@@ -94,7 +94,7 @@ def _sketch(words: int, size: int):
                 n.append(len(s))
                 node.append(set_digest(s) if len(s) else None)
                 sigs.append(signature(s, size).tobytes() if len(s) else None)
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "node", "sig"])
+            yield pa.record_batch([b.column("doc_id"), b.column("rk"), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "rk", "n_shingles", "node", "sig"])
 
     return run
 
@@ -260,35 +260,57 @@ def group_links(members: DataFrame, measure: BySignature | BySet, cap: int) -> D
     return run(small).union(first.where("b is not null")).union(second).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, chunks: int = 8, width: int = 5, errors: int = 1, slack: int = 5, cap: int = 4096, set_cap: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``.
+def row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with rk, which tells rows apart that share a doc_id or have none."""
+    return docs.withColumn("rk", F.xxhash64("doc_id", "text"))
 
-    component_id is the least doc_id reachable over links of similarity >= percent/100; kept
-    tells whether it is the row's own.  Null or wordless texts have an empty set and no link.
-    A null doc_id counts as greater than any other.  Repeated rows share one component and
-    each keep their row; an empty table gives an empty table.
-    """
+
+def grouped(docs: DataFrame, words: int = 5, percent: int = 85, chunks: int = 8, width: int = 5, errors: int = 1, slack: int = 5, cap: int = 4096, set_cap: int = 2_000_000) -> DataFrame:
+    """``near_duplicates`` with, besides, the row's key rk and the digest ``root`` of its group, null without words."""
     size, distance = chunks * width, chunks * (errors + 1) - 1
-    slim = bounded_batches(docs).select("doc_id", "text")
-    sketch = materialise(slim.mapInArrow(_sketch(words, size), "doc_id bigint, n_shingles bigint, node binary, sig binary"))
-    nodes = materialise(sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
+    slim = row_key(bounded_batches(docs).select("doc_id", "text"))
+    sketch = materialise(slim.mapInArrow(_sketch(words, size), "doc_id bigint, rk bigint, n_shingles bigint, node binary, sig binary"))
+    nodes = materialise(sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
     keyed = nodes.select("sig", "node").mapInArrow(_keyed(chunks, width, errors), "grp bigint, node binary")
     buckets = keyed.groupBy("grp").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
     chosen = buckets.groupBy("c", "x", "y").agg(F.min("grp").alias("grp")).select("grp")
     members = keyed.join(chosen, "grp").distinct().join(nodes.select("node", "sig"), "node").select("grp", "node", F.lit(1).alias("weight"), F.col("sig").alias("payload"))
     groups = components(group_links(members, BySignature(distance + slack), cap))
-    # whole texts of the nodes in candidate groups; a row with the node's doc_id but another text is told by its set
-    wanted = groups.join(nodes, "node").select("node", F.xxhash64("root").alias("grp"), "rep", F.col("n").alias("weight"))
-    d = slim.withColumnRenamed("doc_id", "d")
-    texts = d.join(wanted, F.col("d").eqNullSafe(F.col("rep"))).select("grp", "node", "weight", F.col("text").alias("payload"))
+    # whole texts of the nodes in candidate groups, one row's each; should two rows share a key, the set tells them apart
+    wanted = groups.join(nodes, "node").select("node", F.xxhash64("root").alias("grp"), "rk", F.col("n").alias("weight"))
+    texts = slim.join(wanted, "rk").select("grp", "node", "weight", F.col("text").alias("payload"))
     checked = texts.mapInArrow(_own_text(words), "grp bigint, node binary, weight bigint, payload binary").dropDuplicates(["grp", "node"])
     roots = components(group_links(checked, BySet(percent, words), set_cap))
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = placed.join(least, "root").select("node", "component_id")
-    out = sketch.select("doc_id", "n_shingles", "node").join(of, "node", "left")
+    of = placed.join(least, "root").select("node", "root", "component_id")
+    out = sketch.select("doc_id", "rk", "n_shingles", "node").join(of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "rk", "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs(doc_id, text)``; options as in ``grouped``.
+
+    component_id is the least doc_id reachable over links of similarity >= percent/100; kept
+    tells whether it is the row's own.  Null or wordless texts have an empty set and no link.
+    A null doc_id counts as greater than any other.  Repeated rows share one component and
+    each keep their row; an empty table gives an empty table.
+    """
+    return grouped(docs, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group: a row with the least doc_id, null after all others.
+
+    Rows without words are no group and stay, equal ones once.  Different texts stay if they
+    share a doc_id or have none.  A column rk of the input is dropped.
+    """
+    docs = docs.drop("rk")
+    kept = grouped(docs, **options).where("kept").select("rk", "root")
+    grouped_rows = kept.where("root is not null").groupBy("root").agg(F.min("rk").alias("rk")).select("rk")
+    chosen = grouped_rows.union(kept.where("root is null").select("rk"))
+    return row_key(docs).join(chosen, "rk", "left_semi").dropDuplicates(["rk"]).drop("rk")
 
 
 def _own_text(words: int) -> Callable:

@@ -111,6 +111,15 @@ def test_near_duplicates(spark, docs, rows, caps):
     assert bag(minhash.near_duplicates(spark.createDataFrame(chain, SCHEMA), **caps)) == near_by_force(chain)
 
 
+def test_one_row_of_each_group_stays(spark):
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base), (None, base + " end"), (1, base), (1, other), (None, other + " end"), (None, "a b"), (None, "a b"), (None, "c d"), (None, None), (2, ""), (2, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, 7) for i, t in rows], SCHEMA + ", rk int")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in minhash.one_of_each(docs).collect())
+    assert got == collections.Counter([(1, base), (1, other), (None, "a b"), (None, "c d"), (None, None), (2, "")])
+    assert minhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_no_pair_under_the_distance_lacks_a_key():
     rng = np.random.default_rng(1)
     for _ in range(300):
