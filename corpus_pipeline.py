@@ -19,8 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("k")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return minhash.one_of_each(docs).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
