@@ -1,19 +1,22 @@
-"""Main text of web pages: host-wide repeats and page landmarks.
-
-A page becomes blocks of words.  Blocks outside its article make the page's stream of words;
-the streams of a host are one text, whose suffixes are grouped by their leading ``least`` words.
-A group with two distinct pages is a repeated substring: its words are boilerplate wherever
-they occur on the host, and only the runs between them stay.  A longer repeat is the union of
-such groups, so nothing more of the suffixes is needed.  Groups are counted before they
-are joined back, so that a host with a third of all pages is no single task's load.
-
-An ``article`` or ``main`` element states what the main text is: its blocks are never boilerplate
-(the same story may stand on two pages), and where there is one nothing else is main text.
-Menus, forms and the like are left out by element, role or class in any case.
+"""Main text of web pages: host-wide repeats, with page landmarks as evidence.
+
+A page becomes blocks of words, whose stream holds them all, those of an ``article`` or ``main``
+element included.  The streams of a host are one text, whose suffixes are grouped by their
+leading ``least`` words.  A group with two distinct pages is a repeated substring: its words are
+boilerplate wherever they occur on the host, and only the runs between them stay.  A longer
+repeat is the union of such groups, so nothing more of the suffixes is needed.
+
+The same story may stand on two pages: for words in an ``article`` or ``main`` element, pages whose
+whole article is the same count as one.  Menus, forms and the like are left out by element,
+role or class in any case.
+
+Pages are parsed once and kept in chunks.  Each suffix goes out as 24 bits of its digest; only
+those met twice in their bucket go out again, as the whole digest and the page it is from.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -25,7 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, materialise
+from .common import Rolling, bounded_batches, lean, materialise_by, mix, seeds, trim
+
+_U = np.uint64
+CHUNK = 8_000_000
 
 #: Element names and words of class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -123,24 +129,204 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^(?:www|m)\.", "", m[1]) if m else ""
 
 
-@lean
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hosts = [host_of(u) for u in b.column("url").to_pylist()]
-        streams = [[w for text, main, _ in blocks(page or "") if not main for w in text.split(" ")] for page in b.column("html").to_pylist()]
-        yield pa.record_batch([b.column("pk"), pa.array(hosts, pa.string()), pa.array(streams, pa.list_(pa.string()))], names=["pk", "host", "stream"])
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-@lean
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages as blocks, compressed for the shuffle."""
+def windows(found: list, host: str, pk: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A digest of host and words for each run of ``least`` words of a page, and whose it is: the article's if it meets one, else the page's."""
+    if not found:
+        return np.empty(0, _U), np.empty(0, _U)
+    buf = np.frombuffer(" ".join(t for t, _, _ in found).encode("utf-8", "surrogatepass"), np.uint8)
+    gaps = np.flatnonzero(buf == 32)
+    words = Rolling(buf).of(np.r_[0, gaps + 1], np.r_[gaps, len(buf)])
+    n = len(words) - least + 1
+    if n <= 0:
+        return np.empty(0, _U), np.empty(0, _U)
+    weights = seeds(least, 43) | _U(1)
+    keys = np.full(n, _digest(host), _U)
+    for k in range(least):
+        keys = mix(keys + words[k : n + k] * weights[k])
+    page, article = pk & 0xFFFFFFFFFFFFFFFF, "\n".join(t for t, main, hidden in found if main and not hidden)
+    inside = np.cumsum(np.r_[0, np.repeat([main for _, main, _ in found], [t.count(" ") + 1 for t, _, _ in found])])
+    meets = inside[least:] > inside[:n]
+    meets |= np.isin(keys, keys[meets])  # a title that the article repeats is the article's
+    return keys, np.where(meets, _U(_digest(article) if article else page), _U(page))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _squeeze(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _grow(packed: bytes) -> bytes:
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as f:
+        for b in batches:
+            f.write_batch(b)
+    return _squeeze(sink.getvalue().to_pybytes())
+
+
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each value, compressed place by place."""
+    return _squeeze(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes())
+
+
+def _values(packed: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(_grow(packed), np.uint8).reshape(size, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :size] = raw.T
+    return out.reshape(-1).view("<u8").astype(_U)
+
+
+#: A chunk of pages: the input's columns besides html, and (pk, host, blocks) of each page.
+PART = "chunk bigint, rest binary, own binary"
+
+
+@lean
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    at, rest, own, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([at], pa.int64()), pa.array([_ipc(rest)], pa.binary()), pa.array([_ipc(own)], pa.binary())], names=["chunk", "rest", "own"])
+
     for b in batches:
-        packed = [squeeze(json.dumps(blocks(page or ""), ensure_ascii=False).encode("utf-8", "surrogatepass")) for page in b.column("html").to_pylist()]
-        rest = [x for x in b.schema.names if x != "html"]
-        yield pa.record_batch([*(b.column(x) for x in rest), pa.array(packed, pa.binary())], names=[*rest, "packed"])
+        pages = b.column(b.num_columns - 1).to_pylist()
+        hosts = [host_of(u) for u in b.column(b.num_columns - 2).to_pylist()]
+        packed = [json.dumps(blocks(page or ""), ensure_ascii=False).encode("utf-8", "surrogatepass") for page in pages]
+        rest.append(pa.RecordBatch.from_arrays(b.columns[:-3], names=b.schema.names[:-3]))
+        own.append(pa.record_batch([b.column(b.num_columns - 3), pa.array(hosts, pa.string()), pa.array(packed, pa.binary())], names=["pk", "host", "blocks"]))
+        size += sum(map(len, packed))
+        if size > CHUNK:
+            yield flush()
+            at, rest, own, size = at + 1, [], [], 0
+    if rest:
+        yield flush()
+
+
+def _pages(own: bytes, least: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(blocks, digests of runs, whose they are) of each page of a chunk."""
+    with pa.ipc.open_stream(_grow(own)) as f:
+        for b in f:
+            for r in b.to_pylist():
+                found = json.loads(r["blocks"].decode("utf-8", "surrogatepass"))
+                yield (found, *windows(found, r["host"], r["pk"], least))
+
+
+def _lows(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each digest, and 24 bits of it that do not depend on the bucket."""
+    return (keys >> _U(32)) % _U(buckets), keys & _U(0xFFFFFF)
+
+
+ASKED = "chunk bigint, bucket int, digests binary, owners binary"
+
+
+def _asked(rows: list[tuple]) -> dict:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    names = ("chunk", "bucket", "digests", "owners")
+    return {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))}
+
+
+def _dealt(chunk: int, buckets: int, bucket: np.ndarray, digests: np.ndarray, size: int, owners: np.ndarray | None = None) -> list[tuple]:
+    order = np.lexsort((digests, bucket))
+    bucket, digests = bucket[order], digests[order]
+    ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=_U))
+    out = []
+    for k in range(buckets):
+        x, y = int(ends[k]), int(ends[k + 1])
+        if x < y:
+            out.append((chunk, k, _planes(digests[x:y], size), None if owners is None else _planes(owners[order[x:y]], 8)))
+    return out
+
+
+def _first(least: int, buckets: int):
+    """24 bits of each page's digests, by bucket."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, own in zip(b.column("chunk").to_pylist(), b.column("own").to_pylist(), strict=True):
+                found = [np.unique(keys) for _, keys, _ in _pages(own, least)]
+                bucket, low = _lows(np.concatenate([np.empty(0, _U), *found]), buckets)
+                yield pa.record_batch(_asked(_dealt(chunk, buckets, bucket, low, 3)))
+
+    return run
+
+
+def _met(size: int):
+    """For rows in bucket order: of each chunk's digests those with two owners in the bucket, or met twice if no owner is told."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            own = [_values(d, size) for _, _, d, _ in rows]
+            every = np.concatenate(own)
+            if rows[0][3] is not None:
+                who = np.concatenate([_values(w, 8) for _, _, _, w in rows])
+                order = np.lexsort((who, every))
+                every, who = every[order], who[order]
+                every = every[np.r_[True, (np.diff(every) != 0) | (np.diff(who) != 0)]]
+            values, counts = np.unique(every, return_counts=True)
+            twice, out = values[counts > 1], []
+            for (chunk, bucket, _, _), keys in zip(rows, own, strict=True):
+                hit = np.intersect1d(keys, twice)
+                if len(hit):
+                    out.append((chunk, bucket, _planes(hit, size), None))
+            return pa.record_batch(_asked(out))
+
+        held: list[tuple] = []
+        for b in batches:
+            for r in zip(*(b.column(k).to_pylist() for k in ("chunk", "bucket", "digests", "owners")), strict=True):
+                if held and held[0][1] != r[1]:
+                    yield flush(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _second(least: int, buckets: int):
+    """Whole digests and owners of what the first round met twice."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for part in left.to_pylist():
+            code = [np.empty(0, _U), *(_values(r["digests"], 3) + (_U(r["bucket"]) << _U(24)) for r in right.to_pylist())]
+            code = np.sort(np.concatenate(code))
+            keys, owners = [np.empty(0, _U)], [np.empty(0, _U)]
+            for _, k, w in _pages(part["own"], least):
+                bucket, low = _lows(k, buckets)
+                hit = _among(low + (bucket << _U(24)), code)
+                keys.append(k[hit])
+                owners.append(w[hit])
+            k, w = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((w, k))
+            k, w = k[order], w[order]
+            new = np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])][: len(k)]
+            k, w = k[new], w[new]
+            rows += _dealt(part["chunk"], buckets, _lows(k, buckets)[0], k, 8, w)
+        trim()
+        return pa.table(_asked(rows))
+
+    return run
 
 
 def unique_words(words: list[str], covered: list[bool], least: int) -> list[str]:
@@ -155,13 +341,8 @@ def unique_words(words: list[str], covered: list[bool], least: int) -> list[str]
 
 def main_text(found: list, covered: np.ndarray, least: int = 8) -> str:
     """The text of a page whose stream has ``covered`` words."""
-    article = [t for t, main, hidden in found if main and not hidden]
-    if article:
-        return "\n\n".join(article)
     out, at = [], 0
-    for text, main, hidden in found:
-        if main:
-            continue
+    for text, _, hidden in found:
         words = text.split(" ")
         if not hidden:
             runs = " ".join(unique_words(words, covered[at : at + len(words)].tolist(), least))
@@ -172,21 +353,19 @@ def main_text(found: list, covered: np.ndarray, least: int = 8) -> str:
 
 
 def _finish(least: int):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        grow = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            texts = []
-            for packed, at in zip(b.column("packed").to_pylist(), b.column("at").to_pylist(), strict=True):
-                found = json.loads(grow(packed))
-                covered = np.zeros(sum(t.count(" ") + 1 for t, main, _ in found if not main), bool)
-                for i in at or ():
-                    covered[i : i + least] = True
-                texts.append(main_text(found, covered, least))
-            rest = [x for x in b.schema.names if x not in ("packed", "at")]
-            yield pa.record_batch([*(b.column(x) for x in rest), pa.array(texts, pa.string())], names=[*rest, "text"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (part,) = left.to_pylist()
+        repeated = np.sort(np.concatenate([np.empty(0, _U), *(_values(r["digests"], 8) for r in right.to_pylist())]))
+        texts = []
+        for found, keys, _ in _pages(part["own"], least):
+            covered = np.zeros(sum(t.count(" ") + 1 for t, _, _ in found), bool)
+            for i in np.flatnonzero(_among(keys, repeated)).tolist():
+                covered[i : i + least] = True
+            texts.append(main_text(found, covered, least))
+        with pa.ipc.open_stream(_grow(part["rest"])) as f:
+            rest = f.read_all()
+        trim()
+        return rest.append_column("text", pa.array(texts, pa.string()))
 
     return run
 
@@ -201,12 +380,13 @@ def extract(pages: DataFrame, least: int = 8) -> DataFrame:
     pages = bounded_batches(pages).drop("pk", "host", "packed", "stream", "at", "text")
     rest = [f for f in pages.schema if f.name != "html"]
     names = [f"`{f.name}`" for f in rest]
-    keyed = pages.select(*names, F.xxhash64(*names, "html").alias("pk"), "html")
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rest, strict=True))
-    streams = materialise(keyed.select("pk", "url", "html").mapInArrow(_streams, "pk bigint, host string, stream array<string>"))
-    suffixes = streams.where(F.size("stream") >= least).select("host", "pk", F.posexplode(F.expr(f"transform(sequence(1, size(stream) - {least - 1}), i -> xxhash64(slice(stream, i, {least})))")).alias("i", "lead"))
-    repeated = suffixes.groupBy("host", "lead").agg(F.min("pk").alias("first"), F.max("pk").alias("last")).where("first <> last").select("host", "lead")
-    covered = suffixes.join(repeated, ["host", "lead"]).groupBy("pk").agg(F.collect_set("i").alias("at")).withColumnRenamed("pk", "c_pk")
-    packed = keyed.mapInArrow(_pack, f"{kinds}, pk bigint, packed binary")
-    joined = packed.join(covered, F.col("pk") == F.col("c_pk"), "left").select(*names, "packed", "at")
-    return joined.mapInArrow(_finish(least), f"{kinds}, text string")
+    schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rest, strict=True)] + ["text string"])
+    shuffled = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(60_000, 2 * shuffled)
+    keyed = pages.select(*names, F.xxhash64(*names, "html").alias("pk"), F.col("url").alias("host"), "html")
+    parts = materialise_by(keyed.mapInArrow(_chunks, PART), "chunk", shuffled)
+    own = parts.select("chunk", "own")
+    met = lambda asked, size: asked.repartition(shuffled, "bucket").sortWithinPartitions("bucket").mapInArrow(_met(size), ASKED).withColumnRenamed("chunk", "of")
+    maybe = met(own.mapInArrow(_first(least, buckets), ASKED), 3)
+    again = own.groupBy("chunk").cogroup(maybe.groupBy("of")).applyInArrow(_second(least, buckets), ASKED)
+    return parts.groupBy("chunk").cogroup(met(again, 8).groupBy("of")).applyInArrow(_finish(least), schema)

@@ -181,6 +181,15 @@ def test_html_repeats_on_a_host(spark):
     assert html_extract.extract(empty).count() == 0
 
 
+def test_html_repeats_in_articles(spark):
+    share, own = "<p>Share this story with all your friends and join our list today</p>", lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    page = lambda i, story: f"<body><p>Note {i} stands outside of it</p><{'main' if i % 2 else 'article'}><p>{own(story)}</p>{share}</{'main' if i % 2 else 'article'}></body>"
+    pages = [(i, "http://h.example/", page(i, i)) for i in range(3)] + [(i, "http://copies.example/", page(4, 9) + f"<i>{i}</i>") for i in (4, 5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Note {i} stands outside of it\n\n{own(i)}" for i in range(3))
+    assert all(got[i] == f"Note 4 stands outside of it\n\n{own(9)}\n\nShare this story with all your friends and join our list today\n\n{i}" for i in (4, 5))
+
+
 def test_bpe_is_tiktoken(docs, rows):
     import tiktoken
 
