@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id."""
-    return minhash.one_of_each(docs).select(*COLUMNS)
+    """One document of each group of near copies, at similarity 0.8 or more on 5-word shingles: the one with the least doc_id."""
+    return minhash.one_of_each(docs, percent=80).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

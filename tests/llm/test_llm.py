@@ -120,6 +120,16 @@ def test_one_row_of_each_group_stays(spark):
     assert minhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_copies_at_four_fifths(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{i}" for i in range(104)]
+    near = [x if i != 50 and i != 70 else x + "x" for i, x in enumerate(words)]  # 90 of 110 shingles: 0.818
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    assert [r["doc_id"] for r in p.near_dedup(spark, docs, SF).collect()] == [1]
+    assert {r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {1, 2}
+
+
 def test_no_pair_under_the_distance_lacks_a_key():
     rng = np.random.default_rng(1)
     for _ in range(300):
