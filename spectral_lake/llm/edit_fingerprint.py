@@ -129,6 +129,8 @@ def _compress(splits: np.ndarray):
             first = set(known)
             again = [(j, known.index(i)) for j, i in enumerate(ids) if i in first and len(known)]
             again = [(j, (k if k else len(splits))) for j, k in again]
+            if not known:  # without any doc_id the rows are one bucket, whose least text closes it
+                again = [(j, 0) for j in sorted(range(len(ids)), key=packed.__getitem__)[:1]]
             yield pa.record_batch(
                 [
                     pa.array([*bucket, *(k for _, k in again)], pa.int32()),

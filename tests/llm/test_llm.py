@@ -225,6 +225,12 @@ def test_edited_texts(docs, rows, buckets, step):
     assert edit_fingerprint.edited_fingerprints(docs, buckets, step).count() == len(rows)
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_edited_texts_without_ids(spark, n):
+    d = spark.createDataFrame([(None, f"text number {i}") for i in range(n)], "doc_id bigint, text string").repartition(2)
+    assert edit_fingerprint.edited_fingerprints(d).count() == n
+
+
 def test_few_edits_keep_a_fingerprint_near(spark):
     d = pd.read_parquet(f"{SF}/documents.parquet")
     texts = [t for t in d["text"] if len(t) > 500][:40]
