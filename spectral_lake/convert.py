@@ -57,7 +57,7 @@ def convert(spark: SparkSession, source: str, output: str, dataset_id: str = "ms
         spectra = imzml.read(spark, source) if kind == "imzml" else frames.read(spark, source, decode)
         size = pixel_size_um
         if size is None:
-            found = imzml.pixel_size(spark, source) if kind == "imzml" else None
+            found = imzml.pixel_size(spark, source) if kind == "imzml" else frames.pixel_size(spark, frames.database(source))
             if found is None:
                 raise ValueError("the file states no pixel size; give one")
             size = found[0]

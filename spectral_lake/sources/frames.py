@@ -84,11 +84,37 @@ def mass_range(spark: SparkSession, db: str) -> tuple[float, float]:
     return float(got[keys[0]]), float(got[keys[1]])
 
 
+LASER = "Id bigint, BeamScanSizeX double, BeamScanSizeY double, SpotSize double, LaserPower double, LaserFrequency double"
+
+
+def laser(spark: SparkSession, db: str) -> dict | None:
+    """Laser parameters: the first row by Id, none without any."""
+    row = table(spark, db, "MaldiFrameLaserInfo", LASER).orderBy("Id").first()
+    return row.asDict() if row else None
+
+
+def pixel_size(spark: SparkSession, db: str) -> tuple[float, float] | None:
+    row = laser(spark, db)
+    if row is None or row["BeamScanSizeX"] is None or row["BeamScanSizeY"] is None:
+        return None
+    return row["BeamScanSizeX"], row["BeamScanSizeY"]
+
+
+def offset(spark: SparkSession, db: str) -> tuple[int, int]:
+    """The imaging area's least place, else the frames' least, else 0."""
+    keys = ("ImagingAreaMinXIndexPos", "ImagingAreaMinYIndexPos")
+    got = {r["key"]: int(float(r["value"])) for r in global_metadata(spark, db).where(F.col("key").isin(*keys)).collect()}
+    least = table(spark, db, "MaldiFrameInfo", "Frame bigint, XIndexPos int, YIndexPos int").agg(F.min("XIndexPos"), F.min("YIndexPos")).first()
+    x, y = (got.get(k, v or 0) for k, v in zip(keys, least, strict=True))
+    return x, y
+
+
 def read(spark: SparkSession, path: str, decode: Callable[[str, int, int], tuple[list[float], list[float]]] | None = None) -> DataFrame:
     """Spectra of a vendor folder.  ``decode(path, frame_id, num_peaks)`` gives m/z and intensities of a frame."""
     if decode is None:
         raise DecoderError("vendor spectra need a decoder; metadata can be read without")
-    f = frames(spark, database(path)).where("num_peaks > 0 and num_peaks <= 65535")
+    db = database(path)
+    f = frames(spark, db, offset(spark, db)).where("num_peaks > 0 and num_peaks <= 65535")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

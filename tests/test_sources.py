@@ -75,6 +75,19 @@ def test_frames(spark, tmp_path):
     assert sorted((r["spectrum_idx"], r["mzs"]) for r in got) == [(0, [101.0, 101.0]), (2, [103.0])]
 
 
+def test_laser_and_imaging_area(spark, tmp_path):
+    d = tmp_path / "a.d"
+    d.mkdir()
+    with sqlite3.connect(d / "analysis.tsf") as con:
+        con.executescript("CREATE TABLE Frames(Id INTEGER PRIMARY KEY, NumPeaks INT); CREATE TABLE MaldiFrameInfo(Frame INT, XIndexPos INT, YIndexPos INT); CREATE TABLE GlobalMetadata(Key TEXT, Value TEXT);"
+                          "CREATE TABLE MaldiFrameLaserInfo(Id INT, BeamScanSizeX REAL, BeamScanSizeY REAL, SpotSize REAL, LaserPower REAL, LaserFrequency REAL); INSERT INTO MaldiFrameLaserInfo VALUES (2, NULL, NULL, 1, 1, 1), (1, 20, 30, 1, 5, 6);"
+                          "INSERT INTO Frames VALUES (1, 1), (2, 1); INSERT INTO MaldiFrameInfo VALUES (1, 670, 109), (2, 671, 110); INSERT INTO GlobalMetadata VALUES ('ImagingAreaMinXIndexPos', '669')")
+    db = frames.database(str(d))
+    assert frames.pixel_size(spark, db) == (20.0, 30.0) and frames.laser(spark, db)["LaserPower"] == 5.0 and frames.offset(spark, db) == (669, 109)
+    assert convert(spark, str(d), str(tmp_path / "out"), decode=lambda path, i, n: ([100.0], [1.0]))
+    assert spark.read.parquet(str(tmp_path / "out/obs")).count() == 6
+
+
 def test_detect(tmp_path):
     (tmp_path / "a.imzML").touch()
     with pytest.raises(FormatError, match="ibd"):
