@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 import numpy as np
@@ -18,11 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share; a private one only where none is set."""
-    found = spark.conf.get(_SHARED, None)
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
+    found = spark.conf.get(_SHARED, None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spectral-lake-")
-        spark.conf.set(_SHARED, found)
+        raise ValueError(f"these operators keep intermediate tables: set {_SHARED} to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -59,6 +57,9 @@ def lean(f):
     return run
 
 
+_made: list[str] = []  # folders and tables of intermediate results that nobody has removed yet
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -67,15 +68,45 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def materialise_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """The same, as a table bucketed by ``key``: later grouping by it needs no shuffle."""
     spark = df.sparkSession
     name = f"llm_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    _made.append(path)
+    out = spark.table(name)
+    out.scratch = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    name = path.rpartition("/")[2]
+    if name.startswith("llm_"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove intermediate tables that no later step reads."""
+    for df in frames:
+        _remove(df.sparkSession, df.scratch)
+        _made.remove(df.scratch)
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Remove all intermediate tables but ``keep``: call it when results that were built on them are written."""
+    left = [keep.scratch] if keep is not None else []
+    for path in [x for x in _made if x not in left]:
+        _remove(spark, path)
+        _made.remove(path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -50,8 +50,9 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    out = suffix_dedup.repeats_and_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # besides the contract's columns: what repeats at 250 bytes, the least that 50 words of prose take
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), "n_passage_bytes", "n_passages", "passage_free_text")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,21 @@ def repeats_by_force(rows, length):
 def test_repeats(docs, rows, length, gram, hot):
     out = suffix_dedup.remove_repeats(docs.withColumn("rk", F.lit(1)), length, gram, hot)
     assert bag(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept_bytes"))) == repeats_by_force(rows, length)
+    text = suffix_dedup.remove_repeats(docs, length, gram, hot, text=True)
+    assert bag(text.select("doc_id", "kept_text")) == collections.Counter((k[0], k[4].decode(errors="ignore")) for k in repeats_by_force(rows, length).elements())
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeats_and_passages(spark, hot):
+    rng = random.Random(11)
+    prose = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+    long_one, short = prose(40), prose(12)
+    texts = [f"{prose(rng.randrange(30))} {rng.choice([long_one, short, long_one[20:150], ''])} {prose(rng.randrange(30))}\u00e9" for _ in range(60)]
+    rows = [(i // 2 if i < 6 else i, t) for i, t in enumerate([*texts, texts[0], texts[0], None, "", "\ufffd" + long_one])] + [(None, texts[3]), (None, texts[3])]
+    out = suffix_dedup.repeats_and_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 120, 60, 16, hot)
+    assert bag(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes")) == repeats_by_force(rows, 120)
+    want = collections.Counter((k[0], k[2], k[3], k[4].decode(errors="ignore")) for k in repeats_by_force(rows, 60).elements())
+    assert bag(out.select("doc_id", "n_passage_bytes", "n_passages", "passage_free_text")) == want
 
 
 def test_multikey_sort():
@@ -320,10 +335,10 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in kept.collect()} == good
     left = [r for r in rows if r[0] in good]
     one = common.materialise(p.near_dedup(spark, kept, SF))
-    left = [r for r in left if any(k[0] == r[0] and k[3] for k in near_by_force(left))]
+    left = [r for r in left if any(k[0] == r[0] and k[3] for k in near_by_force(left, percent=80))]
     assert bag(one) == collections.Counter(left)
     cut = common.materialise(p.repeats(spark, one, SF))
-    assert {(r["doc_id"], r["text"]) for r in cut.collect()} == {(k[0], k[4].decode(errors="ignore")) for k in repeats_by_force(left, 400)}
+    assert {(r["doc_id"], r["text"]) for r in cut.collect()} == {(k[0], k[4].decode(errors="ignore")) for k in repeats_by_force(left, p.PASSAGE)}
     mixed = common.materialise(p.mix(spark, cut, SF))
     assert set(mixed.columns) == set(p.COLUMNS) and collections.Counter(r["doc_id"] for r in mixed.collect()) == collections.Counter({r["doc_id"]: r["copies"] for r in mixing.mix_sources(cut).collect() if r["copies"]})
     out = p.tokens(spark, mixed, SF).collect()
