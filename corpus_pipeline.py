@@ -22,16 +22,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.one_of_each(docs, percent=80).select(*COLUMNS)
 
 
+#: Bytes of a passage that counts as repeated: what 50 words of prose take at least.
+PASSAGE = 250
+
+
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes that stand elsewhere too.
+    """Texts without passages of ``PASSAGE`` bytes that stand elsewhere too.
 
     A cut may split a character; its bytes on either side are dropped.  A text that is removed
     whole stays as an empty one, with size 0, which the next stage takes zero times.
     """
-    out = suffix_dedup.remove_repeats(docs)
-    text = F.try_validate_utf8(F.col("kept_bytes").cast("string"))
-    whole = out.withColumn("text", F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept_bytes").cast("string")), "�", "")))
-    return whole.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+    out = suffix_dedup.remove_repeats(docs, PASSAGE, gram=62, text=True).withColumnRenamed("kept_text", "text")
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
