@@ -176,6 +176,11 @@ class Rolling:
         self.sums = np.zeros(len(buf) + 1, _U)
         np.cumsum(_BYTE[buf] * up[: len(buf)], out=self.sums[1:])
 
+    @classmethod
+    def digests(cls, parts: list[bytes]) -> np.ndarray:
+        ends = np.cumsum([0, *map(len, parts)])
+        return cls(np.frombuffer(b"".join(parts), np.uint8)).of(ends[:-1], ends[1:])
+
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.down[lo])
 

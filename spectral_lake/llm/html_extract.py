@@ -1,27 +1,25 @@
-"""Main text of web pages: host-wide repeats, with page landmarks as evidence.
+"""Main text of web pages: what a host repeats across distinct pages is removed, the unique runs stay.
 
-A page becomes blocks of words, whose stream holds them all, those of an ``article`` or ``main``
-element included.  The streams of a host are one text, whose suffixes are grouped by their
-leading ``least`` words.  A group with two distinct pages is a repeated substring: its words are
-boilerplate wherever they occur on the host, and only the runs between them stay.  A longer
-repeat is the union of such groups, so nothing more of the suffixes is needed.
+A page becomes blocks of words.  The blocks of a host's pages, menus and adverts included, are one
+token stream whose suffixes are sorted by their leading ``least`` words (by a 64-bit digest of
+these: the order among different suffixes does not matter, that equal ones are neighbours does).
+Neighbours from two distinct pages are a repeated substring; longer repeats are unions of such, so
+nothing more of a suffix is needed.  Covered words are boilerplate wherever they stand on the
+host, and only the runs between them stay.  Pages with equal streams are one page.
 
-The same story may stand on two pages: for words in an ``article`` or ``main`` element, pages whose
-whole article is the same count as one.  Menus, forms and the like are left out by element,
-role or class in any case.
+Elements ``article`` and ``main`` are evidence on the other side: if more than a ``told`` share of
+the words in them is covered, then the story itself is on another page, and its repeats stay.
+Menus, forms and the like are left out by element, role or class in any case.
 
 Pages are parsed once and kept in chunks.  Each suffix goes out as 24 bits of its digest; only
-those met twice in their bucket go out again, as the whole digest and the page it is from.
+those met twice in their bucket go out again, as the whole digest and two of the pages it is from.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
-import json
 import re
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -129,29 +127,88 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^(?:www|m)\.", "", m[1]) if m else ""
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def windows(found: list, host: str, pk: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """A digest of host and words for each run of ``least`` words of a page, and whose it is: the article's if it meets one, else the page's."""
-    if not found:
-        return np.empty(0, _U), np.empty(0, _U)
-    buf = np.frombuffer(" ".join(t for t, _, _ in found).encode("utf-8", "surrogatepass"), np.uint8)
-    gaps = np.flatnonzero(buf == 32)
-    words = Rolling(buf).of(np.r_[0, gaps + 1], np.r_[gaps, len(buf)])
-    n = len(words) - least + 1
-    if n <= 0:
-        return np.empty(0, _U), np.empty(0, _U)
-    weights = seeds(least, 43) | _U(1)
-    keys = np.full(n, _digest(host), _U)
-    for k in range(least):
-        keys = mix(keys + words[k : n + k] * weights[k])
-    page, article = pk & 0xFFFFFFFFFFFFFFFF, "\n".join(t for t, main, hidden in found if main and not hidden)
-    inside = np.cumsum(np.r_[0, np.repeat([main for _, main, _ in found], [t.count(" ") + 1 for t, _, _ in found])])
-    meets = inside[least:] > inside[:n]
-    meets |= np.isin(keys, keys[meets])  # a title that the article repeats is the article's
-    return keys, np.where(meets, _U(_digest(article) if article else page), _U(page))
+class Streams:
+    """The blocks of many pages as one token stream."""
+
+    def __init__(self, hosts: list[str], pages: list[list[tuple[str, bool, bool]]]) -> None:
+        self.counts = np.array([len(p) for p in pages], np.int64)
+        self.flags = np.array([main + 2 * hidden for p in pages for _, main, hidden in p], np.uint8)
+        self.hosts = Rolling.digests([h.encode("utf-8", "surrogatepass") for h in hosts])
+        self.raw = "\n".join(t for p in pages for t, _, _ in p).encode("utf-8", "surrogatepass")
+
+    def pack(self) -> bytes:
+        return _squeeze(np.array([len(self.counts), len(self.flags)], "<i8").tobytes() + self.counts.astype("<i8").tobytes() + self.hosts.astype("<u8").tobytes() + self.flags.tobytes() + self.raw)
+
+    @classmethod
+    def unpack(cls, packed: bytes) -> Streams:
+        raw, self = _grow(packed), cls.__new__(cls)
+        pages, blocks = np.frombuffer(raw, "<i8", 2).tolist()
+        self.counts, self.hosts = np.frombuffer(raw, "<i8", pages, 16), np.frombuffer(raw, "<u8", pages, 16 + 8 * pages).astype(_U)
+        self.flags, self.raw = np.frombuffer(raw, np.uint8, blocks, 16 + 16 * pages), raw[16 + 16 * pages + blocks :]
+        return self
+
+    def read(self, least: int) -> Streams:
+        """Place words, and sort out the suffixes: ``keys`` of host and leading words, ``page`` of each, ``owner`` of each page."""
+        buf = np.frombuffer(self.raw, np.uint8)
+        gaps = np.flatnonzero((buf == 32) | (buf == 10)) if len(buf) else np.empty(0, np.int64)
+        self.lo, self.hi = (np.r_[0, gaps + 1], np.r_[gaps, len(buf)]) if len(self.flags) else (gaps, gaps)
+        rolling = Rolling(buf)
+        words = rolling.of(self.lo, self.hi)
+        self.block = np.r_[0, np.cumsum(buf[gaps] == 10)] if len(self.flags) else np.empty(0, np.int64)
+        self.first = np.searchsorted(self.block, np.arange(len(self.flags) + 1))  # a block's first word
+        of_block = np.repeat(np.arange(len(self.counts)), self.counts)
+        page = of_block[self.block]
+        ends = np.searchsorted(page, np.arange(len(self.counts) + 1))
+        edge = lambda at: np.where(at < len(self.lo), self.lo[np.minimum(at, max(0, len(self.lo) - 1))] if len(self.lo) else 0, len(buf) + 1)
+        start, end = edge(ends[:-1]), np.maximum(edge(ends[1:]) - 1, edge(ends[:-1]))
+        empty = ends[:-1] == ends[1:]
+        self.owner = mix(rolling.of(np.where(empty, 0, start), np.where(empty, 0, np.minimum(end, len(buf)))) + self.hosts)
+        n = max(0, len(words) - least + 1)
+        keys = self.hosts[page[:n]]
+        weights = seeds(least, 43) | _U(1)
+        for k in range(least):
+            keys = mix(keys + words[k : n + k] * weights[k])
+        self.at = np.flatnonzero(page[:n] == page[least - 1 : n + least - 1])
+        self.keys, self.page = keys[self.at], page[self.at]
+        return self
+
+    def pairs(self, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (key, owner), two owners of a key at most, which is all that tells a repeat."""
+        k, w = self.keys, self.owner[self.page]
+        if pick is not None:
+            k, w = k[pick], w[pick]
+        order = np.lexsort((w, k))
+        k, w = k[order], w[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])][: len(k)]
+        k, w = k[new], w[new]
+        third = np.r_[False, False, k[2:] == k[:-2]][: len(k)]
+        return k[~third], w[~third]
+
+    def texts(self, repeated: np.ndarray, least: int, told: float) -> list[str]:
+        """The main text of each page, given the digests of repeats."""
+        hit = self.at[_among(self.keys, repeated)]
+        step = np.zeros(len(self.lo) + 1, np.int64)
+        np.add.at(step, hit, 1)
+        np.add.at(step, hit + least, -1)
+        covered = np.cumsum(step)[:-1] > 0
+        main = (self.flags == 1)[self.block] if len(self.block) else np.empty(0, bool)
+        of_block = np.repeat(np.arange(len(self.counts)), self.counts)
+        page = of_block[self.block]
+        inside, gone = np.bincount(page[main], minlength=len(self.counts)), np.bincount(page[main & covered], minlength=len(self.counts))
+        covered &= ~(main & (gone > told * inside)[page])
+        touched = np.zeros(len(self.flags) + 1, bool)
+        touched[self.block[covered]] = True
+        out: list[list[str]] = [[] for _ in self.counts]
+        blocks = self.raw.split(b"\n") if len(self.flags) else []
+        for i, p in enumerate(of_block.tolist()):
+            if self.flags[i] & 2:
+                continue
+            text = blocks[i].decode("utf-8", "surrogatepass")
+            if touched[i]:
+                text = unique_words(text, covered[self.first[i] : self.first[i + 1]], least)
+            if text:
+                out[p].append(text)
+        return ["\n\n".join(x) for x in out]
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -161,6 +218,15 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
+def unique_words(text: str, covered: np.ndarray, least: int) -> str:
+    """Words of a block outside its covered runs; a run counts if it is the whole block or has ``least`` words."""
+    edge = np.flatnonzero(np.diff(np.r_[False, covered, False]))
+    gone = np.zeros(len(covered), bool)
+    for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        gone[lo:hi] = hi - lo >= min(least, len(covered))
+    return " ".join(w for w, g in zip(text.split(" "), gone.tolist(), strict=True) if not g)
+
+
 def _squeeze(raw: bytes) -> bytes:
     import zstandard
 
@@ -193,7 +259,7 @@ def _values(packed: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(_U)
 
 
-#: A chunk of pages: the input's columns besides html, and (pk, host, blocks) of each page.
+#: A chunk of pages: the input's columns besides html, and the streams of its pages.
 PART = "chunk bigint, rest binary, own binary"
 
 
@@ -201,34 +267,24 @@ PART = "chunk bigint, rest binary, own binary"
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    at, rest, own, size = TaskContext.get().partitionId() << 32, [], [], 0
+    at, rest, hosts, found, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
     def flush() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([at], pa.int64()), pa.array([_ipc(rest)], pa.binary()), pa.array([_ipc(own)], pa.binary())], names=["chunk", "rest", "own"])
+        return pa.record_batch([pa.array([at], pa.int64()), pa.array([_ipc(rest)], pa.binary()), pa.array([Streams(hosts, found).pack()], pa.binary())], names=["chunk", "rest", "own"])
 
     for b in batches:
-        pages = b.column(b.num_columns - 1).to_pylist()
-        hosts = [host_of(u) for u in b.column(b.num_columns - 2).to_pylist()]
-        packed = [json.dumps(blocks(page or ""), ensure_ascii=False).encode("utf-8", "surrogatepass") for page in pages]
-        rest.append(pa.RecordBatch.from_arrays(b.columns[:-3], names=b.schema.names[:-3]))
-        own.append(pa.record_batch([b.column(b.num_columns - 3), pa.array(hosts, pa.string()), pa.array(packed, pa.binary())], names=["pk", "host", "blocks"]))
-        size += sum(map(len, packed))
+        rest.append(pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]))
+        hosts += map(host_of, b.column(b.num_columns - 2).to_pylist())
+        for page in b.column(b.num_columns - 1).to_pylist():
+            found.append(blocks(page or ""))
+            size += sum(len(t) for t, _, _ in found[-1])
         if size > CHUNK:
             yield flush()
-            at, rest, own, size = at + 1, [], [], 0
+            at, rest, hosts, found, size = at + 1, [], [], [], 0
     if rest:
         yield flush()
 
 
-def _pages(own: bytes, least: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(blocks, digests of runs, whose they are) of each page of a chunk."""
-    with pa.ipc.open_stream(_grow(own)) as f:
-        for b in f:
-            for r in b.to_pylist():
-                found = json.loads(r["blocks"].decode("utf-8", "surrogatepass"))
-                yield (found, *windows(found, r["host"], r["pk"], least))
-
-
 def _lows(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each digest, and 24 bits of it that do not depend on the bucket."""
     return (keys >> _U(32)) % _U(buckets), keys & _U(0xFFFFFF)
@@ -256,14 +312,13 @@ def _dealt(chunk: int, buckets: int, bucket: np.ndarray, digests: np.ndarray, si
 
 
 def _first(least: int, buckets: int):
-    """24 bits of each page's digests, by bucket."""
+    """24 bits of each suffix's digest, by bucket; of one that two pages of the chunk have, twice."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, own in zip(b.column("chunk").to_pylist(), b.column("own").to_pylist(), strict=True):
-                found = [np.unique(keys) for _, keys, _ in _pages(own, least)]
-                bucket, low = _lows(np.concatenate([np.empty(0, _U), *found]), buckets)
+                bucket, low = _lows(Streams.unpack(own).read(least).pairs()[0], buckets)
                 yield pa.record_batch(_asked(_dealt(chunk, buckets, bucket, low, 3)))
 
     return run
@@ -285,7 +340,8 @@ def _met(size: int):
             values, counts = np.unique(every, return_counts=True)
             twice, out = values[counts > 1], []
             for (chunk, bucket, _, _), keys in zip(rows, own, strict=True):
-                hit = np.intersect1d(keys, twice)
+                hit = np.unique(keys)
+                hit = hit[_among(hit, twice)]
                 if len(hit):
                     out.append((chunk, bucket, _planes(hit, size), None))
             return pa.record_batch(_asked(out))
@@ -308,20 +364,12 @@ def _second(least: int, buckets: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
+        code = [np.empty(0, _U), *(_values(r["digests"], 3) + (_U(r["bucket"]) << _U(24)) for r in right.to_pylist())]
+        code = np.sort(np.concatenate(code))
         for part in left.to_pylist():
-            code = [np.empty(0, _U), *(_values(r["digests"], 3) + (_U(r["bucket"]) << _U(24)) for r in right.to_pylist())]
-            code = np.sort(np.concatenate(code))
-            keys, owners = [np.empty(0, _U)], [np.empty(0, _U)]
-            for _, k, w in _pages(part["own"], least):
-                bucket, low = _lows(k, buckets)
-                hit = _among(low + (bucket << _U(24)), code)
-                keys.append(k[hit])
-                owners.append(w[hit])
-            k, w = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((w, k))
-            k, w = k[order], w[order]
-            new = np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])][: len(k)]
-            k, w = k[new], w[new]
+            streams = Streams.unpack(part["own"]).read(least)
+            bucket, low = _lows(streams.keys, buckets)
+            k, w = streams.pairs(_among(low + (bucket << _U(24)), code))
             rows += _dealt(part["chunk"], buckets, _lows(k, buckets)[0], k, 8, w)
         trim()
         return pa.table(_asked(rows))
@@ -329,39 +377,16 @@ def _second(least: int, buckets: int):
     return run
 
 
-def unique_words(words: list[str], covered: list[bool], least: int) -> list[str]:
-    """Words of a block outside its covered runs; a run counts if it is the whole block or has ``least`` words."""
-    out: list[str] = []
-    for gone, run in groupby(zip(words, covered, strict=True), key=lambda x: x[1]):
-        part = [w for w, _ in run]
-        if not gone or (len(part) < least and len(part) < len(words)):
-            out += part
-    return out
-
-
-def main_text(found: list, covered: np.ndarray, least: int = 8) -> str:
-    """The text of a page whose stream has ``covered`` words."""
-    out, at = [], 0
-    for text, _, hidden in found:
-        words = text.split(" ")
-        if not hidden:
-            runs = " ".join(unique_words(words, covered[at : at + len(words)].tolist(), least))
-            if runs:
-                out.append(runs)
-        at += len(words)
-    return "\n\n".join(out)
+def main_texts(hosts: list[str], pages: list[str], repeated: np.ndarray, least: int = 8, told: float = 0.2) -> list[str]:
+    """The texts of pages given the digests of their host's repeats, which is all that other pages matter for."""
+    return Streams(hosts, [blocks(p) for p in pages]).read(least).texts(repeated, least, told)
 
 
-def _finish(least: int):
+def _finish(least: int, told: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (part,) = left.to_pylist()
         repeated = np.sort(np.concatenate([np.empty(0, _U), *(_values(r["digests"], 8) for r in right.to_pylist())]))
-        texts = []
-        for found, keys, _ in _pages(part["own"], least):
-            covered = np.zeros(sum(t.count(" ") + 1 for t, _, _ in found), bool)
-            for i in np.flatnonzero(_among(keys, repeated)).tolist():
-                covered[i : i + least] = True
-            texts.append(main_text(found, covered, least))
+        texts = Streams.unpack(part["own"]).read(least).texts(repeated, least, told)
         with pa.ipc.open_stream(_grow(part["rest"])) as f:
             rest = f.read_all()
         trim()
@@ -370,23 +395,23 @@ def _finish(least: int):
     return run
 
 
-def extract(pages: DataFrame, least: int = 8) -> DataFrame:
+def extract(pages: DataFrame, least: int = 8, told: float = 0.2) -> DataFrame:
     """``pages(url, html, ...)`` with the main ``text`` of each whole page in place of html.
 
-    A null html is empty and gives an empty text; a null url is a host of its own.  Two rows that
-    are equal in every column count as one page.  Columns pk, host, packed, stream and at of
-    the input are dropped, a column text is replaced.
+    A null html is empty and gives an empty text; null urls are one host, the nameless one.  Pages
+    of a host with equal streams, repeated rows among them, count as one.  A page of any length is
+    one row of its chunk.  An empty table gives an empty table.  A column text of the input is
+    replaced; other names may be any.
     """
-    pages = bounded_batches(pages).drop("pk", "host", "packed", "stream", "at", "text")
+    pages = bounded_batches(pages).drop("text")
     rest = [f for f in pages.schema if f.name != "html"]
     names = [f"`{f.name}`" for f in rest]
     schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rest, strict=True)] + ["text string"])
     shuffled = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(60_000, 2 * shuffled)
-    keyed = pages.select(*names, F.xxhash64(*names, "html").alias("pk"), F.col("url").alias("host"), "html")
-    parts = materialise_by(keyed.mapInArrow(_chunks, PART), "chunk", shuffled)
+    parts = materialise_by(pages.select(*names, F.col("url").alias("_url"), F.col("html").alias("_html")).mapInArrow(_chunks, PART), "chunk", shuffled)
     own = parts.select("chunk", "own")
     met = lambda asked, size: asked.repartition(shuffled, "bucket").sortWithinPartitions("bucket").mapInArrow(_met(size), ASKED).withColumnRenamed("chunk", "of")
     maybe = met(own.mapInArrow(_first(least, buckets), ASKED), 3)
     again = own.groupBy("chunk").cogroup(maybe.groupBy("of")).applyInArrow(_second(least, buckets), ASKED)
-    return parts.groupBy("chunk").cogroup(met(again, 8).groupBy("of")).applyInArrow(_finish(least), schema)
+    return parts.groupBy("chunk").cogroup(met(again, 8).groupBy("of")).applyInArrow(_finish(least, told), schema)
