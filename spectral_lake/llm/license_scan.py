@@ -1,10 +1,12 @@
 """License detection by ordered signature rules, with DataFrame operations only.
 
-Rules are the product of license families and ways to state a license: a few hundred regular
-expressions over normalised words, each gated by a keyword.  A text without any keyword is
-never scanned; one with keywords is scanned by the rules whose name and cue it holds only, as
-each rule's expression contains its family's name.  Detections keep their word interval; one
-that lies in an interval of better priority, or in a longer one of the same, is suppressed.
+The rules are the hand-written expressions of ``license_signatures``, over normalised words.  A
+text without any of their keywords is not scanned.  In others, each word that an expression may
+start with is a candidate; the words from there on are tried against the expressions of that word
+only, each a constant pattern.  Detections keep their word interval; one that lies in an interval
+of better priority, or in a longer one of the same, is suppressed.  As no expression spans more
+than ``SPAN`` words, the intervals that may hold another start at the last ``SPAN`` candidates:
+the work is in proportion to the text, however many licenses it names.
 """
 
 from __future__ import annotations
@@ -12,102 +14,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_signatures import KEYWORDS, SPAN, signature_rules
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Fixed values: (label, keyword that the text must hold, name over normalised words).
-FAMILIES = (
-    ("apache-2.0", "apache", "apache (?:software )?licen[sc]e (?:version |v)?2 0"),
-    ("apache-1.1", "apache", "apache (?:software )?licen[sc]e (?:version |v)?1 1"),
-    ("apache", "apache", "apache (?:software )?licen[sc]e"),
-    ("mit", "mit", "mit licen[sc]e"),
-    ("mit-x11", "x11", "(?:mit )?x11 licen[sc]e"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause(?: licen[sc]e)?"),
-    ("bsd-3-clause", "bsd", "bsd 3 clause(?: licen[sc]e)?"),
-    ("bsd-4-clause", "bsd", "bsd 4 clause(?: licen[sc]e)?"),
-    ("bsd", "bsd", "(?:new |simplified |modified )?bsd licen[sc]e"),
-    ("gpl-2.0", "gnu", "gnu general public licen[sc]e (?:version |v)2(?: 0)?"),
-    ("gpl-3.0", "gnu", "gnu general public licen[sc]e (?:version |v)3(?: 0)?"),
-    ("gpl", "gnu", "gnu general public licen[sc]e"),
-    ("gpl-2.0", "gpl", "gpl (?:version |v)?2(?: 0)?"),
-    ("gpl-3.0", "gpl", "gpl (?:version |v)?3(?: 0)?"),
-    ("lgpl-2.1", "lesser", "gnu lesser general public licen[sc]e (?:version |v)2 1"),
-    ("lgpl-3.0", "lesser", "gnu lesser general public licen[sc]e (?:version |v)3(?: 0)?"),
-    ("lgpl", "lesser", "gnu lesser general public licen[sc]e"),
-    ("agpl-3.0", "affero", "gnu affero general public licen[sc]e(?: (?:version |v)3(?: 0)?)?"),
-    ("gfdl", "gnu", "gnu free documentation licen[sc]e"),
-    ("mpl-2.0", "mozilla", "mozilla public licen[sc]e (?:version |v)?2 0"),
-    ("mpl-1.1", "mozilla", "mozilla public licen[sc]e (?:version |v)?1 1"),
-    ("epl-2.0", "eclipse", "eclipse public licen[sc]e (?:version |v)?2 0"),
-    ("epl-1.0", "eclipse", "eclipse public licen[sc]e (?:version |v)?1 0"),
-    ("cddl", "cddl", "cddl(?: (?:version |v)?1 [01])?"),
-    ("eupl", "eupl", "eupl(?: (?:version |v)?1 [12])?"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc", "cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?"),
-    ("cc-by", "cc", "cc by(?: [1-4] [05])?"),
-    ("cc-by", "creative", "creative commons attribution(?: [1-4] [05])?(?: international)?"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial(?: [1-4] [05])?"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("isc", "isc", "isc licen[sc]e"),
-    ("zlib", "zlib", "zlib licen[sc]e"),
-    ("artistic-2.0", "artistic", "artistic licen[sc]e(?: 2 0)?"),
-    ("bsl-1.0", "boost", "boost software licen[sc]e(?: 1 0)?"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("ofl-1.1", "sil", "sil open font licen[sc]e(?: (?:version )?1 1)?"),
-    ("odbl", "odbl", "(?:open database licen[sc]e )?odbl"),
-    ("psf-2.0", "python", "python software foundation licen[sc]e"),
-    ("public-domain", "domain", "public domain"),
-    ("all-rights-reserved", "reserved", "all rights reserved"),
-)
-
-#: Fixed values: (priority, confidence, cue that the text must hold, words around the name).
-FORMS = (
-    (0, 0.99, " identifier ", "spdx licen[sc]e identifier {}"),
-    (1, 0.97, " under ", "licen[sc]ed under (?:the |a )?(?:terms of (?:the )?)?{}"),
-    (1, 0.97, " under ", "(?:re)?distributed under (?:the |a )?(?:terms of (?:the )?)?{}"),
-    (1, 0.97, " under ", "released under (?:the |a )?(?:terms of (?:the )?)?{}"),
-    (1, 0.95, " under ", "(?:available|provided|published|covered|made available) under (?:the |a )?(?:terms of (?:the )?)?{}"),
-    (1, 0.95, " subject to ", "subject to (?:the )?(?:terms of (?:the )?)?{}"),
-    (1, 0.90, " licen", "licen[sc]e (?:is )?(?:the )?{}"),
-    (2, 0.70, "", "{}"),
-)
-
+FOUND = "struct<label: string, prio: int, conf: double, i: int, lo: int, hi: int>"
 
-def signature_rules() -> list[tuple[int, int, float, str, str, str]]:
-    """(order, priority, confidence, label, keyword, expression), best first."""
-    return [r[:6] for r in _gated_rules()]
 
+def _any(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out | p
+    return out
 
-def _gated_rules() -> list[tuple]:
-    """The same, each with the name in its expression and its cue."""
-    rules = [(p, c, label, word, form.format(f"(?:{name})"), name, cue) for p, c, cue, form in FORMS for label, word, name in FAMILIES]
-    return [(i, *r) for i, r in enumerate(sorted(rules, key=lambda r: r[0]))]
 
+def _tried() -> str:
+    """SQL for the detections at candidate ``c``: a struct of word number i, word w and the words t from it on."""
+    by_word: dict[str, list[str]] = {}
+    for i, prio, conf, label, words, rx in signature_rules():
+        pattern = f"'^(?:{rx})(?= |$)'"
+        size = f"regexp_count(regexp_extract(c.t, {pattern}, 0), ' ')"
+        found = f"if(c.t rlike {pattern}, named_struct('label', '{label}', 'prio', {prio}, 'conf', double({conf}), 'i', {i}, 'lo', c.i, 'hi', c.i + {size}), null)"
+        for w in words:
+            by_word.setdefault(w, []).append(found)
+    cases = " ".join(f"when '{w}' then array({', '.join(found)})" for w, found in by_word.items())
+    return f"array_compact(case c.w {cases} end)"
 
-def _marks(norm: str, phrase: str) -> str:
-    """SQL for the (first word, last word) intervals of a phrase in doubled-space text ``norm``."""
-    n = len(phrase.split())
-    needle = " " + "  ".join(phrase.split()) + " "
-    words = "int((length(p) - length(replace(p, ' ', ''))) / 2)"
-    return f"""aggregate(slice(split({norm}, '{needle}'), 1, size(split({norm}, '{needle}')) - 1), struct(cast(array() as array<int>) as at, 0 as seen),
-      (s, p) -> struct(array_append(s.at, s.seen + {words}) as at, s.seen + {words} + {n} as seen), s -> s.at)"""
 
-
-def _rule_table() -> str:
-    """SQL for the rules by keyword and name: each gate is tried once a text."""
-    whole = lambda rx: f"'(?<= )(?:{rx})(?= )'"
-    words: dict[str, dict[str, list[str]]] = {}
-    for i, p, c, label, word, rx, name, cue in _gated_rules():
-        words.setdefault(word, {}).setdefault(name, []).append(f"struct({i} as i, {p} as prio, double({c}) as conf, '{label}' as label, '{cue}' as cue, {whole(rx)} as rx)")
-    named = lambda names: ", ".join(f"struct({whole(name)} as name, array({', '.join(rules)}) as rules)" for name, rules in names.items())
-    return "array(" + ", ".join(f"struct(' {word} ' as word, array({named(names)}) as names)" for word, names in words.items()) + ")"
+#: SQL: whether detection e suppresses detection d.
+_BEATS = "e.lo <= d.lo and e.hi >= d.hi and (e.prio < d.prio or (e.prio = d.prio and (e.hi - e.lo > d.hi - d.lo or (e.hi - e.lo = d.hi - d.lo and e.i < d.i))))"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -115,60 +53,40 @@ def scan(docs: DataFrame) -> DataFrame:
 
     detections lists the label, priority, confidence and word interval of what is left after
     suppression.  A null text is empty and has no label; score is the best confidence, 0
-    without any.  Repeated rows and null ids are rows like others; columns of the input with a
-    name of the result are replaced.
+    without any.  Repeated rows and null ids are rows like others, a text of any length takes time
+    in proportion, an empty table gives an empty table; columns of the input with a name of the
+    result are replaced, any other name may stand.
     """
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     docs = docs.drop(*made)
     lower = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    out = docs.withColumn("_n", F.btrim(F.regexp_replace(lower, GAP, " ")))
-    words = sorted({w for _, w, _ in FAMILIES})
-    out = out.withColumn("n_words", F.when(F.col("_n") == "", 0).otherwise(F.char_length("_n") - F.char_length(F.replace("_n", F.lit(" "), F.lit(""))) + 1).cast("bigint"))
-    out = out.withColumn("_n", F.concat(F.lit(" "), "_n", F.lit(" ")))
-    gate = None
-    for w in words:
-        hit = F.contains("_n", F.lit(f" {w} "))
-        gate = hit if gate is None else gate | hit
-    base_gate = None
-    for phrase, _ in BASE:
-        hit = F.contains("_n", F.lit(f" {phrase} "))
-        base_gate = hit if base_gate is None else base_gate | hit
-    doubled = F.when(base_gate, F.concat(F.lit(" "), F.replace(F.btrim("_n"), F.lit(" "), F.lit("  ")), F.lit(" ")))
-    out = out.withColumn("_d", doubled)
-    for k, (phrase, _) in enumerate(BASE):
-        out = out.withColumn(f"_b{k}", F.when(F.col("_d").isNotNull(), F.expr(_marks("_d", phrase))).otherwise(F.array().cast("array<int>")))
-    # each rule marks its matches; the words before a mark are the spaces before it
-    names = F.expr(f"filter(flatten(transform(filter({_rule_table()}, g -> contains(_n, g.word)), g -> g.names)), f -> _n rlike f.name)")
-    out = out.withColumn("_r", F.when(gate, names))
-    hits = F.expr(
-        """flatten(transform(filter(flatten(transform(_r, f -> f.rules)), r -> contains(_n, r.cue)), r ->
-          aggregate(split(regexp_replace(_n, r.rx, '\\u0001$0\\u0002'), '\\u0001'),
-            struct(cast(array() as array<struct<label: string, prio: int, conf: double, i: int, lo: int, hi: int>>) as found, 0 as seen),
-            (s, p) -> struct(
-              if(contains(p, '\\u0002'), array_append(s.found, struct(r.label as label, r.prio as prio, r.conf as conf, r.i as i, s.seen - 1 as lo,
-                s.seen - 1 + length(substring_index(p, '\\u0002', 1)) - length(replace(substring_index(p, '\\u0002', 1), ' ', '')) as hi)), s.found) as found,
-              s.seen + length(p) - length(replace(p, ' ', '')) as seen),
-            s -> s.found)))"""
-    )
-    out = out.withColumn("_h", F.when(F.size("_r") > 0, hits))
-    kept = F.expr(
-        """filter(_h, d -> not exists(_h, e -> e.lo <= d.lo and e.hi >= d.hi and
-             (e.prio < d.prio or (e.prio = d.prio and (e.hi - e.lo > d.hi - d.lo or (e.hi - e.lo = d.hi - d.lo and e.i < d.i))))))"""
-    )
-    empty = F.array().cast("array<struct<label: string, prio: int, conf: double, i: int, lo: int, hi: int>>")
-    out = out.withColumn("detections", F.coalesce(kept, empty))
-    places = F.flatten(F.array(*[F.col(f"_b{k}") for k in range(len(BASE))]))
-    base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"_b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(BASE)])))
-    out = out.withColumn("_at", places).withColumn("_base", base)
-    every = F.array_sort(F.array_union("_base", F.transform("detections", lambda d: d["label"])))
-    best = F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda d: d["conf"])), F.lit(0.0)), F.when(F.size("_base") > 0, 0.6).otherwise(0.0))
+    # the input's columns stay in a struct, so that none of its names meets one of ours
+    out = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("input"), F.btrim(F.regexp_replace(lower, GAP, " ")).alias("norm"))
+    n_words = F.when(F.col("norm") == "", 0).otherwise(F.char_length("norm") - F.char_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+    gate = _any([F.contains("norm", F.lit(k.strip())) for k in KEYWORDS])
+    out = out.select("input", n_words.cast("bigint").alias("n_words"), F.when(gate, F.split("norm", " ")).alias("words"))
+    firsts = sorted({w for r in signature_rules() for w in r[4]} | {phrase.split()[0] for phrase, _ in BASE})
+    starts = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda c: c["w"].isin(firsts))
+    context = F.transform(starts, lambda c: F.struct(c["i"], c["w"], F.array_join(F.slice("words", c["i"] + 1, SPAN), " ").alias("t")))
+    out = out.select("input", "n_words", context.alias("starts"))
+    base = F.expr("array_compact(transform(starts, c -> case " + " ".join(f"when c.w = '{p.split()[0]}' and startswith(concat(c.t, ' '), '{p} ') then struct(c.i as at, '{label}' as label)" for p, label in BASE) + " end))")
+    tried = F.expr(f"filter(transform(starts, c -> {_tried()}), x -> size(x) > 0)")
+    out = out.select("input", "n_words", base.alias("base"), tried.alias("tried"))
+    # first among the detections of one start, which leaves few, then against the starts before
+    own = F.expr(f"transform(tried, x -> filter(x, d -> not exists(x, e -> {_BEATS})))")
+    out = out.select("input", "n_words", "base", own.alias("own"))
+    kept = F.expr(f"flatten(transform(own, (x, k) -> filter(x, d -> not exists(flatten(slice(own, greatest(k + 2 - {SPAN}, 1), least(k + 1, {SPAN}))), e -> {_BEATS}))))")
+    out = out.select("input", "n_words", F.coalesce("base", F.array().cast("array<struct<at: int, label: string>>")).alias("base"), F.coalesce(kept, F.array().cast(f"array<{FOUND}>")).alias("detections"))
+    at, labels = F.transform("base", lambda b: b["at"]), F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
+    every = F.array_sort(F.array_union(labels, F.transform("detections", lambda d: d["label"])))
+    best = F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda d: d["conf"])), F.lit(0.0)), F.when(F.size("base") > 0, 0.6).otherwise(0.0))
     return out.select(
-        *[f"`{c}`" for c in docs.columns],
+        "input.*",
         "n_words",
-        F.size("_at").cast("bigint").alias("n_base"),
-        F.array_min("_at").cast("bigint").alias("first_word"),
-        F.array_max("_at").cast("bigint").alias("last_word"),
-        F.array_join("_base", ",").alias("base_labels"),
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(at).cast("bigint").alias("first_word"),
+        F.array_max(at).cast("bigint").alias("last_word"),
+        F.array_join(labels, ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
         best.alias("score"),
         "detections",

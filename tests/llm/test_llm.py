@@ -5,13 +5,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spectral_lake.llm import bpe, common, edit_fingerprint, html_extract, language_mixture, license_scan, minhash, mixing, quality_rules, queries, suffix_dedup, toxicity
+from spectral_lake.llm import bpe, common, edit_fingerprint, html_extract, language_mixture, license_scan, license_signatures, minhash, mixing, quality_rules, queries, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -314,12 +315,12 @@ def scan_by_force(text):
     t = (text or "").translate({c: c + 32 for c in range(65, 91)})
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t)
     at = [(i, label) for p, label in license_scan.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-    norm, found = f" {' '.join(w)} ", []
-    for i, prio, conf, label, word, rx in license_scan.signature_rules():
-        if f" {word} " in norm:
-            for m in re.finditer(f"(?<= )(?:{rx})(?= )", norm):
-                lo = norm[: m.start()].count(" ") - 1
-                found.append((prio, i, conf, label, lo, lo + m[0].count(" ")))
+    found = []
+    for k, first in enumerate(w):
+        rest = " ".join(w[k : k + 60])
+        for i, prio, conf, label, words, rx in license_signatures.signature_rules():
+            if first in words and (m := re.match(f"(?:{rx})(?= |$)", rest)):
+                found.append((prio, i, conf, label, k, k + m[0].count(" ")))
     inside = lambda d, e: e[4] <= d[4] and e[5] >= d[5] and (e[0] < d[0] or (e[0] == d[0] and (e[5] - e[4], d[1]) > (d[5] - d[4], e[1])))
     left = [d for d in found if not any(inside(d, e) for e in found)]
     base = sorted({label for _, label in at})
@@ -327,13 +328,49 @@ def scan_by_force(text):
     return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(base), ",".join(sorted({*base, *(d[3] for d in left)})), score
 
 
+LICENSES = [
+    ("MIT License mit license, MIT LICENSE", {"mit"}),
+    ("Licensed under the Apache License, Version 2.0. and Apache License", {"apache", "apache-2.0"}),
+    ("under CC-BY-NC-SA 4.0; SPDX-License-Identifier: GPL-3.0", {"cc-by", "cc-by-nc-sa", "gpl-3.0"}),
+    ("SPDX-License-Identifier: MIT", {"mit"}),
+    ("// SPDX-License-Identifier: Apache-2.0", {"apache-2.0"}),
+    ("SPDX-License-Identifier: MPL-2.0", {"mpl-2.0"}),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", {"lgpl-2.1"}),
+    ("Licensed under the GPLv3", {"gpl-3.0"}),
+    ("licensed under the GNU GPL", {"gpl"}),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", {"mit"}),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", {"bsd"}),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of", {"gpl", "gpl-3.0+"}),
+    ("GNU General Public License, version 3 all rights reserved", {"gpl", "gpl-3.0", "all-rights-reserved"}),
+    ("Todos los derechos reservados", {"all-rights-reserved"}),
+    ("cc bye and a mit of wool, licence to cook", set()),
+]
+
+
 def test_licenses(spark, rows):
-    more = ["MIT License mit license, MIT LICENSE", "Licensed under the Apache License, Version 2.0. and Apache License", "under CC-BY-NC-SA 4.0; SPDX-License-Identifier: GPL-3.0", "GNU General Public License, version 3 all rights reserved", "cc bye"]
-    texts = [r[1] for r in rows] + more
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = license_scan.scan(d).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    assert bag(got) == collections.Counter((i, *scan_by_force(t)) for i, t in enumerate(texts))
-    assert len(license_scan.signature_rules()) > 300
+    texts = [r[1] for r in rows] + [t for t, _ in LICENSES] + [" ".join(t for t, _ in LICENSES) * 3]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("words", F.lit("mine")).withColumn("own", F.lit(1)).withColumn("labels", F.lit(2))
+    out = license_scan.scan(d)
+    got = out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "words", "own")
+    assert bag(got) == collections.Counter((i, *scan_by_force(t), "mine", 1) for i, t in enumerate(texts))
+    labels = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in out.collect()}
+    assert all(labels[len(rows) + k] == want for k, (_, want) in enumerate(LICENSES))
+    assert license_scan.scan(d.limit(0)).count() == 0
+
+
+def test_every_license_signature_is_gated_and_short():
+    rules = license_signatures.signature_rules()
+    assert len(rules) > 250 and len({r[5] for r in rules}) == len(rules)
+    for r in rules:
+        assert license_signatures.keyword_of(r[5]) and r[4]
+        assert len(re.sub(r"[()?:|]", " ", r[5].replace("{1,12}", " x" * 12)).split()) <= license_signatures.SPAN
+
+
+def test_many_licenses_in_one_text_take_time_in_proportion(spark):
+    text = "Released under the MIT License. Apache License 2.0, see GPLv3; all rights reserved\n" * 12_000  # 1 MB
+    began = time.time()
+    (row,) = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).select("n_base", F.size("detections").alias("n")).collect()
+    assert tuple(row) == (24_000, 48_000) and time.time() - began < 60
 
 
 def test_language(spark, docs):
