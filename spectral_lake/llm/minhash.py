@@ -129,11 +129,11 @@ class Forest:
 class BySignature:
     """Pairs whose signatures differ in at most ``most`` symbols."""
 
-    def __init__(self, most: int) -> None:
-        self.most = most
+    def __init__(self, most: int, symbol: type = np.uint16) -> None:
+        self.most, self.symbol = most, symbol
 
     def load(self, rows: list[dict]) -> None:
-        self.sigs = np.frombuffer(b"".join(r["payload"] for r in rows), np.uint16).reshape(len(rows), -1)
+        self.sigs = np.frombuffer(b"".join(r["payload"] for r in rows), self.symbol).reshape(len(rows), -1)
 
     def like(self, i: int, others: np.ndarray) -> np.ndarray:
         return others[(self.sigs[others] != self.sigs[i]).sum(axis=1) <= self.most]

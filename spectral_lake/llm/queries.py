@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, edit_fingerprint, html_extract, language_mixture, license_scan, minhash, mixing, quality_rules, suffix_dedup, toxicity
-from .common import table
+from .common import materialise, table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -68,7 +68,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    prints = materialise(edit_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents")))
+    return prints.join(edit_fingerprint.near_classes(prints), "fingerprint").select(*prints.columns, "near_class")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

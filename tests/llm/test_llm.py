@@ -299,16 +299,63 @@ def test_edited_texts_without_ids(spark, n):
     assert edit_fingerprint.edited_fingerprints(d).count() == n
 
 
-def test_few_edits_keep_a_fingerprint_near(spark):
+def test_walk_against_a_plain_loop():
+    def plain(text):
+        coins, written = edit_fingerprint.read(text)
+        steps, at, stands = edit_fingerprint.steps_of(len(text)), 0, []
+        for t in range(int(steps.max()) + 1):
+            stands.append(at)
+            at += int(edit_fingerprint._COINS[t % edit_fingerprint.PERIOD, coins[at]])
+        return [written[stands[t]] for t in steps.tolist()]
+
+    rng = random.Random(5)
+    texts = ["", "a", "ab", "é" * 5000, "漢字 text"] + ["".join(rng.choice("abcdef ghi") for _ in range(rng.randrange(1, 9000))) for _ in range(12)]
+    for x, y in zip(texts, [*texts[1:], texts[0]]):
+        cut = len(x) // 4
+        edited = x[: len(x) - cut] + y[:cut]
+        walked = edit_fingerprint.Walked(x, len(edited))
+        assert walked.print().tolist() == plain(x) == edit_fingerprint.fingerprint(x).tolist()
+        assert walked.edited(edited, len(x) - cut).tolist() == plain(edited)
+
+
+def test_near_and_far_texts():
     d = pd.read_parquet(f"{SF}/documents.parquet")
-    texts = [t for t in d["text"] if len(t) > 500][:40]
-    edited = [t[:100] + "zz" + t[100:200] + t[203:] for t in texts]
-    a, b = edit_fingerprint.fingerprints(texts), edit_fingerprint.fingerprints(edited)
-    assert min(edit_fingerprint.likeness(x, y) for x, y in zip(a, b)) > 0.5
-    assert np.mean([edit_fingerprint.likeness(x, y) for x, y in zip(a, b[1:])]) < 0.2
-    prints = spark.createDataFrame([(i, edit_fingerprint.as_text(x)) for i, x in enumerate([*a, *b])], "doc_id bigint, fingerprint string")
-    found = {(r["leader"], r["doc_id"]) for r in edit_fingerprint.near_pairs(prints, least=0.4).collect()}
-    assert {(i, i + 40) for i in range(40)} <= found
+    texts = [t for t in d["text"] if len(t) > 500][:60]
+    a = [edit_fingerprint.fingerprint(t) for t in texts]
+    few = [edit_fingerprint.likeness(x, edit_fingerprint.fingerprint(t[:100] + "zz" + t[100:200] + t[203:])) for x, t in zip(a, texts)]
+    assert np.mean(few) > 0.8 and np.mean([edit_fingerprint.likeness(x, y) for x, y in zip(a, a[1:])]) < 0.1
+
+
+def test_near_classes_find_what_all_pairs_find(spark):
+    rng = random.Random(6)
+    texts = [t for t in pd.read_parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")["text"]]
+    for t in [t for t in texts if len(t) > 300][:400]:
+        at = rng.randrange(len(t))
+        texts.append(t[:at] + rng.choice(["z", "", "other words "]) + t[at + rng.randrange(3) :])
+    prints = np.stack([edit_fingerprint.fingerprint(t) for t in texts])
+    same = np.concatenate([(prints[i : i + 100, None, :] == prints[None]).sum(axis=2) for i in range(0, len(prints), 100)])
+    linked = [(int(i), int(j)) for i, j in np.argwhere(np.triu((same / 128 - 1 / 16) * 16 / 15 >= 0.8, 1))]
+    rows = [(i, edit_fingerprint.as_text(p)) for i, p in enumerate(prints)]
+    d = spark.createDataFrame(rows, "doc_id bigint, fingerprint string").repartition(3)
+    for cap in (256, 4):
+        got = {r["fingerprint"]: r["near_class"] for r in edit_fingerprint.near_classes(d, cap=cap).collect()}
+        assert set(got) == {p for _, p in rows}
+        met = [got[rows[i][1]] == got[rows[j][1]] for i, j in linked]
+        assert len(met) > 300 and np.mean(met) >= 0.98
+        up = list(range(len(rows)))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, j in linked:
+            up[root(i)] = root(j)
+        least = {}
+        for i in range(len(rows)):
+            least[root(i)] = min(least.get(root(i), i), i)
+        assert np.mean([got[p] == least[root(i)] for i, p in rows]) > 0.98 and all(root(got[p]) == root(i) for i, p in rows)
+    assert edit_fingerprint.near_classes(d.limit(0)).count() == 0
 
 
 def scan_by_force(text):
