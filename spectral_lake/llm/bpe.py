@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 from zlib import crc32
 
@@ -34,10 +35,40 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(ranks: str, pattern: str):
-    import tiktoken
+def _ranks(path: str) -> dict[bytes, int]:
+    return load_ranks(path)
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
+
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a pre-token: the pair of neighbours of least rank is merged, leftmost first, until none has a rank.
+
+    Pairs wait in a heap and pieces are chained, so that a pre-token of any length takes n log n.
+    """
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    end = list(range(1, n + 1))  # where the piece that starts here ends; 0 once it is part of another
+    before = list(range(-1, n - 1))
+    waiting = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(waiting)
+    while waiting:
+        _, i, stop = heappop(waiting)
+        middle = end[i]
+        if not middle or middle >= stop or end[middle] != stop:
+            continue  # one of the two has been merged meanwhile
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heappush(waiting, (r, i, end[stop]))
+        if (p := before[i]) >= 0 and (r := ranks.get(word[p:stop])) is not None:
+            heappush(waiting, (r, p, stop))
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[word[at : end[at]]])
+        at = end[at]
+    return out
 
 
 PART = "chunk bigint, bucket int, words binary, rest binary, lengths binary, seq binary, dealt binary"
@@ -133,12 +164,12 @@ def _chunks(pattern: str, buckets: int):
     return run
 
 
-def _encode_words(ranks: str, pattern: str):
+def _encode_words(path: str):
     """The ids of each chunk's words, for rows in bucket order; a bucket's distinct words are encoded once."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(ranks, pattern).encode_ordinary
+        ranks = _ranks(path)
         bucket, known = None, {}
         for b in batches:
             counts, ids = [], []
@@ -149,7 +180,7 @@ def _encode_words(ranks: str, pattern: str):
                 for w in _unpack_words(packed):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = encode(w.decode())
+                        got = known[w] = merge_word(w, ranks)
                     own.append(got)
                 counts.append(_pack(np.fromiter(map(len, own), np.uint32, len(own))))
                 ids.append(_pack(np.fromiter(chain.from_iterable(own), np.uint32)))
@@ -204,14 +235,15 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """``docs(text, ...)`` with ``ids``, the tokens as little-endian unsigned 32-bit integers, in place of text.
 
     ``ranks`` is a path that every executor can read.  Null and empty texts have no ids; rows,
-    repeated ones included, each stay.  A column ids of the input is replaced.
+    repeated ones included, each stay.  A text of any length is one text of its chunk.  An empty
+    table gives an empty table.  A column ids of the input is replaced; other names may be any.
     """
     rest = [f for f in bounded_batches(docs).schema if f.name not in ("text", "ids")]
     names = [f"`{f.name}`" for f in rest]
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = materialise_by(docs.select(*names, F.col("text")).mapInArrow(_chunks(pattern, min(60_000, 2 * shuffled)), PART), "chunk", shuffled)
     words = parts.where("bucket is not null").select("chunk", "bucket", "words")
-    back = words.repartition(shuffled, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks, pattern), "of bigint, bucket int, counts binary, ids binary")
+    back = words.repartition(shuffled, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(ranks), "of bigint, bucket int, counts binary, ids binary")
     chunks = parts.where("seq is not null").select("chunk", "rest", "lengths", "seq", "dealt")
     schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rest, strict=True)] + ["ids binary"])
     return chunks.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_assemble, schema)

@@ -279,6 +279,19 @@ def test_bpe_is_tiktoken(docs, rows):
     assert bpe.encode(docs.limit(0), ranks, public.PATTERN).count() == 0
 
 
+def test_merging_is_tiktoken():
+    import tiktoken
+
+    public = queries.public_tokenizers()
+    ranks = bpe.load_ranks(public.path(queries.RANKS))
+    own = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aebcdthé漢 .\n0") for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["a" * 3001, "x" * 257, "thethethe" * 500, "\u00e9" * 999]
+    assert all(bpe.merge_word(w.encode(), ranks) == own.encode_ordinary(w) for w in words)
+    long_one = "".join(rng.choice("abcdefgh") for _ in range(300_000))
+    assert bpe.merge_word(long_one.encode(), ranks) == own.encode_ordinary(long_one)
+
+
 @pytest.mark.parametrize("buckets,step", [(1, 10**6), (4, 500)])
 def test_edited_texts(docs, rows, buckets, step):
     out = edit_fingerprint.edited_fingerprints(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), buckets, step).toPandas().sort_values("doc_id")
