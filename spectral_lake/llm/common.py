@@ -112,22 +112,24 @@ def sweep(spark: SparkSession, keep: DataFrame | None = None) -> None:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``; root is the least node reachable.
 
-    Alternating large-star and small-star rounds: every edge is re-attached to the least
-    neighbour, which spreads a hub's edges instead of piling them up.  Each round is written
-    to the shared folder; the loop stops when the edge set no longer changes.
+    Alternating large-star and small-star rounds re-attach each edge to the least neighbour.
+    Least neighbours are aggregates, written on their own: the joins then read two plain
+    exchanges, whose large partitions adaptive execution splits, so that a hub's edges are not
+    one task's load.  Each round is written to the shared folder and the one before removed; the
+    loop stops when the edge set no longer changes.
     """
-    spark = edges.sparkSession
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        large = materialise(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         # small star: each node's smaller neighbours, and itself, attach to the least of them
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        floor = materialise(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(floor, "a").select(F.explode(F.array(F.col("a"), F.col("b"))).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        now = materialise(small)
+        before, now = now, materialise(small)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(before, least, large, floor)
         if tuple(mark) == seen:
             break
         seen = tuple(mark)

@@ -16,7 +16,8 @@ Groups are bounded: a group heavier than its cap is split in blocks that share e
 What stays apart from the first pivot is compared with every block, slice by slice, so that no
 link is lost whatever the group's size.
 
-At similarity 0.85 a pair shares no key with probability below 1e-6 (8 chunks of 5, 1 error).
+At similarity 0.85 a pair shares no key with probability below 1e-6, at 0.80 2e-5 (8 chunks of 5
+symbols, 1 error).
 """
 
 from __future__ import annotations
@@ -233,12 +234,15 @@ def group_links(members: DataFrame, measure: BySignature | BySet, cap: int) -> D
     """A spanning forest of the links in each group of ``members(grp, node, weight, payload)``.
 
     Groups up to ``cap`` in weight are one block.  Heavier ones are dealt over blocks by node,
-    each with the group's pivots; nodes apart from the first pivot then meet every block.
+    each with the group's pivots; nodes apart from the first pivot then meet every block.  Beyond
+    256 blocks these grow with the group, to 16 times ``cap``: fewer blocks to meet.
     """
     spark = members.sparkSession
     members = materialise(members)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = members.groupBy("grp").agg(F.ceil(F.sum("weight") / F.lit(cap)).cast("int").alias("blocks"))
+    share = lambda most: F.ceil(F.sum("weight") / F.lit(most))
+    blocks_of = F.least(share(cap), F.greatest(F.lit(256), share(16 * cap))).cast("int")
+    sizes = members.groupBy("grp").agg(blocks_of.alias("blocks"))
     run = lambda df: df.repartition(parts, "grp", "block", "slice").sortWithinPartitions("grp", "block", "slice").mapInArrow(_blocks(measure), LINK)
     zero = F.lit(0)
     large = materialise(sizes.where("blocks > 1"))
@@ -252,7 +256,7 @@ def group_links(members: DataFrame, measure: BySignature | BySet, cap: int) -> D
     first = materialise(run(big.select("grp", "block", zero.alias("slice"), zero.alias("role"), "node", "payload").union(spread)))
     apart = first.where("b is null").select("grp", F.col("a").alias("node")).distinct()
     left = big.join(apart, ["grp", "node"])
-    slices = left.groupBy("grp").agg(F.ceil(F.sum("weight") / F.lit(cap)).cast("int").alias("slices"))
+    slices = left.groupBy("grp").agg(blocks_of.alias("slices"))
     left = left.join(slices, "grp").withColumn("slice", F.pmod(F.shiftright(h, 10), "slices").cast("int"))
     asked = left.select("grp", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), "slice", F.lit(2).alias("role"), "node", "payload")
     against = big.join(slices, "grp").select("grp", "block", F.explode(F.sequence(zero, F.col("slices") - 1)).alias("slice"), zero.alias("role"), "node", "payload")
@@ -265,7 +269,7 @@ def row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("rk", F.xxhash64("doc_id", "text"))
 
 
-def grouped(docs: DataFrame, words: int = 5, percent: int = 85, chunks: int = 8, width: int = 5, errors: int = 1, slack: int = 5, cap: int = 4096, set_cap: int = 2_000_000) -> DataFrame:
+def grouped(docs: DataFrame, words: int = 5, percent: int = 85, chunks: int = 8, width: int = 5, errors: int = 1, slack: int = 5, cap: int = 256, set_cap: int = 256_000) -> DataFrame:
     """``near_duplicates`` with, besides, the row's key rk and the digest ``root`` of its group, null without words."""
     size, distance = chunks * width, chunks * (errors + 1) - 1
     slim = row_key(bounded_batches(docs).select("doc_id", "text"))
@@ -277,7 +281,7 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 85, chunks: int = 8,
     members = keyed.join(chosen, "grp").distinct().join(nodes.select("node", "sig"), "node").select("grp", "node", F.lit(1).alias("weight"), F.col("sig").alias("payload"))
     groups = components(group_links(members, BySignature(distance + slack), cap))
     # whole texts of the nodes in candidate groups, one row's each; should two rows share a key, the set tells them apart
-    wanted = groups.join(nodes, "node").select("node", F.xxhash64("root").alias("grp"), "rk", F.col("n").alias("weight"))
+    wanted = groups.join(nodes, "node").select("node", F.xxhash64("root").alias("grp"), "rk", (F.col("n") + 1000).alias("weight"))
     texts = slim.join(wanted, "rk").select("grp", "node", "weight", F.col("text").alias("payload"))
     checked = texts.mapInArrow(_own_text(words), "grp bigint, node binary, weight bigint, payload binary").dropDuplicates(["grp", "node"])
     roots = components(group_links(checked, BySet(percent, words), set_cap))
