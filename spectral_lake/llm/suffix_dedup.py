@@ -362,7 +362,7 @@ def repeated_spans(slim: DataFrame, length: int, gram: int, hot: int) -> DataFra
     discard(every, again)
     kinds = runs.groupBy("ahash", "rhash").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rk", "base", "start", "n", "off")).alias("rep"))
     kinds = materialise(kinds.select("ahash", "rhash", "copies", "rep.*"))
-    per = kinds.groupBy("ahash").agg(F.count("*").alias("variants")).where("variants > 1")
+    per = materialise(kinds.groupBy("ahash").agg(F.count("*").alias("variants")).where("variants > 1"))  # written, so that the join can split an anchor
     wanted = kinds.join(per, "ahash").groupBy("doc_id", "rk", "base").agg(F.collect_list(F.struct("ahash", "rhash", "variants", "start", "n", "off")).alias("wanted"))
     d, m = slim.alias("d"), wanted.alias("m")
     found = d.join(m, (F.col("d.rk") == F.col("m.rk")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.base") == F.col("m.base"))).select("d.text", "m.wanted")
@@ -379,7 +379,7 @@ def repeated_spans(slim: DataFrame, length: int, gram: int, hot: int) -> DataFra
     start = F.col("base") + F.col("start")
     span = F.struct((start + F.col("lo")).alias("lo"), (start + F.col("hi") + length).alias("hi"))
     out = materialise(runs.join(flags, ["ahash", "rhash"]).groupBy("doc_id", "rk").agg(F.collect_set(span).alias("spans")))
-    discard(runs, kinds, contexts, blocks, flags)
+    discard(runs, kinds, per, contexts, blocks, flags)
     return out
 
 
