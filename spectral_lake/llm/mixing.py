@@ -14,6 +14,8 @@ sums are over distinct sizes; the documents of one size are ranked in salted par
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,32 +31,46 @@ def size_of(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPLIT))).cast("bigint")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with the place ``rank`` of each source by code point, null last, from 0: counted within ranges, then shifted."""
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(sizes.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))  # a row a partition
+    ahead = counts.select(F.col("range").alias("r"), F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    local = F.row_number().over(W.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return dealt.withColumn("local", local).join(ahead, F.col("range") == F.col("r")).withColumn("rank", F.col("local") + F.col("ahead")).drop("local", "range", "r", "ahead")
+
+
 def targets(sizes: DataFrame, cap: float) -> DataFrame:
     """(source, source_size, target) from ``sizes(source, source_size)``: one row a source.
 
     Weights 1, 2, 3 repeat over the sources by code point, null last.  Shares stop at ``cap``
-    times the source; what is over goes to the others by weight.  In order of cap per weight
-    the capped sources come first, so one running sum tells them.
+    times the source; what is over goes to the others by weight, until none is above.  Each
+    such step is one aggregate over the sources, of which there may be many.
     """
-    every = W.orderBy(F.col("source").asc_nulls_last())
-    w = sizes.withColumn("weight", (F.pmod(F.row_number().over(every) - 1, F.lit(3)) + 1).cast("double"))
-    w = w.withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    by = W.orderBy((F.col("most") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    total, weights = F.sum("source_size").over(W.partitionBy()), F.sum("weight").over(W.partitionBy())
-    w = w.withColumn("left", total.cast("double") - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-    w = w.withColumn("w_left", weights - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    w = w.withColumn("level", F.when(F.col("most") * F.col("w_left") > F.col("left") * F.col("weight"), F.col("left") / F.col("w_left")))
-    level = F.min_by("level", F.when(F.col("level").isNotNull(), F.col("most") / F.col("weight"))).over(W.partitionBy())
-    return w.select("source", "source_size", F.least("most", F.coalesce(F.col("weight") * level, F.col("most"))).alias("target"))
+    w = _ranked(sizes).withColumn("weight", (F.pmod("rank", F.lit(3)) + 1).cast("double")).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    w = materialise(w.select("source", "source_size", "weight", "most"))
+    total, weights = w.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level, capped = (total / weights if weights else 0.0), None
+    while weights:
+        over = F.col("most") < F.col("weight") * F.lit(level)
+        n, used, rest = w.agg(F.count(F.when(over, 1)), F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if n == capped or not rest:
+            break
+        level, capped = (total - used) / rest, n
+    return w.select("source", "source_size", F.least("most", F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _tilt(z: Column, lam: Column, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(lam * z, F.lit(50.0))))
 
 
-def balance(groups: DataFrame, goal: DataFrame, cap: float, steps: int = 24, tolerance: float = 1e-9) -> DataFrame:
-    """(source, lam) from ``groups(source, size, n)`` and ``goal(source, source_size, target)``."""
+def balance(groups: DataFrame, goal: DataFrame, cap: float, steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """(source, mean, lam) from ``groups(source, size, n)`` and ``goal(source, source_size, target)``.
+
+    Steps end when each source is within ``tolerance`` of its target; if some are not after
+    ``steps``, which bisection alone would bring near, a warning says how many.
+    """
     g = groups.where("size > 0")
     facts = g.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
     ratio = F.col("target") / F.col("source_size")
@@ -80,6 +96,8 @@ def balance(groups: DataFrame, goal: DataFrame, cap: float, steps: int = 24, tol
         state = materialise(now.select("s", "mean", "target", "lo", "hi", lam.alias("lam"), settled.alias("done")))
         if state.where("not done").isEmpty():
             break
+    else:
+        warnings.warn(f"{state.where('not done').count()} sources are not within {tolerance} of their targets", stacklevel=2)
     return state.select(F.col("s").alias("source"), "mean", "lam")
 
 
@@ -87,9 +105,28 @@ def mix_sources(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` reduced to doc_id, source, size, source_size, target, rate, copies, taken.
 
     One row for each input row, repeated rows and null ids included.  A null text has size 0 and
-    is taken zero times; a source whose texts are all empty has target 0.  Reruns agree.
+    is taken zero times; a source whose texts are all empty has target 0.  Texts of any length
+    are counted whole.  An empty table gives an empty table; columns of the input besides doc_id,
+    text and source are left out, whatever their names.  Reruns agree.
     """
-    parts = materialise(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")))
+    return _taken(_measured(docs), cap).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "h")
+
+
+def mix_documents(docs: DataFrame, cap: float = 3.0) -> DataFrame:
+    """``docs(doc_id, text, source, ...)``, each row as often as the mix takes it; cases as in ``mix_sources``."""
+    whole = F.struct(*[f"`{c}`" for c in docs.columns]).alias("input")
+    taken = _taken(_measured(docs, whole), cap).where("copies > 0")
+    return taken.select("input", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("input.*")
+
+
+def _measured(docs: DataFrame, *more: Column) -> DataFrame:
+    h = F.xxhash64("doc_id", "text")
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), h.alias("h"), F.pmod(h, F.lit(SALTS)).cast("int").alias("salt"), *more)
+
+
+def _taken(measured: DataFrame, cap: float) -> DataFrame:
+    """``measured(doc_id, source, size, h, salt, ...)`` with source_size, target, rate and copies."""
+    parts = materialise(measured)
     cells = materialise(parts.groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
     groups = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     goal = materialise(targets(groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), cap))
@@ -125,4 +162,4 @@ def mix_sources(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("h", "doc_id"))
     out = parts.withColumn("rank", rank).join(c, F.col("source").eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cz")) & (F.col("salt") == F.col("ck")))
     copies = F.col("base") + F.when(F.col("ahead") + F.col("rank") <= F.col("extra"), 1).otherwise(0)
-    return out.withColumn("copies", F.least(copies, F.lit(int(cap)))).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "h")
+    return out.withColumn("copies", F.least(copies, F.lit(int(cap))))
