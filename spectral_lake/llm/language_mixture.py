@@ -133,7 +133,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
     """``docs(text, ...)`` with lang_pred, score and mixture in place of text.
 
     A null text, or one without letters, is ``und`` with score 0, as is every text if nothing
-    was learned.  Rows stay as they are, repeated ones included; columns of the input with a
+    was learned.  Rows stay as they are, repeated ones included; texts of any length are read
+    whole; an empty table gives an empty table; columns of the input with a
     name of the result are replaced.
     """
     docs = bounded_batches(docs).drop("lang_pred", "score", "mixture")

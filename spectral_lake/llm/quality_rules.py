@@ -34,19 +34,17 @@ RULES = (
 )
 
 
-_OWN = ("_t", "_s", "_words", "_lines", "_h", "_grams", "_twice", "_at", "_m")
-
-
 def _count(chars: str) -> Column:
     return F.char_length(F.regexp_replace("_s", f"[^{chars}]+", "")).cast("bigint")
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` with the counts of each whole text; a null text has none."""
+    """``docs`` with the counts of each whole text; a null text has none.  Columns may have any name but a count's."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(WHITE))
-    out = docs.drop(*_OWN).withColumn("_t", text)
-    out = out.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT)))
+    # the input's columns stay in a struct, so that none of its names meets one of ours
+    out = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_in"), text.alias("_t"), trimmed.alias("_trimmed"))
+    out = out.withColumn("_words", F.when(F.col("_trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("_trimmed", SPLIT)))
     out = out.withColumn("_lines", F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != ""))
     # what is left without small letters and letters beyond ASCII holds all other counts
     out = out.withColumn("_s", F.regexp_replace("_t", "[^\\x00-\\x60\\x7B-\\x7F]+", ""))
@@ -75,8 +73,7 @@ def measures(docs: DataFrame) -> DataFrame:
         _count("0-9").alias("n_digits"),
     )
     # one generated row each: a filter on a count stays above it and does not count again
-    kept = [f"`{c}`" for c in docs.columns if c not in _OWN]
-    return out.select(*kept, F.explode(F.array(counts)).alias("_m")).select(*kept, "_m.*")
+    return out.select("_in", F.explode(F.array(counts)).alias("_m")).select("_in.*", "_m.*")
 
 
 def compile_rules(rules=RULES) -> tuple[Column, Column]:
@@ -99,7 +96,8 @@ def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
 
     base_failed: under 50 words, or over half of the words stand in 3-word windows found twice.
     Empty and null texts have no words and fail.  Columns of the input with the name of a
-    count are replaced; repeated rows and null ids are rows like others.
+    count are replaced; repeated rows and null ids are rows like others.  A text of any length
+    takes time in proportion (the windows that repeat are sorted); an empty table gives an empty one.
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_capitals", "n_exclamations", "n_digits"]
     passes, failed = compile_rules(rules)

@@ -46,11 +46,12 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(w, pa.binary()), pa.array([y] * len(w), pa.list_(pa.int64()))], names=["word", "y"])
 
 
-def features(text: str | None, place: dict[bytes, int]) -> np.ndarray:
-    x = np.zeros(len(place) + SHARES)
-    for w in words_of(text) & place.keys():
-        x[place[w]] = 1.0
-    x[len(place) :] = shares_of(text)
+def features(texts: list[str | None], place: dict[bytes, int]) -> np.ndarray:
+    """A row for each text: which of the chosen words it has, and its shares."""
+    x = np.zeros((len(texts), len(place) + SHARES))
+    found = [[place[w] for w in words_of(t) & place.keys()] for t in texts]
+    x[np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.array([k for f in found for k in f], np.int64)] = 1.0
+    x[:, len(place) :] = [shares_of(t) for t in texts]
     return x
 
 
@@ -58,7 +59,7 @@ def _vectors(place: dict[bytes, int]):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t, place).tolist() for t in b.column("text").to_pylist()]
+            x = features(b.column("text").to_pylist(), place).tolist()
             yield pa.record_batch([b.column("h"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["h", "y", "x"])
 
     return run
@@ -99,16 +100,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, words: int =
     """Feature places and the chain, from ``labels(doc_id, quality, toxic)``.
 
     Fitted on at most about ``max_rows`` labelled rows, chosen by a digest of doc_id; null labels
-    are left out.  Without labelled rows the chain is empty and every probability is 0.
+    are left out.  Of several labels of a doc_id the worst counts (least quality, most toxic), of
+    several texts the least.  Without labelled rows the chain is empty and every probability is 0.
     """
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n = known.count()
     if not n:
         return {}, []
     h = F.xxhash64("doc_id")
     picked = known.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / n)))
     y = F.array(F.col("quality") == 0, (F.col("quality") == 0) & (F.col("toxic") == 1), F.col("toxic") == 1).cast("array<bigint>")
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").select(h.alias("h"), "text", y.alias("y")).dropDuplicates(["h"])
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").groupBy(h.alias("h"), y.alias("y")).agg(F.min("text").alias("text"))
     stats = rows.mapInArrow(_vocabulary, "word binary, y array<bigint>").groupBy("word").agg(F.count("*").alias("df"), *[F.sum(F.col("y")[k]).alias(f"p{k}") for k in range(len(CATEGORIES))])
     total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.col("y")[k]), F.lit(0)).alias(f"p{k}") for k in range(len(CATEGORIES))]).first()
     if not total["n"]:
@@ -135,7 +137,7 @@ def _apply(model):
             texts, out = b.column("text").to_pylist(), [[] for _ in CATEGORIES]
             for i in range(0, len(texts), 512):
                 part = texts[i : i + 512]
-                x = np.array([features(t, place) for t in part])
+                x = features(part, place)
                 for k in range(len(CATEGORIES)):
                     p = score(x, chain[k]) if chain else np.zeros(len(part))
                     out[k] += p.tolist()
@@ -149,8 +151,8 @@ def _apply(model):
 def classify(docs: DataFrame, model: tuple[dict[bytes, int], list[np.ndarray]], limit: float = 0.5) -> DataFrame:
     """``docs(text, ...)`` with a probability of each category and toxic (p_toxic >= limit) in place of text.
 
-    Null and empty texts have no words and the probabilities of that; rows stay as they are.
-    Columns of the input with a name of the result are replaced.
+    Null and empty texts have no words and the probabilities of that; rows stay as they are,
+    texts of any length are read whole, an empty table gives an empty table.  Columns of the input with a name of the result are replaced.
     """
     docs = bounded_batches(docs).drop("toxic", *(f"p_{c}" for c in CATEGORIES))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -75,6 +75,30 @@ def test_mixing(docs, rows):
     assert sorted(zip(out["h"], out["taken"])) == sorted(zip(again["h"], again["taken"]))
 
 
+def test_rates_solve_the_dual(spark):
+    """Rates against a bisection of each source's dual in numpy; copies are these rates, rounded."""
+    sf = SF.replace("0.001", "0.01")
+    out = mixing.mix_sources(common.table(spark, sf, "documents")).toPandas()
+    sizes = out.groupby("source")["size"].sum().sort_index()
+    weight = np.arange(len(sizes)) % 3 + 1.0
+    most, share = 3.0 * sizes.to_numpy(), None
+    capped = np.zeros(len(sizes), bool)
+    while share is None or ((share > most) & ~capped).any():
+        capped |= False if share is None else share > most
+        share = np.where(capped, most, weight * (sizes.sum() - most[capped].sum()) / weight[~capped].sum())
+    for (source, g), target in zip(out.groupby("source"), share):
+        assert g["target"].iloc[0] == pytest.approx(target)
+        z = g["size"] / g["size"].mean()
+        lo, hi = -200.0, 200.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            over = (g["size"] * np.minimum(3.0, np.exp(np.minimum(lam * z, 50)))).sum() > target
+            lo, hi = (lo, lam) if over else (lam, hi)
+        want = np.minimum(3.0, np.exp(np.minimum(lam * z, 50)))
+        assert np.allclose(g["rate"], np.where(g["size"] > 0, want, 0.0), rtol=1e-5)
+        assert (g["copies"] - g["rate"]).abs().max() <= 2 and abs((g["copies"] * g["size"]).sum() - target) <= 0.01 * target
+
+
 def test_mixing_comes_near_its_targets(spark):
     g = mixing.mix_sources(common.table(spark, SF.replace("0.001", "0.01"), "documents")).groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).toPandas()
     assert (abs(g["k"] - g["t"]) / g["t"]).max() < 0.01
@@ -444,6 +468,22 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language_mixture.identify(docs, language_mixture.train(docs.limit(0))).collect()} == {"und"}
 
 
+def test_mixture_is_plain_em():
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.ones(40), 3)
+    n = rng.integers(0, 9, 40)
+    w = [1 / 3] * 3
+    for _ in range(15):
+        new = [0.0] * 3
+        for cell, count in enumerate(n.tolist()):
+            total = sum(w[k] * p[k, cell] for k in range(3))
+            for k in range(3):
+                new[k] += count * w[k] * p[k, cell] / total
+        w = [x / sum(new) for x in new]
+    got, level = language_mixture.mixture(p, n)
+    assert np.allclose(got, w) and level == pytest.approx(sum(c * np.log(sum(w[k] * p[k, i] for k in range(3))) for i, c in enumerate(n.tolist())))
+
+
 def test_language_mixture_finds_both():
     rng = np.random.default_rng(4)
     p = np.stack([np.r_[np.full(50, 0.019), np.full(50, 0.001)], np.r_[np.full(50, 0.001), np.full(50, 0.019)], np.tile([0.019, 0.001], 50)])
@@ -452,14 +492,39 @@ def test_language_mixture_finds_both():
     assert main == 0 and share[0] == pytest.approx(0.7, abs=0.08) and share[:2].sum() > 0.9 and 0 < score <= 1
 
 
-def test_toxicity(spark, docs):
-    out = queries.op1_toxicity(spark, SF.replace("0.001", "0.1")).toPandas()
-    labels = pd.read_parquet(f"{SF.replace('0.001', '0.1')}/labels.parquet").rename(columns={"toxic": "truth"}).merge(out, on="doc_id")
-    hit = labels[labels["toxic"]]
-    assert (hit["truth"] == 1).mean() > 0.9 and labels[labels["truth"] == 1]["toxic"].mean() > 0.7
+def test_toxicity_on_labels_that_were_not_learned(spark):
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = common.table(spark, sf, "documents").select("doc_id", "text"), common.table(spark, sf, "labels")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
+    out = toxicity.classify(docs.join(labels.where(held), "doc_id"), toxicity.train(docs, labels.where(~held))).toPandas()
+    truth = common.table(spark, sf, "labels").where(held).toPandas().drop_duplicates("doc_id").set_index("doc_id")["toxic"]
+    right, hit = truth.reindex(out["doc_id"]).to_numpy() == 1, out["toxic"].to_numpy()
+    assert len(out) > 800 and right[hit].mean() > 0.9 and hit[right].mean() > 0.75
+
+
+def test_chain_feeds_out_of_fold_probabilities():
+    rng = np.random.default_rng(1)
+    x, fold = rng.normal(size=(400, 3)), np.arange(400) % 4
+    y = np.stack([x[:, 0] > 0, (x[:, 0] > 0) & (x[:, 1] > 0)], 1).astype(float)
+    models = toxicity.fit_chain(x, y, fold)
+    out = np.zeros(400)
+    for f in range(4):
+        out[fold == f] = toxicity.score(x[fold == f], toxicity.logistic(x[fold != f], y[fold != f, 0]))
+    assert np.allclose(models[1], toxicity.logistic(np.c_[x, out], y[:, 1])) and len(models[1]) == len(models[0]) + 1
+
+
+def test_toxicity_cases(spark, docs):
     empty = toxicity.train(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
-    got = toxicity.classify(docs.withColumn("toxic", F.lit(1)), empty).collect()
+    got = toxicity.classify(docs.withColumn("toxic", F.lit(1)).withColumn("p_toxic", F.lit("x")), empty).collect()
     assert len(got) == 18 and not any(r["toxic"] for r in got)
+    assert toxicity.classify(docs.limit(0), empty).count() == 0
+    bad, good = ["vile foul " + w for w in WORDS], ["calm kind " + w for w in WORDS]
+    d = spark.createDataFrame([*enumerate([*bad, *good]), (0, "zz"), (None, bad[0])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < len(bad))) for i in range(2 * len(WORDS))] + [(0, 1, 0), (1, None, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(d, labels, least_docs=2)
+    assert model[0].keys() >= {b"vile", b"foul"} and np.array_equal(model[1][2], toxicity.train(d.repartition(5), labels.repartition(3), least_docs=2)[1][2])
+    got = {r["text"]: r["toxic"] for r in toxicity.classify(d.withColumn("text", F.concat("text", F.repeat(F.lit(" of"), F.lit(400_000)))), model).join(d, "doc_id").collect()}
+    assert got[bad[3]] and not got[good[3]]
 
 
 def test_components(spark):
@@ -474,6 +539,47 @@ def test_empty_tables(spark):
     assert suffix_dedup.remove_repeats(d).count() == license_scan.scan(d).count() == edit_fingerprint.edited_fingerprints(d).count() == 0
 
 
+def test_names_that_clash(spark):
+    """Columns of the input named as the operators' own do no harm."""
+    names = ["_t", "_s", "_words", "_lines", "_in", "_m", "norm", "words", "starts", "base", "own", "h", "salt", "rank", "chunk", "bucket", "rest", "seq", "rk", "grp", "node", "of"]
+    d = spark.createDataFrame([(1, "one text of words here", "en", "a"), (2, "another text of words there", "en", "b")], "doc_id bigint, text string, lang string, source string")
+    d = d.withColumns({n: F.lit("mine") for n in names})
+    for out in (quality_rules.apply_rules(d), license_scan.scan(d)):
+        assert all(r[n] == "mine" for r in out.collect() for n in names if n in out.columns) and set(names) <= set(out.columns)
+    ranks = queries.public_tokenizers()
+    coded = bpe.decode(bpe.encode(d, ranks.path(queries.RANKS), ranks.PATTERN), ranks.path(queries.RANKS)).collect()
+    assert {bytes(r["decoded"]).decode() for r in coded} == {"one text of words here", "another text of words there"} and all(r["chunk"] == "mine" for r in coded)
+    assert mixing.mix_sources(d).count() == minhash.near_duplicates(d).count() == minhash.one_of_each(d).count() == suffix_dedup.remove_repeats(d).count() == edit_fingerprint.edited_fingerprints(d).count() == 2
+    assert language_mixture.identify(d, language_mixture.train(d)).count() == 2
+
+
+def test_a_text_of_a_megabyte(spark):
+    rng = random.Random(12)
+    text = " ".join(rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(130_000))
+    d = spark.createDataFrame([(1, text, "en", "a", 0), (2, "small text", "en", "a", 0), (3, text + " end", "en", "b", 0)], SCHEMA)
+    near = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d).collect()}
+    assert near == {1: 1, 2: 2, 3: 1}
+    cut = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(d).collect()}
+    assert cut == {1: (len(text), 1), 2: (0, 0), 3: (len(text), 1)}
+    counts = {r["doc_id"]: r["n_words"] for r in quality_rules.apply_rules(d).collect()}
+    assert counts == {1: 130_000, 2: 2, 3: 130_001}
+    ranks = queries.public_tokenizers()
+    whole = bpe.decode(bpe.encode(d, ranks.path(queries.RANKS), ranks.PATTERN), ranks.path(queries.RANKS)).collect()
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in whole}[3] == text + " end"
+    prints = {r["doc_id"]: r["n_chars"] for r in edit_fingerprint.edited_fingerprints(d).collect()}
+    assert prints == {1: len(text), 2: 10, 3: len(text) + 4}
+    assert {r["lang_pred"] for r in language_mixture.identify(d, language_mixture.train(d)).collect()} == {"en"}
+    assert sum(r["size"] for r in mixing.mix_sources(d).collect()) == 260_003
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    d = spark.createDataFrame([], SCHEMA)
+    for _, stage in p.STAGES:
+        assert stage(spark, d, SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
