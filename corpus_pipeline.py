@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectral_lake.llm import bpe, minhash, mixing, quality_rules, suffix_dedup
-from spectral_lake.llm.common import materialise, table
+from spectral_lake.llm.common import materialise, sweep, table
 from spectral_lake.llm.queries import RANKS, public_tokenizers
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,9 +38,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "copies").dropDuplicates(["k", "kh"])
-    out = docs.withColumn("h", F.xxhash64("doc_id", "text")).join(taken, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return mixing.mix_documents(docs).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again, its intermediate tables removed."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        sweep(spark, keep=docs)
     return docs
