@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import logging
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import ImagingError
+from . import __version__
+from .config import SETTINGS
+from .errors import ConfigurationError, DataError, ImagingError
 from .functions import coords
-from .operators import axis, images, mapping, matrix, metadata, stats
+from .operators import axis, extract, images, mapping, matrix, metadata, stats
 from .sinks import lake
-from .sources import frames, imzml
+from .sources import frames, imzml, registry
 
 log = logging.getLogger("spectral_lake")
 
@@ -36,36 +37,71 @@ def assemble(spectra: DataFrame, dims: tuple[int, int, int], dataset_id: str, pi
     spectrum = stats.average_spectrum(total, spectra.agg(F.count("*").alias("n"))) if sliced else total.withColumnRenamed("total", "average")
     grid = images.grid(spark, nx, ny, nz)
     tic = stats.last_tic(spectra.select("pixel_idx", "spectrum_idx", F.aggregate("intensities", F.lit(0.0), lambda a, v: a + v).alias("tic")))
+    tic = images.on_grid(grid, tic, F.col("tic"))
     obs = images.obs_slices(grid, dataset_id, pixel_size, nx) if sliced else images.obs_table(grid, dataset_id, pixel_size, nz)
+    shapes = images.pixel_shapes(obs, pixel_size)
+    if sliced:  # each slice is a table of its own, named {dataset_id}_z{k}
+        name = lambda z: F.concat(F.lit(f"{dataset_id}_z"), z.cast("string"))
+        x = x.withColumn("slice_id", name(F.floor(F.col("pixel_idx") / (nx * ny)).cast("bigint")))
+        tic = tic.withColumn("slice_id", name(F.col("z")))
+        shapes = images.pixel_shapes(obs, pixel_size, keys=("slice_id", "instance_id"))
     attrs = spectra.agg(F.count("*").alias("non_empty_pixels")).select(
         F.lit(dataset_id).alias("dataset_id"), F.lit(nx * ny * nz).alias("total_grid_pixels"), "non_empty_pixels", F.array(*map(F.lit, dims)).alias("dimensions_xyz"),
         F.lit(pixel_size).alias("pixel_size_x_um"), F.lit(pixel_size).alias("pixel_size_y_um"), F.lit("micrometer").alias("pixel_size_units"), F.lit("physical_micrometers").alias("coordinate_system"),
+        F.lit(__version__).alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created"), F.array(F.lit(dataset_id), F.lit("global")).alias("identity_transforms"),
     )
-    return {"matrix": x, "obs": obs, "var": images.var_table(common), "tic": images.on_grid(grid, tic, F.col("tic")), "shapes": images.pixel_shapes(obs, pixel_size), "spectrum": spectrum, "attrs": attrs}
+    return {"matrix": x, "obs": obs, "var": images.var_table(common), "tic": tic, "shapes": shapes, "spectrum": spectrum, "attrs": attrs}
 
 
-def convert(spark: SparkSession, source: str, output: str, dataset_id: str = "msi_dataset", pixel_size_um: float | None = None, handle_3d: bool = False, decode=None) -> bool:
-    """Convert ``source`` to the folder ``output``; True if it worked.  A given pixel size wins, 1.0 included."""
+def grid_of(spark: SparkSession, kind: str, source: str) -> tuple[int, int, int]:
+    """Pixels of each axis, from the XML or the frame database: no spectrum is decoded for it."""
+    if kind == "imzml":
+        row = metadata.grid_dimensions(imzml.places(spark, source)).first()
+    else:
+        db = frames.database(source)
+        places = frames.frames(spark, db, frames.offset(spark, db)).where("num_peaks > 0")
+        row = None if places.isEmpty() else extract.dimensions_of_places(places).first()
+    if row is None or row["nx"] is None:
+        raise DataError(f"{source}: no spectra")
+    if min(row) < 1:
+        raise DataError(f"{source}: dimensions {tuple(row)} are not positive")
+    return tuple(row)
+
+
+def convert(spark: SparkSession, source: str, output: str, dataset_id: str = SETTINGS.dataset_id, pixel_size_um: float | None = None, handle_3d: bool = False, decode=None, output_format: str = SETTINGS.output_format) -> bool:
+    """Convert ``source`` to the folder ``output``; True if it worked.  A given pixel size wins, 1.0 included.
+
+    Each spectrum is decoded once, into the table ``spectra`` of the output; the rest is made from
+    that.  Attributes tell how the pixel size was found; ``metadata`` lists what the file says of
+    itself by section.
+    """
     try:
-        if not dataset_id.strip():
-            raise ValueError("dataset_id is blank")
+        if not isinstance(dataset_id, str) or not dataset_id.strip():
+            raise ConfigurationError("dataset_id is blank")
         if pixel_size_um is not None and pixel_size_um <= 0:
-            raise ValueError("the pixel size must be positive")
-        if os.path.exists(output):
+            raise ConfigurationError("the pixel size must be positive")
+        if lake.exists(spark, output):
             raise ImagingError(f"{output}: exists already")
-        kind = frames.detect(source)
-        spectra = imzml.read(spark, source) if kind == "imzml" else frames.read(spark, source, decode)
-        size = pixel_size_um
-        if size is None:
+        kind = registry.detect(source)
+        write, module = registry.converter(output_format), {"imzml": imzml, "frames": frames}.get(kind)
+        if module is None:  # a reader that a user has registered: what it yields says all
+            spectra, found = registry.reader(kind)(spark, source), None
+            dims = None
+        else:
+            spectra = imzml.read(spark, source) if kind == "imzml" else frames.read(spark, source, decode)
             found = imzml.pixel_size(spark, source) if kind == "imzml" else frames.pixel_size(spark, frames.database(source))
-            if found is None:
-                raise ValueError("the file states no pixel size; give one")
-            size = found[0]
-        row = metadata.grid_dimensions(spectra.select((F.col("x") + 1).alias("x"), (F.col("y") + 1).alias("y"), (F.col("z") + 1).alias("z"))).first()
-        if row["nx"] is None:
-            raise ImagingError(f"{source}: no spectra")
-        tables = assemble(spectra, tuple(row), dataset_id, float(size), handle_3d, kind == "imzml" and imzml.mode(spark, source) == "continuous")
-        lake.write(output, **tables)
+            dims = grid_of(spark, kind, source)
+        if pixel_size_um is None and found is None:
+            raise ConfigurationError("the file states no pixel size; give one")
+        size = float(pixel_size_um if pixel_size_um is not None else found[0])
+        spectra = lake.write_spectra(output, spectra)
+        if dims is None:
+            dims = tuple(extract.dimensions_of_places(spectra).first())
+        tables = assemble(spectra, dims, dataset_id, size, handle_3d, kind == "imzml" and imzml.mode(spark, source) == "continuous")
+        known = [F.lit(v).cast("double") for v in (pixel_size_um, *(found or (None, None)))]
+        detection = F.struct(*[c.alias(k) for k, c in extract.chosen_pixel_size(*known).items()])
+        tables["attrs"] = tables["attrs"].withColumn("pixel_size_detection", detection)
+        write(output, **tables, metadata=module.sections(spark, source) if module else None)
         return True
     except Exception:
         log.exception("conversion failed")

@@ -11,3 +11,15 @@ class FormatError(ImagingError, ValueError):
 
 class DecoderError(ImagingError):
     """No decoder for vendor spectra is at hand, or it failed."""
+
+
+class DataError(ImagingError, ValueError):
+    """What the file holds is missing or contradicts itself: no spectra, an empty axis, a coordinate outside the grid."""
+
+
+class ConfigurationError(ImagingError, ValueError):
+    """An argument or setting that cannot be used."""
+
+
+class ResourceError(ImagingError):
+    """A bound on what a task or the driver may hold would be broken."""

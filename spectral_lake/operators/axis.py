@@ -75,7 +75,7 @@ def ppm_axis(axis: DataFrame, tolerance_ppm: float = 5.0, width: float = BUCKET)
     independent: they are found with windows inside buckets and a table of bucket edges, dealt
     by island, and only then folded in order.
     """
-    v = axis.select("mz", F.floor(F.col("mz") / width).alias("bucket"))
+    v = axis.select("mz", F.floor(F.col("mz") / width).alias("bucket")).persist()  # four steps read it
     edge = v.groupBy("bucket").agg(F.max("mz").alias("top"))
     edge = edge.select("bucket", F.lag("top").over(W.orderBy("bucket")).alias("last"))
     inside = W.partitionBy("bucket").orderBy("mz")

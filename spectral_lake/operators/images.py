@@ -56,9 +56,9 @@ def var_table(axis: DataFrame) -> DataFrame:
     return axis.select(F.concat(F.lit("mz_"), F.col("mz_idx").cast("string")).alias("mz_id"), "mz")
 
 
-def pixel_shapes(obs: DataFrame, pixel_size: float) -> DataFrame:
+def pixel_shapes(obs: DataFrame, pixel_size: float, keys: tuple[str, ...] = ("instance_id",)) -> DataFrame:
     b = coords.box(F.col("spatial_x"), F.col("spatial_y"), pixel_size)
-    return obs.select("instance_id", *[c.alias(k) for k, c in b.items()], coords.box_wkt(b).alias("wkt"))
+    return obs.select(*keys, *[c.alias(k) for k, c in b.items()], coords.box_wkt(b).alias("wkt"))
 
 
 def tiles(pixels: DataFrame, height: int = 64, width: int = 64) -> DataFrame:

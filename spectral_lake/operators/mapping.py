@@ -23,33 +23,41 @@ def map_exact(peaks: DataFrame, axis: DataFrame) -> DataFrame:
 
 
 def map_bucketed(peaks: DataFrame, axis: DataFrame, tolerance: float = TOLERANCE, width: float = 1e-3) -> DataFrame:
-    """Equi-join on buckets of m/z; a peak probes its own bucket and the next."""
+    """One equi-join on buckets of m/z, in which the axis is one row a bucket.
+
+    A bucket's row lists the axis values that its peaks may find: its own, and those of the next
+    bucket within the tolerance of the edge.  Each peak meets one row and picks the first value
+    that is near enough, so that peaks are shuffled once and equal ones stay as many as they are.
+    """
     if width < tolerance:
         raise ValueError("a bucket must be at least as wide as the tolerance")
-    a = axis.select(F.col("mz_idx"), F.col("mz").alias("axis_mz"), F.floor(F.col("mz") / width).alias("bucket"))
-    p = peaks.withColumn("bucket", F.explode(F.array(F.floor(F.col("mz") / width), F.floor(F.col("mz") / width) + 1)))
-    near = p.join(a, "bucket").where((F.col("axis_mz") >= F.col("mz")) & (F.col("axis_mz") - F.col("mz") <= tolerance))
-    found = near.groupBy(*peaks.columns).agg(F.min("mz_idx").alias("mz_idx"))
-    last = axis.agg(F.max_by("mz_idx", F.struct("mz", -F.col("mz_idx"))).alias("mz_idx"), F.max("mz").alias("top"))  # one row
-    tail = peaks.crossJoin(F.broadcast(last)).where((F.col("mz") > F.col("top")) & (F.col("mz") - F.col("top") <= tolerance))
-    return found.unionByName(tail.select(*peaks.columns, "mz_idx"))
+    bucket = F.floor(F.col("mz") / width)
+    reach = F.array(bucket, F.floor((F.col("mz") - tolerance) / width), bucket - 1)  # the last: rounding at an edge
+    a = axis.select("mz_idx", "mz", F.explode(F.array_distinct(reach)).alias("bucket"))
+    rows = a.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("mz", "mz_idx"))).alias("near"))
+    last = axis.agg(F.max_by("mz_idx", F.struct("mz", -F.col("mz_idx"))).alias("last_idx"), F.max("mz").alias("top"))  # one row
+    p = peaks.withColumn("bucket", bucket).join(rows, "bucket", "left").crossJoin(F.broadcast(last))
+    first = F.get(F.filter("near", lambda c: (c["mz"] >= F.col("mz")) & (c["mz"] - F.col("mz") <= tolerance)), 0)["mz_idx"]
+    tail = F.when((F.col("mz") > F.col("top")) & (F.col("mz") - F.col("top") <= tolerance), F.col("last_idx"))
+    return p.withColumn("mz_idx", F.coalesce(first, tail)).where("mz_idx is not null").select(*peaks.columns, "mz_idx")
 
 
 def map_vectorised(peaks: DataFrame, axis: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Binary search in the axis, which each task holds; larger axes go to ``map_bucketed``."""
-    if axis.limit(MOST_SHIPPED + 1).count() > MOST_SHIPPED:
+    held = axis.select("mz_idx", "mz").limit(MOST_SHIPPED + 1).toPandas()  # the axis is computed once
+    if len(held) > MOST_SHIPPED:
         return map_bucketed(peaks, axis, tolerance)
-    shared = peaks.sparkSession.sparkContext.broadcast(np.array([r[0] for r in axis.orderBy("mz_idx").select("mz").collect()], float))
+    shared = peaks.sparkSession.sparkContext.broadcast(held.sort_values("mz_idx")["mz"].to_numpy(float))
 
     @F.pandas_udf("bigint")
     def place(mz: pd.Series) -> pd.Series:
-        values = shared.value
+        values, wanted = shared.value, mz.to_numpy(float)
         if not len(values):
-            return pd.Series([None] * len(mz), dtype="Int64")
-        i = np.minimum(np.searchsorted(values, mz.to_numpy()), len(values) - 1)
-        return pd.Series(i).where(np.abs(values[i] - mz.to_numpy()) <= tolerance).astype("Int64")
+            return pd.Series([-1] * len(mz))
+        i = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        return pd.Series(np.where(np.abs(values[i] - wanted) <= tolerance, i, -1))
 
-    return peaks.withColumn("mz_idx", place("mz")).where("mz_idx is not null")
+    return peaks.withColumn("mz_idx", place("mz")).where("mz_idx >= 0")
 
 
 def dropped(peaks: DataFrame, mapped: DataFrame) -> DataFrame:

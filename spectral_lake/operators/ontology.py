@@ -71,18 +71,32 @@ def by_name(terms: DataFrame) -> DataFrame:
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, accession, name, value) of every cvParam of the XML files at ``path``."""
+    """(file, seq, accession, name, value) of every cvParam of an XML file, or of all .imzML files in a folder and below."""
     schema = "_accession string, _name string, _value string, _cvRef string"
-    raw = spark.read.format("xml").option("rowTag", "cvParam").schema(schema).load(path)
+    reader = spark.read.format("xml").option("rowTag", "cvParam").schema(schema)
+    if not path.lower().endswith((".imzml", ".mzml", ".xml")):
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.imzML")
+    raw = reader.load(path)
     return raw.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq"), F.coalesce("_accession", F.lit("")).alias("accession"), F.col("_name").alias("name"), F.col("_value").alias("value"))
 
 
-def report(params: DataFrame, terms: DataFrame) -> str:
+def results(params: DataFrame, terms: DataFrame) -> dict:
+    """Totals of all files, the union of their unknown accessions, and the totals of each: what a report stores.
+
+    The driver gets a row a file and the distinct unknown accessions.
+    """
+    s = summary(params, terms).first().asDict()
+    files = [r.asDict() for r in rollup_by_file(params, terms).orderBy("file").collect()]
+    missing = [r["accession"] for r in unknown(params, terms).select("accession").distinct().orderBy("accession").collect()]
+    return {"files": len(files), **s, "unknown_terms": missing, "per_file": files}
+
+
+def report(params: DataFrame, terms: DataFrame, shown: int = 10) -> str:
     """The summary as text, for people."""
     s = summary(params, terms).first()
     lines = [f"Total terms: {s['total']}", f"Known: {s['known']} ({s['known_percent']:.1f}%)", f"Unknown: {s['unknown']}", "Most common:"]
     lines += [f"  {r['accession']} ({r['name'] or 'unknown'}): {r['n']}" for r in most_common(params, terms).orderBy(F.desc("n")).collect()]
-    rest = unknown_by_prefix(params, terms).orderBy("prefix", "accession").collect()
+    rest = unknown_by_prefix(params, terms, shown).orderBy("prefix", "accession").collect()
     lines += [f"  unknown {r['accession']}: {r['n']}" for r in rest]
     lines += [f"  ... and {more} more of {p}" for p, more in sorted({(r["prefix"], r["more"]) for r in rest}) if more]
     return "\n".join(lines)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matrix import last_in_spectrum
+from .matrix import assemble, last_in_spectrum
 
 
 def tic_of_spectra(peaks: DataFrame, keys: tuple[str, ...] = ("spectrum_idx",)) -> DataFrame:
@@ -45,6 +45,17 @@ def ion_image(matrix: DataFrame, axis: DataFrame, grid: DataFrame, target: float
     return grid.join(own, "pixel_idx", "left").select(*grid.columns, F.coalesce("intensity", F.lit(0.0)).alias("value"))
 
 
+def ion_image_of_peaks(mapped: DataFrame, axis: DataFrame, grid: DataFrame, target: float, tolerance: float) -> DataFrame:
+    """``ion_image`` without a matrix: last write wins cell by cell, so one place's peaks are enough."""
+    place = nearest_place(axis, target, tolerance).select("mz_idx")
+    return ion_image(assemble(mapped.join(F.broadcast(place), "mz_idx", "left_semi")), axis, grid, target, tolerance)
+
+
+def covered(frames: DataFrame, cached: str) -> DataFrame:
+    """Frames, those whose ``cached`` column is known, and their share in percent."""
+    return frames.agg(F.count("*").alias("total"), F.count(cached).alias("cached"), (F.count(cached) * 100.0 / F.greatest(F.count("*"), F.lit(1))).alias("percent"))
+
+
 def coverage(grid_tic: DataFrame) -> DataFrame:
     """Pixels, pixels with signal and their share in percent."""
     n, full = F.count("*"), F.count_if(F.col("value") > 0)

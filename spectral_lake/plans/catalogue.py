@@ -50,6 +50,8 @@ def _with(names: str, body: str) -> str:
 
     for n in names.split():
         add(n)
+    if body.startswith("RECURSIVE_"):
+        return "WITH RECURSIVE " + ", ".join(CTE[n] for n in order) + ", " + body.removeprefix("RECURSIVE_")
     return ("WITH " + ", ".join(CTE[n] for n in order) + " " if order else "") + body
 
 
@@ -100,9 +102,9 @@ def tic_slices(spark, d):
     return _grid(spark, d).join(t, F.col("pixel_idx") == F.col("p"), "left").groupBy("z").agg(F.sum(F.coalesce("tic", F.lit(0.0))).alias("tic"), F.count("tic").alias("filled"))
 
 
-@query("SELECT pixel_idx, 0 AS c, z, y, x, y * 25.0::DOUBLE AS y_coord, x * 25.0::DOUBLE AS x_coord FROM grid", "grid")
+@query("SELECT pixel_idx, 0 AS c, z, y, x, coalesce(tic, 0.0) AS value, y * 25.0::DOUBLE AS y_coord, x * 25.0::DOUBLE AS x_coord FROM grid LEFT JOIN (SELECT spectrum_idx, sum(intensity) AS tic FROM peaks GROUP BY 1) ON pixel_idx = spectrum_idx", "peaks grid")
 def tic_volume(spark, d):
-    return _grid(spark, d).select("pixel_idx", F.lit(0).alias("c"), "z", "y", "x", coords.physical(F.col("y"), PS).alias("y_coord"), coords.physical(F.col("x"), PS).alias("x_coord"))
+    return images.on_grid(_grid(spark, d), _tic(spark, d), F.col("tic")).select("pixel_idx", F.lit(0).alias("c"), "z", "y", "x", "value", coords.physical(F.col("y"), PS).alias("y_coord"), coords.physical(F.col("x"), PS).alias("x_coord"))
 
 
 @query("SELECT pixel_idx, y, x, coalesce(tic, 0.0) AS value FROM grid LEFT JOIN (SELECT pixel_idx AS p, sum(intensity) AS tic FROM x GROUP BY 1) ON pixel_idx = p WHERE z = 0", "x grid")
@@ -119,8 +121,8 @@ def last_write_wins_tic(spark, d):
 
 @query("SELECT g.pixel_idx, z, y, x, coalesce(intensity, 0.0) AS value FROM grid g LEFT JOIN (SELECT * FROM x JOIN (SELECT mz_idx FROM axis WHERE abs(mz - 150.2) <= 0.5 ORDER BY abs(mz - 150.2), mz_idx LIMIT 1) USING (mz_idx)) i ON g.pixel_idx = i.pixel_idx", "x grid")
 def ion_image(spark, d):
-    m, a = _matrix(spark, d)
-    return stats.ion_image(m, a, _grid(spark, d), 150.2, 0.5).select("pixel_idx", "z", "y", "x", "value")
+    m, a = _mapped(spark, d)
+    return stats.ion_image_of_peaks(m.withColumn("pixel_idx", F.col("spectrum_idx")), a, _grid(spark, d), 150.2, 0.5).select("pixel_idx", "z", "y", "x", "value")
 
 
 @query("SELECT z, y // 64 AS tile_y, x // 64 AS tile_x, count(*) AS pixels FROM grid GROUP BY ALL", "grid")
@@ -172,9 +174,9 @@ def batch_coord_lookup(spark, d):
     return src.frame_positions(spark, d).join(F.broadcast(ids), "frame").select("frame", (F.col("x_pos") - 669).alias("x"), (F.col("y_pos") - 109).alias("y"))
 
 
-@query("SELECT pixel_idx::VARCHAR AS instance_id, x, y, 0::BIGINT AS z, 'msi_pixels' AS region, x * 25.0::DOUBLE AS spatial_x, y * 25.0::DOUBLE AS spatial_y, 0.0::DOUBLE AS spatial_z, pixel_idx::VARCHAR AS instance_key FROM grid WHERE z = 0", "grid")
+@query("SELECT pixel_idx::VARCHAR AS instance_id, x, y, CASE WHEN nz = 1 THEN 0 ELSE z END::BIGINT AS z, 'msi_pixels' AS region, x * 25.0::DOUBLE AS spatial_x, y * 25.0::DOUBLE AS spatial_y, CASE WHEN nz = 1 THEN 0.0 ELSE z * 25.0 END::DOUBLE AS spatial_z, pixel_idx::VARCHAR AS instance_key FROM grid, nz", "grid")
 def obs_table(spark, d):
-    return images.obs_table(images.grid(spark, NX, NY), "msi", PS)
+    return images.obs_table(_grid(spark, d), "msi", PS, _nz(spark, d))
 
 
 @query("SELECT 'msi_z' || z AS slice_id, (y * 128 + x)::VARCHAR AS instance_id, x::INTEGER AS x, y::INTEGER AS y, 'msi_z' || z || '_pixels' AS region, x * 25.0::DOUBLE AS spatial_x, y * 25.0::DOUBLE AS spatial_y FROM grid", "grid")
@@ -189,16 +191,16 @@ def var_table(spark, d):
 
 @query(
     """SELECT instance_id, xmin, ymin, xmax, ymax, 'POLYGON ((' || concat_ws(', ', xmax || ' ' || ymin, xmax || ' ' || ymax, xmin || ' ' || ymax, xmin || ' ' || ymin, xmax || ' ' || ymin) || '))' AS wkt
-    FROM (SELECT pixel_idx::VARCHAR AS instance_id, x * 25.0::DOUBLE - 12.5::DOUBLE AS xmin, y * 25.0::DOUBLE - 12.5::DOUBLE AS ymin, x * 25.0::DOUBLE + 12.5::DOUBLE AS xmax, y * 25.0::DOUBLE + 12.5::DOUBLE AS ymax FROM grid WHERE z = 0)""",
+    FROM (SELECT pixel_idx::VARCHAR AS instance_id, x * 25.0::DOUBLE - 12.5::DOUBLE AS xmin, y * 25.0::DOUBLE - 12.5::DOUBLE AS ymin, x * 25.0::DOUBLE + 12.5::DOUBLE AS xmax, y * 25.0::DOUBLE + 12.5::DOUBLE AS ymax FROM grid)""",
     "grid",
 )
 def pixel_shapes(spark, d):
-    return images.pixel_shapes(images.obs_table(images.grid(spark, NX, NY), "msi", PS), PS)
+    return images.pixel_shapes(images.obs_table(_grid(spark, d), "msi", PS, _nz(spark, d)), PS)
 
 
-@query("SELECT pixel_idx::VARCHAR AS instance_id, 'msi_pixels' AS region, x * 25.0::DOUBLE - 12.5::DOUBLE AS xmin FROM grid WHERE z = 0", "grid")
+@query("SELECT pixel_idx::VARCHAR AS instance_id, 'msi_pixels' AS region, x * 25.0::DOUBLE - 12.5::DOUBLE AS xmin FROM grid", "grid")
 def obs_with_shapes(spark, d):
-    obs = images.obs_table(images.grid(spark, NX, NY), "msi", PS)
+    obs = images.obs_table(_grid(spark, d), "msi", PS, _nz(spark, d))
     return obs.join(images.pixel_shapes(obs, PS), "instance_id").select("instance_id", "region", "xmin")
 
 
@@ -215,7 +217,12 @@ def mass_axis_continuous(spark, d):
     return axis.continuous_axis(src.spectra(spark, d))
 
 
-@query()
+@query(
+    """RECURSIVE_
+    start AS (SELECT min(mz) AS a FROM axis UNION ALL SELECT min(mz) FROM start, axis WHERE (mz - a) / a * 1e6 > 1500.0::DOUBLE GROUP BY a)
+    SELECT row_number() OVER (ORDER BY m) - 1 AS mz_idx, m AS mz FROM (SELECT avg(mz) AS m FROM start JOIN axis ON mz >= a AND (mz - a) / a * 1e6 <= 1500.0::DOUBLE GROUP BY a)""",
+    "axis",
+)
 def mass_axis_ppm(spark, d):
     return axis.ppm_axis(axis.processed_axis(src.peaks(spark, d)), 1500.0)
 
@@ -424,9 +431,10 @@ def memory_model(spark, d):
     return src.read(spark, d, "part").select(F.col("p_partkey").alias("k"), *[F.round(c, 9).alias(k) for k, c in m.items() if k != "total_mb"])
 
 
-@query("SELECT p_partkey AS k, least(greatest(least(floor(64.0::DOUBLE / p_retailprice * 1000)::BIGINT, 1000), 10), 500) AS batch FROM part")
+@query("SELECT p_partkey AS k, least(greatest(least(floor(64000.0::DOUBLE / p_retailprice)::BIGINT, 1000), 10), 500) AS batch FROM part")
 def batch_size_model(spark, d):
-    return src.read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.least(F.greatest(F.least(F.floor(F.lit(64.0).cast("double") / F.col("p_retailprice") * 1000).cast("bigint"), F.lit(1000)), F.lit(10)), F.lit(500)).alias("batch"))
+    size = metadata.batch_size(F.lit(64000.0).cast("double"), F.col("p_retailprice"), 10, 1000, F.lit(500))
+    return src.read(spark, d, "part").select(F.col("p_partkey").alias("k"), size.alias("batch"))
 
 
 @query("SELECT min(frame) AS first_id, max(frame) AS last_id, count(*) AS n FROM (SELECT frame, frame - row_number() OVER (ORDER BY frame) AS g FROM pos) GROUP BY g", "pos")
@@ -437,7 +445,7 @@ def consecutive_frame_ranges(spark, d):
 @query("SELECT count(*) AS total, count(frame) AS cached, count(frame) * 100.0::DOUBLE / greatest(count(*), 1) AS percent FROM frames LEFT JOIN pos ON frame_id = frame", "frames pos")
 def coverage_stats(spark, d):
     f = src.frames(spark, d).join(src.frame_positions(spark, d), F.col("frame_id") == F.col("frame"), "left")
-    return f.agg(F.count("*").alias("total"), F.count("frame").alias("cached"), (F.count("frame") * 100.0 / F.greatest(F.count("*"), F.lit(1))).alias("percent"))
+    return stats.covered(f, "frame")
 
 
 @query("SELECT frame FROM pos ORDER BY frame DESC LIMIT 100", "pos")
@@ -508,3 +516,6 @@ def attrs_document(spark, d):
 def metadata_summary(spark, d):
     n = src.read(spark, d, "lineitem").agg(F.count_distinct("l_orderkey").alias("n_spectra"), (F.floor(F.max("l_orderkey") / (NX * NY)) + 1 > 1).alias("is_3d"))
     return src.peaks(spark, d).agg(F.max("mz").alias("mz_max"), F.min("mz").alias("mz_min")).crossJoin(F.broadcast(n)).select("n_spectra", "mz_max", "mz_min", "is_3d")
+
+
+from . import records  # noqa: E402, F401  (registers its queries here)

@@ -2,23 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SETTINGS
+from ..sources.registry import register_converter
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and the file system it is on, local or not."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _place(spark, path)
+    return fs.exists(at)
+
+
+def write_spectra(path: str, spectra: DataFrame) -> DataFrame:
+    """Decoded spectra, written once: all other tables are made from what is read back."""
+    spectra.write.parquet(f"{path}/spectra")
+    return spectra.sparkSession.read.schema(spectra.schema).parquet(f"{path}/spectra")
 
-def write(path: str, matrix: DataFrame, obs: DataFrame, var: DataFrame, tic: DataFrame, shapes: DataFrame, spectrum: DataFrame, attrs: DataFrame, parts: int | None = None) -> None:
-    """Fails if any table exists.  The matrix is range-partitioned by pixel and sorted in its files."""
+
+@register_converter("lake")
+def write(path: str, matrix: DataFrame, obs: DataFrame, var: DataFrame, tic: DataFrame, shapes: DataFrame, spectrum: DataFrame, attrs: DataFrame, metadata: DataFrame | None = None, parts: int | None = None) -> None:
+    """Fails if any table exists.  The matrix is range-partitioned by pixel and sorted in its files.
+
+    Tables with a slice_id are partitioned by it: each slice is then a folder of its own.
+    """
     n = parts or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matrix.repartitionByRange(n, "pixel_idx").sortWithinPartitions("pixel_idx", "mz_idx").write.parquet(f"{path}/X")
-    for name, df in (("obs", obs), ("var", var), ("tic", tic), ("shapes", shapes), ("average_spectrum", spectrum)):
-        df.write.parquet(f"{path}/{name}")
+    tables = {"X": matrix.repartitionByRange(n, "pixel_idx").sortWithinPartitions("pixel_idx", "mz_idx"), "obs": obs, "var": var, "tic": tic, "shapes": shapes, "average_spectrum": spectrum}
+    if metadata is not None:
+        tables["metadata"] = metadata
+    for name, df in tables.items():
+        to = df.write.partitionBy("slice_id") if "slice_id" in df.columns else df.write
+        to.parquet(f"{path}/{name}")
     attrs.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{path}/attrs")
 
 
-def compact(path: str, out: str, tile: int = 64, nx: int = 128, rows: int = 1_000_000) -> None:
-    """The matrix again with pixels of one tile together, for reading small regions."""
-    from pyspark.sql import SparkSession
+def attributes(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/attrs").first()["value"])
+
+
+def compact(path: str, out: str, tile: int = SETTINGS.tile, nx: int | None = None, rows: int = SETTINGS.rows_per_file) -> None:
+    """The matrix again with pixels of one tile together, for reading small regions; ``nx`` is the attributes' if not given."""
+    spark = SparkSession.active()
+    width = nx or attributes(spark, path)["dimensions_xyz"][0]
+    x = spark.read.parquet(f"{path}/X")
+    place = (F.floor(F.floor(F.col("pixel_idx") / width) / tile), F.floor((F.col("pixel_idx") % width) / tile))
+    ordered = x.repartitionByRange(*place, "pixel_idx").sortWithinPartitions(*place, "pixel_idx", "mz_idx")
+    to = ordered.write.partitionBy("slice_id") if "slice_id" in x.columns else ordered.write
+    to.option("maxRecordsPerFile", rows).parquet(out)
+
+
+def optimise(path: str, tile: int = SETTINGS.tile, nx: int | None = None) -> bool:
+    """``compact`` in place: written beside, then swapped; the old matrix goes last.  False if it failed."""
+    spark = SparkSession.active()
+    try:
+        compact(path, f"{path}/X_optimized", tile, nx)
+        old, fs = _place(spark, f"{path}/X")
+        aside, new = _place(spark, f"{path}/X_backup")[0], _place(spark, f"{path}/X_optimized")[0]
+        if not fs.rename(old, aside):
+            return False
+        if not fs.rename(new, old):
+            fs.rename(aside, old)
+            return False
+        return bool(fs.delete(aside, True))
+    except Exception:
+        import logging
 
-    x = SparkSession.active().read.parquet(f"{path}/X")
-    place = (F.floor(F.floor(F.col("pixel_idx") / nx) / tile), F.floor((F.col("pixel_idx") % nx) / tile))
-    x.repartitionByRange(*place, "pixel_idx").sortWithinPartitions("pixel_idx", "mz_idx").write.option("maxRecordsPerFile", rows).parquet(out)
+        logging.getLogger("spectral_lake").exception("optimising failed")
+        return False

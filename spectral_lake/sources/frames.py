@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..errors import DecoderError, FormatError
 from ..functions import coords
+from ..operators import extract
+from .registry import detect, register_reader  # noqa: F401  (detect is part of this module's surface)
 
 SPECTRA = "spectrum_idx bigint, x int, y int, z int, mzs array<double>, intensities array<double>"
 
@@ -24,21 +26,10 @@ def database(path: str) -> str:
     raise FormatError(f"{path}: no analysis.tsf or analysis.tdf")
 
 
-def detect(path: str) -> str:
-    """``imzml`` or ``frames``; anything else is an error."""
-    base, ext = os.path.splitext(path.rstrip("/"))
-    if not os.path.exists(path):
-        raise FormatError(f"{path}: does not exist")
-    if ext.lower() == ".imzml":
-        if not os.path.exists(base + ".ibd"):
-            raise FormatError(f"{path}: no .ibd file beside it")
-        return "imzml"
-    if ext.lower() == ".d":
-        if not os.path.isdir(path):
-            raise FormatError(f"{path}: is not a folder")
-        database(path)
-        return "frames"
-    raise FormatError(f"{path}: unknown kind {ext!r}")
+def _check_folder(path: str) -> None:
+    if not os.path.isdir(path):
+        raise FormatError(f"{path}: is not a folder")
+    database(path)
 
 
 def _open(db: str) -> sqlite3.Connection:
@@ -46,13 +37,15 @@ def _open(db: str) -> sqlite3.Connection:
 
 
 def table(spark: SparkSession, db: str, name: str, schema: str, parts: int = 8) -> DataFrame:
-    """A table of the database, read-only, in ranges of rowid; none if the table is missing."""
+    """A table of the database, read-only, in ranges of rowid; none if the table is missing, nulls for a missing column."""
     columns = [c.split()[0] for c in schema.split(",")]
     with _open(db) as con:
         if not con.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (name,)).fetchone():
             return spark.createDataFrame([], schema)
+        there = {r[1] for r in con.execute(f'PRAGMA table_info("{name}")')}
         lo, hi = con.execute(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{name}"').fetchone()
     step = max(1, -(-(hi - lo + 1) // parts))
+    columns = [c if c in there else f"NULL AS {c}" for c in columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with _open(db) as con:
@@ -109,6 +102,23 @@ def offset(spark: SparkSession, db: str) -> tuple[int, int]:
     return x, y
 
 
+def spectrum_count(spark: SparkSession, db: str, dims: tuple[int, int, int] = (1, 1, 1)) -> int:
+    """Frames of the database, else places, else the pixels of the grid ``dims``."""
+    n = table(spark, db, "Frames", "Id bigint").count() or table(spark, db, "MaldiFrameInfo", "Frame bigint").count()
+    return n or dims[0] * dims[1] * dims[2]
+
+
+def is_maldi(spark: SparkSession, db: str) -> bool:
+    return not table(spark, db, "MaldiFrameLaserInfo", "Id bigint").isEmpty()
+
+
+def laser_spots(spark: SparkSession, db: str) -> DataFrame:
+    """(id, x, y, beam_x, beam_y) of every laser row."""
+    t = table(spark, db, "MaldiFrameLaserInfo", "Id bigint, SpotXPos double, SpotYPos double, BeamScanSizeX double, BeamScanSizeY double")
+    return t.toDF("id", "x", "y", "beam_x", "beam_y")
+
+
+@register_reader("frames", ".d", _check_folder)
 def read(spark: SparkSession, path: str, decode: Callable[[str, int, int], tuple[list[float], list[float]]] | None = None) -> DataFrame:
     """Spectra of a vendor folder.  ``decode(path, frame_id, num_peaks)`` gives m/z and intensities of a frame."""
     if decode is None:
@@ -122,3 +132,26 @@ def read(spark: SparkSession, path: str, decode: Callable[[str, int, int], tuple
             yield pd.DataFrame({"spectrum_idx": b["frame_id"] - 1, "x": b["x"], "y": b["y"], "z": b["z"], "mzs": [g[0] for g in got], "intensities": [g[1] for g in got]})
 
     return f.mapInPandas(run, SPECTRA).where("size(mzs) > 0 and size(intensities) > 0")
+
+
+def _inputs(spark: SparkSession, db: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pairs, places, laser rows and frames of a database, as ``operators.extract`` reads them."""
+    schema = "Id bigint, SpotXPos double, SpotYPos double, BeamScanSizeX double, BeamScanSizeY double, SpotSize double, LaserPower double, LaserFrequency double"
+    rays = table(spark, db, "MaldiFrameLaserInfo", schema).toDF("id", "spot_x", "spot_y", "beam_x", "beam_y", "spot", "power", "frequency")
+    at = table(spark, db, "MaldiFrameInfo", "Frame bigint, XIndexPos int, YIndexPos int").select(F.col("XIndexPos").alias("x"), F.col("YIndexPos").alias("y"))
+    return global_metadata(spark, db), at, rays, table(spark, db, "Frames", "Id bigint").select(F.col("Id").alias("frame_id"))
+
+
+def essential(spark: SparkSession, path: str) -> DataFrame:
+    """What processing needs to know, one row, without decoding a spectrum."""
+    return extract.essential(*_inputs(spark, database(path)))
+
+
+def sections(spark: SparkSession, path: str) -> DataFrame:
+    """(section, key, value) of the database: format, acquisition, instrument, raw."""
+    db = database(path)
+    pairs, _, rays, _ = _inputs(spark, db)
+    kind = os.path.splitext(db)[1].lstrip(".")
+    given = {"data_format": kind, "data_path": path, "database_path": db, "binary_file": db + "_bin", "is_maldi": str(is_maldi(spark, db)).lower()}
+    known = spark.range(1).select(*[F.lit(v).alias(k) for k, v in given.items()])
+    return extract.rows_of(known, "format_specific").union(extract.sections(pairs, rays))

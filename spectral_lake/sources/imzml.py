@@ -7,6 +7,7 @@ every executor can open.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..errors import FormatError
 from ..functions import coords
+from ..operators import extract, metadata, ontology
+from .registry import register_reader
 
 #: Accessions of the format.
 CONTINUOUS, PROCESSED = "IMS:1000030", "IMS:1000031"
@@ -25,6 +28,7 @@ X, Y, Z = "IMS:1000050", "IMS:1000051", "IMS:1000052"
 OFFSET, LENGTH, BYTES = "IMS:1000102", "IMS:1000103", "IMS:1000104"
 MZ, INTENSITY, ZLIB = "MS:1000514", "MS:1000515", "MS:1000574"
 PIXEL_X, PIXEL_Y = "IMS:1000046", "IMS:1000047"
+UUID = "IMS:1000080"
 KINDS = {"MS:1000521": "<f4", "MS:1000523": "<f8", "MS:1000519": "<i4", "MS:1000522": "<i8"}
 
 _PARAM = "cvParam array<struct<_accession: string, _value: string>>"
@@ -117,6 +121,17 @@ def _decode(ibd: str):
     return run
 
 
+def _check_binary(path: str) -> None:
+    if not os.path.exists(os.path.splitext(path)[0] + ".ibd"):
+        raise FormatError(f"{path}: no .ibd file beside it")
+
+
+def places(spark: SparkSession, path: str) -> DataFrame:
+    """(x, y, z) of every spectrum, from 1, read from the XML alone."""
+    return layout(spark, path).select("x", "y", "z")
+
+
+@register_reader("imzml", ".imzml", _check_binary)
 def read(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
     """``spectra(spectrum_idx, x, y, z, mzs, intensities)`` with coordinates from 0.
 
@@ -134,3 +149,28 @@ def peaks(spectra: DataFrame) -> DataFrame:
     """One row a peak, with its place in the spectrum."""
     keep = [c for c in spectra.columns if c not in ("mzs", "intensities")]
     return spectra.select(*keep, F.posexplode(F.arrays_zip("mzs", "intensities")).alias("peak_pos", "p")).select(*keep, F.col("peak_pos").cast("bigint").alias("peak_pos"), F.col("p.mzs").alias("mz"), F.col("p.intensities").alias("intensity"))
+
+
+def essential(spark: SparkSession, path: str) -> DataFrame:
+    """What processing needs to know, one row, from the XML alone: dimensions, bounds, extent, pixel size, count, memory."""
+    at = places(spark, path)
+    size = pixel_size(spark, path)
+    n = at.agg(F.count("*").alias("n_spectra"))
+    out = metadata.grid_dimensions(at).crossJoin(F.broadcast(metadata.coord_bounds(at))).crossJoin(F.broadcast(n))
+    x, y = size or (None, None)
+    return out.select(
+        "*", (F.col("max_x") - F.col("min_x")).alias("extent_x"), (F.col("max_y") - F.col("min_y")).alias("extent_y"), F.lit(x).cast("double").alias("pixel_size_x"), F.lit(y).cast("double").alias("pixel_size_y"),
+        F.lit(size is not None).alias("has_pixel_size"), (F.col("nz") > 1).alias("is_3d"), metadata.memory_gb(F.col("n_spectra"), 1000).alias("memory_gb"),
+    )
+
+
+def sections(spark: SparkSession, path: str) -> DataFrame:
+    """(section, key, value) of the header: format, acquisition, instrument, raw; parameters of single spectra are left out."""
+    own = (X, Y, Z, OFFSET, LENGTH, BYTES)
+    params = ontology.read_params(spark, path).where(~F.col("accession").isin(*own) & F.col("name").isNotNull())
+    pairs = params.groupBy(F.col("name").alias("key")).agg(F.max_by("value", "seq").alias("value"))
+    uuid = params.where(F.col("accession") == UUID).agg(F.max_by("value", "seq").alias("uuid"))
+    n = places(spark, path).agg(F.count("*").cast("string").alias("spectrum_count"))
+    given = {"imzml_version": "1.1.0", "file_mode": mode(spark, path), "ibd_file": os.path.splitext(path)[0] + ".ibd"}
+    known = uuid.crossJoin(F.broadcast(n)).select(*[F.lit(v).alias(k) for k, v in given.items()], "uuid", "spectrum_count")
+    return extract.rows_of(known, "format_specific").union(extract.header_sections(pairs))

@@ -95,3 +95,11 @@ def test_vocabulary(spark, tmp_path):
     params = ontology.read_params(spark, str(tmp_path / "a.imzML"))
     assert ontology.summary(params, terms).first().asDict() == {"total": 2, "known": 1, "unknown": 1, "distinct_terms": 2, "known_percent": 50.0}
     assert "unknown XX:9: 1" in ontology.report(params, terms)
+
+
+def test_equal_peaks_stay_as_many_as_they_are(spark):
+    axis_rows = spark.createDataFrame([(0, 100.0), (1, 100.0000005), (2, 200.0), (3, 300.0)], "mz_idx bigint, mz double")
+    peaks = spark.createDataFrame([(1, 0, m, 1.0) for m in (100.0, 100.0, 99.9999995, 100.0000002, 200.0000001, 300.0000004, 150.0)], "spectrum_idx bigint, peak_pos bigint, mz double, intensity double")
+    want = sorted([(100.0, 0), (100.0, 0), (99.9999995, 0), (100.0000002, 1), (300.0000004, 3)])
+    for f in (mapping.map_bucketed, mapping.map_vectorised):
+        assert sorted((r["mz"], r["mz_idx"]) for r in f(peaks, axis_rows).collect()) == want
