@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import tempfile
 import uuid
 
 import numpy as np
@@ -17,8 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
-    found = spark.conf.get(_SHARED, None) or spark.sparkContext.getCheckpointDir()
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    A session in one process, as in tests, gets a temporary one where none is set; a cluster must
+    name its own.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get(_SHARED, None) or context.getCheckpointDir()
+    if not found and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spectral-lake-"))
+        found = context.getCheckpointDir()
     if not found:
         raise ValueError(f"these operators keep intermediate tables: set {_SHARED} to a folder that the driver and all executors share")
     return found.rstrip("/")
