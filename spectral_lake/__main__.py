@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from . import logs
 from .config import SETTINGS
 from .convert import convert
-from .operators import extract, ontology
+from .operators import ontology
 from .sinks import lake
-from .sources import frames, imzml, registry
+from .sources.extraction import Extraction
 
 
 def parser() -> argparse.ArgumentParser:
@@ -42,9 +42,7 @@ def parser() -> argparse.ArgumentParser:
 
 def describe(spark: SparkSession, path: str) -> dict:
     """Essential metadata and the sections of a file, as a document."""
-    module = {"imzml": imzml, "frames": frames}[registry.detect(path)]
-    one = module.essential(spark, path).first().asDict()
-    return {"essential": one, **json.loads(extract.as_json(module.sections(spark, path)).first()["document"])}
+    return Extraction(spark, path).comprehensive()
 
 
 def main(argv: list[str] | None = None) -> int:

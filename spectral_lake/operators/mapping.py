@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ResourceError
+
 TOLERANCE = 1e-6
 #: Axis values a task may hold: 8 MB of doubles.
 MOST_SHIPPED = 1_000_000
@@ -60,6 +62,28 @@ def map_vectorised(peaks: DataFrame, axis: DataFrame, tolerance: float = TOLERAN
     return peaks.withColumn("mz_idx", place("mz")).where("mz_idx >= 0")
 
 
+def map_next(peaks: DataFrame, axis: DataFrame) -> DataFrame:
+    """The first axis value not below a peak's m/z, however far; peaks beyond the last are left out."""
+    held = axis.select("mz_idx", "mz").limit(MOST_SHIPPED + 1).toPandas()
+    if len(held) > MOST_SHIPPED:
+        raise ResourceError(f"a dense read holds an array as long as the axis, which has over {MOST_SHIPPED} values")
+    shared = peaks.sparkSession.sparkContext.broadcast(held.sort_values("mz_idx")["mz"].to_numpy(float))
+
+    @F.pandas_udf("bigint")
+    def place(mz: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, mz.to_numpy(float)))
+
+    return peaks.withColumn("mz_idx", place("mz")).where(F.col("mz_idx") < len(held))
+
+
+def dense(mapped: DataFrame, size: int) -> DataFrame:
+    """(spectrum_idx, intensities): an array over the whole axis of ``size``, 0 where nothing is; the last peak of a place stays."""
+    last = mapped.groupBy("spectrum_idx", "mz_idx").agg(F.max_by("intensity", "peak_pos").alias("v"))
+    per = last.groupBy("spectrum_idx").agg(F.map_from_entries(F.collect_list(F.struct("mz_idx", "v"))).alias("m"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))
+    return per.select("spectrum_idx", F.transform(places, lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("intensities"))
+
+
 def dropped(peaks: DataFrame, mapped: DataFrame) -> DataFrame:
     """Peaks that found no place on the axis."""
     return peaks.join(mapped.select("spectrum_idx", "peak_pos"), ["spectrum_idx", "peak_pos"], "left_anti")

@@ -69,6 +69,11 @@ def batch_size(target_mb: Column, item_mb: Column, least: int, most: int, total:
     return F.least(F.greatest(F.least(F.floor(target_mb / item_mb).cast("bigint"), F.lit(most)), F.lit(least)), total)
 
 
+def batch_size_by_peaks(target_mb: Column, peaks: Column, total: Column) -> Column:
+    """Spectra of 12 bytes a peak that ``target_mb`` holds, between 10 and 1000."""
+    return F.greatest(F.lit(10), F.least(F.floor(target_mb * MIB / (peaks * 12)).cast("bigint"), total, F.lit(1000)))
+
+
 def consecutive_ranges(ids: DataFrame, width: int = 1 << 20) -> DataFrame:
     """(first_id, last_id, n) of each run of consecutive ``ids(id)``.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coords
-from ..operators import extract, metadata
+from ..operators import axis, extract, mapping, metadata
 from ..sources import adapters as src
+from ..sources import imzml
 from .catalogue import CTE, NX, NY, _grid, query
 
 _KEYS = (*extract.TIMING, *extract.INSTRUMENT, *extract.MASS, "ImagingAreaMinXIndexPos", "ImagingAreaMinYIndexPos", "ImagingAreaMaxXIndexPos")
@@ -176,3 +177,18 @@ def sorted_peaks(spark, d):
     s = extract.sorted_peaks(s.select("spectrum_idx", F.col("p.mz").alias("mzs"), F.col("p.intensity").alias("intensities")))
     text = lambda c, n: F.array_join(F.transform(c, lambda v: (v * n).cast("bigint").cast("string")), ",")
     return s.select("spectrum_idx", text("mzs", 10).alias("mzs"), text("intensities", 1).alias("intensities"))
+
+
+@query("SELECT spectrum_idx, array_to_string(list_transform(range(len(mzs) // 2), lambda k: round(intensities[2 * k + 1] * 1000)::BIGINT), ',') AS row FROM spectra", "spectra")
+def dense_read(spark, d):
+    """Spectra read onto every other value of their axis: each peak goes to the next value, the last of two stays, what is beyond is left out."""
+    s = src.spectra(spark, d)
+    places = axis.continuous_axis(s).where("mz_idx % 2 = 0").select((F.col("mz_idx") / 2).cast("bigint").alias("mz_idx"), "mz")
+    read = mapping.dense(mapping.map_next(imzml.peaks(s), places), places.count())
+    return read.select("spectrum_idx", F.array_join(F.transform("intensities", lambda v: F.round(v * 1000).cast("bigint").cast("string")), ",").alias("row"))
+
+
+@query("SELECT l_orderkey, l_linenumber, least(greatest(10, least(floor(64 * 1048576.0 / (l_partkey * 12))::BIGINT, 100000, 1000)), 100000) AS batch FROM lineitem WHERE l_partkey > 0")
+def batch_size_by_peaks(spark, d):
+    size = metadata.batch_size_by_peaks(F.lit(64.0), F.col("l_partkey"), F.lit(100_000))
+    return src.read(spark, d, "lineitem").where("l_partkey > 0").select("l_orderkey", "l_linenumber", F.least(size, F.lit(100_000)).cast("bigint").alias("batch"))

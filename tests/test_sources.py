@@ -12,6 +12,7 @@ from spectral_lake.convert import convert
 from spectral_lake.errors import ConfigurationError, DecoderError, FormatError
 from spectral_lake.sinks import lake, zarr_v2
 from spectral_lake.sources import frames, imzml, registry
+from spectral_lake.sources.extraction import Extraction
 from spectral_lake.streaming import ingest
 
 
@@ -116,7 +117,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["check-terms", str(tmp_path), str(tmp_path / "t.obo"), "--output", str(tmp_path / "r.json"), "--verbose"]) == 1
     r = json.loads((tmp_path / "r.json").read_text())
     assert r["files"] == 2 and imzml.MZ in r["unknown_terms"] and imzml.X not in r["unknown_terms"] and len(r["per_file"]) == 2
-    assert describe(spark, path)["essential"]["n_spectra"] == 4
+    one = Extraction(spark, path)
+    assert one.summary() == {"kind": "imzml", "dimensions": (2, 2, 1), "n_spectra": 4, "pixel_size": 25.0, "is_3d": False, "memory_gb": 4 * 1000 * 2 * 8 / 1024**3}
+    assert one.comprehensive()["format_specific"]["file_mode"] == "processed" and one.comprehensive() is one.comprehensive() and describe(spark, path)["essential"]["n_spectra"] == 4
 
 
 def test_readers_can_be_registered(spark, tmp_path):
