@@ -83,9 +83,15 @@ def score(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
-    """A model for each column of ``y``; earlier categories enter as out-of-fold probabilities."""
-    models = []
+def best_limit(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which to predict, of 0.1 to 0.9: the greatest F1, the higher one of equals."""
+    hits = [(p >= k / 20, k / 20) for k in range(2, 19)]
+    return max((2 * (h * y).sum() / max(1.0, h.sum() + y.sum()), k) for h, k in hits)[1]
+
+
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """A model for each column of ``y``, earlier categories entering as out-of-fold probabilities; the last one's limit by these."""
+    models, out = [], np.zeros(len(x))
     for k in range(y.shape[1]):
         models.append(logistic(x, y[:, k]))
         out = np.zeros(len(x))
@@ -93,11 +99,11 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray
             inside = fold == f
             out[inside] = score(x[inside], logistic(x[~inside], y[~inside, k])) if (~inside).any() else y[:, k].mean()
         x = np.c_[x, out]
-    return models
+    return models, best_limit(out, y[:, -1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, words: int = 192, least_docs: int = 4, folds: int = 4) -> tuple[dict[bytes, int], list[np.ndarray]]:
-    """Feature places and the chain, from ``labels(doc_id, quality, toxic)``.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, words: int = 192, least_docs: int = 4, folds: int = 4) -> tuple[dict[bytes, int], list[np.ndarray], float]:
+    """Feature places, the chain, and the limit of its last category, from ``labels(doc_id, quality, toxic)``.
 
     Fitted on at most about ``max_rows`` labelled rows, chosen by a digest of doc_id; null labels
     are left out.  Of several labels of a doc_id the worst counts (least quality, most toxic), of
@@ -106,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, words: int =
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n = known.count()
     if not n:
-        return {}, []
+        return {}, [], 0.5
     h = F.xxhash64("doc_id")
     picked = known.where(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / n)))
     y = F.array(F.col("quality") == 0, (F.col("quality") == 0) & (F.col("toxic") == 1), F.col("toxic") == 1).cast("array<bigint>")
@@ -114,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, words: int =
     stats = rows.mapInArrow(_vocabulary, "word binary, y array<bigint>").groupBy("word").agg(F.count("*").alias("df"), *[F.sum(F.col("y")[k]).alias(f"p{k}") for k in range(len(CATEGORIES))])
     total = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.col("y")[k]), F.lit(0)).alias(f"p{k}") for k in range(len(CATEGORIES))]).first()
     if not total["n"]:
-        return {}, []
+        return {}, [], 0.5
     top = None
     for k in (0, 2):
         # twice the log-likelihood ratio of "the word's documents have another rate than all"
@@ -126,13 +132,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, words: int =
     place = {bytes(r["word"]): i for i, r in enumerate(top.distinct().orderBy("word").collect())}
     data = rows.mapInArrow(_vectors(place), "h bigint, y array<bigint>, x array<double>").orderBy("h").collect()
     x, ys = np.array([r["x"] for r in data]), np.array([r["y"] for r in data], float)
-    return place, fit_chain(x, ys, np.arange(len(x)) % folds)
+    return place, *fit_chain(x, ys, np.arange(len(x)) % folds)
 
 
 def _apply(model):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, chain = model.value
+        place, chain, _ = model.value
         for b in batches:
             texts, out = b.column("text").to_pylist(), [[] for _ in CATEGORIES]
             for i in range(0, len(texts), 512):
@@ -148,8 +154,8 @@ def _apply(model):
     return run
 
 
-def classify(docs: DataFrame, model: tuple[dict[bytes, int], list[np.ndarray]], limit: float = 0.5) -> DataFrame:
-    """``docs(text, ...)`` with a probability of each category and toxic (p_toxic >= limit) in place of text.
+def classify(docs: DataFrame, model: tuple[dict[bytes, int], list[np.ndarray], float], limit: float | None = None) -> DataFrame:
+    """``docs(text, ...)`` with a probability of each category and toxic (p_toxic >= limit, the model's if not given) in place of text.
 
     Null and empty texts have no words and the probabilities of that; rows stay as they are,
     texts of any length are read whole, an empty table gives an empty table.  Columns of the input with a name of the result are replaced.
@@ -158,4 +164,4 @@ def classify(docs: DataFrame, model: tuple[dict[bytes, int], list[np.ndarray]],
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [f for f in docs.schema if f.name != "text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"p_{c} double" for c in CATEGORIES])
-    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInArrow(_apply(shared), schema).withColumn("toxic", F.col("p_toxic") >= limit)
+    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInArrow(_apply(shared), schema).withColumn("toxic", F.col("p_toxic") >= (model[2] if limit is None else limit))

@@ -499,18 +499,23 @@ def test_toxicity_on_labels_that_were_not_learned(spark):
     out = toxicity.classify(docs.join(labels.where(held), "doc_id"), toxicity.train(docs, labels.where(~held))).toPandas()
     truth = common.table(spark, sf, "labels").where(held).toPandas().drop_duplicates("doc_id").set_index("doc_id")["toxic"]
     right, hit = truth.reindex(out["doc_id"]).to_numpy() == 1, out["toxic"].to_numpy()
-    assert len(out) > 800 and right[hit].mean() > 0.9 and hit[right].mean() > 0.75
+    assert len(out) > 800 and right[hit].mean() > 0.9 and hit[right].mean() > 0.8
 
 
 def test_chain_feeds_out_of_fold_probabilities():
     rng = np.random.default_rng(1)
     x, fold = rng.normal(size=(400, 3)), np.arange(400) % 4
     y = np.stack([x[:, 0] > 0, (x[:, 0] > 0) & (x[:, 1] > 0)], 1).astype(float)
-    models = toxicity.fit_chain(x, y, fold)
+    models, limit = toxicity.fit_chain(x, y, fold)
     out = np.zeros(400)
     for f in range(4):
         out[fold == f] = toxicity.score(x[fold == f], toxicity.logistic(x[fold != f], y[fold != f, 0]))
     assert np.allclose(models[1], toxicity.logistic(np.c_[x, out], y[:, 1])) and len(models[1]) == len(models[0]) + 1
+    last = np.zeros(400)
+    for f in range(4):
+        last[fold == f] = toxicity.score(np.c_[x, out][fold == f], toxicity.logistic(np.c_[x, out][fold != f], y[fold != f, 1]))
+    f1 = lambda k: 2 * ((last >= k) * y[:, 1]).sum() / ((last >= k).sum() + y[:, 1].sum())
+    assert f1(limit) == max(f1(k / 20) for k in range(2, 19))
 
 
 def test_toxicity_cases(spark, docs):
