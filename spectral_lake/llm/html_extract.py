@@ -409,7 +409,9 @@ def extract(pages: DataFrame, least: int = 8, told: float = 0.2) -> DataFrame:
     schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rest, strict=True)] + ["text string"])
     shuffled = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(60_000, 2 * shuffled)
-    parts = materialise_by(pages.select(*names, F.col("url").alias("_url"), F.col("html").alias("_html")).mapInArrow(_chunks, PART), "chunk", shuffled)
+    taken = "_" * max(map(len, pages.columns))  # longer than any name of the input once a letter follows
+    last = [F.col(c).alias(f"{taken}{c}") for c in ("url", "html")]
+    parts = materialise_by(pages.select(*names, *last).mapInArrow(_chunks, PART), "chunk", shuffled)
     own = parts.select("chunk", "own")
     met = lambda asked, size: asked.repartition(shuffled, "bucket").sortWithinPartitions("bucket").mapInArrow(_met(size), ASKED).withColumnRenamed("chunk", "of")
     maybe = met(own.mapInArrow(_first(least, buckets), ASKED), 3)

@@ -274,7 +274,7 @@ def test_html_against_force(spark):
         pages.append((i, of[1] + "?again", of[2] if i % 2 else of[2].replace("</body>", "") + f"<p>{prose(20)}"))
     pages += [(400, None, None), (401, None, ""), (402, "x", "<p>bro<ken &amp"), (403, "y", PAGE * 3), (404, None, "<p>" + prose(200_000) + "</p>")]
     df = spark.createDataFrame(pages, PAGES).repartition(3)
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(df.selectExpr("*", "1 AS chunk", "2 AS own", "3 AS text")).collect()}
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df.selectExpr("*", "1 AS chunk", "2 AS own", "3 AS text", "4 AS _url", "5 AS _html")).collect()}
     want = texts_by_force(pages)
     assert got == want
     alone = {p[0]: html_extract.main_texts([""], [p[2] or ""], np.empty(0, np.uint64))[0] for p in pages}
