@@ -240,5 +240,5 @@ def near_classes(prints: DataFrame, least: float = 0.8, cap: int = 256) -> DataF
     most = int(SLOTS * (1 - least) * 15 / 16)
     roots = components(group_links(members, BySignature(most, np.uint8), cap))
     placed = nodes.join(roots.select(F.col("node").cast("string").alias("fingerprint"), "root"), "fingerprint", "left").withColumn("root", F.coalesce("root", code))
-    classes = placed.groupBy("root").agg(F.min("least").alias("near_class"))
+    classes = materialise(placed.groupBy("root").agg(F.min("least").alias("near_class")))  # written, so that the join can split a large class
     return placed.join(classes, "root").select("fingerprint", "near_class")

@@ -286,7 +286,7 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 85, chunks: int = 8,
     checked = texts.mapInArrow(_own_text(words), "grp bigint, node binary, weight bigint, payload binary").dropDuplicates(["grp", "node"])
     roots = components(group_links(checked, BySet(percent, words), set_cap))
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = materialise(placed.groupBy("root").agg(F.min("rep").alias("component_id")))  # written, so that the join can split a large group
     of = placed.join(least, "root").select("node", "root", "component_id")
     out = sketch.select("doc_id", "rk", "n_shingles", "node").join(of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
