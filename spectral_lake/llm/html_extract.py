@@ -1,7 +1,7 @@
 """Main text of web pages: what a host repeats across distinct pages is removed, the unique runs stay.
 
 A page becomes blocks of words.  The blocks of a host's pages, menus and adverts included, are one
-token stream whose suffixes are sorted by their leading ``least`` words (by a 64-bit digest of
+token stream whose suffixes are sorted by their leading ``least`` words (by a digest of
 these: the order among different suffixes does not matter, that equal ones are neighbours does).
 Neighbours from two distinct pages are a repeated substring; longer repeats are unions of such, so
 nothing more of a suffix is needed.  Covered words are boilerplate wherever they stand on the
@@ -12,7 +12,7 @@ the words in them is covered, then the story itself is on another page, and its
 Menus, forms and the like are left out by element, role or class in any case.
 
 Pages are parsed once and kept in chunks.  Each suffix goes out as 24 bits of its digest; only
-those met twice in their bucket go out again, as the whole digest and two of the pages it is from.
+those met twice in their bucket go out again, as 48 bits besides the bucket and the page they are from.
 """
 
 from __future__ import annotations
@@ -173,16 +173,16 @@ class Streams:
         return self
 
     def pairs(self, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (key, owner), two owners of a key at most, which is all that tells a repeat."""
+        """Distinct keys with their owner, or 0 if two pages own one: that is all that tells a repeat."""
         k, w = self.keys, self.owner[self.page]
         if pick is not None:
             k, w = k[pick], w[pick]
         order = np.lexsort((w, k))
         k, w = k[order], w[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])][: len(k)]
-        k, w = k[new], w[new]
-        third = np.r_[False, False, k[2:] == k[:-2]][: len(k)]
-        return k[~third], w[~third]
+        k, w = k[new], w[new] & _U(0xFFFFFFFF) | _U(1)
+        first = np.r_[True, k[1:] != k[:-1]][: len(k)]
+        return k[first], np.where(np.r_[first[1:], True][: len(k)], w, _U(0))[first]
 
     def texts(self, repeated: np.ndarray, least: int, told: float) -> list[str]:
         """The main text of each page, given the digests of repeats."""
@@ -290,6 +290,11 @@ def _lows(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> _U(32)) % _U(buckets), keys & _U(0xFFFFFF)
 
 
+def _wholes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each digest and its low 48 bits, as one number: what the second round tells apart."""
+    return ((keys >> _U(32)) % _U(buckets) << _U(48)) | (keys & _U(0xFFFFFFFFFFFF))
+
+
 ASKED = "chunk bigint, bucket int, digests binary, owners binary"
 
 
@@ -307,7 +312,7 @@ def _dealt(chunk: int, buckets: int, bucket: np.ndarray, digests: np.ndarray, si
     for k in range(buckets):
         x, y = int(ends[k]), int(ends[k + 1])
         if x < y:
-            out.append((chunk, k, _planes(digests[x:y], size), None if owners is None else _planes(owners[order[x:y]], 8)))
+            out.append((chunk, k, _planes(digests[x:y], size), None if owners is None else _planes(owners[order[x:y]], 4)))
     return out
 
 
@@ -318,7 +323,8 @@ def _first(least: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, own in zip(b.column("chunk").to_pylist(), b.column("own").to_pylist(), strict=True):
-                bucket, low = _lows(Streams.unpack(own).read(least).pairs()[0], buckets)
+                k, w = Streams.unpack(own).read(least).pairs()
+                bucket, low = _lows(np.r_[k, k[w == 0]], buckets)
                 yield pa.record_batch(_asked(_dealt(chunk, buckets, bucket, low, 3)))
 
     return run
@@ -333,10 +339,11 @@ def _met(size: int):
             own = [_values(d, size) for _, _, d, _ in rows]
             every = np.concatenate(own)
             if rows[0][3] is not None:
-                who = np.concatenate([_values(w, 8) for _, _, _, w in rows])
+                who = np.concatenate([_values(w, 4) for _, _, _, w in rows])
                 order = np.lexsort((who, every))
                 every, who = every[order], who[order]
-                every = every[np.r_[True, (np.diff(every) != 0) | (np.diff(who) != 0)]]
+                new = np.r_[True, (np.diff(every) != 0) | (np.diff(who) != 0)]
+                every = np.r_[every[new], every[who == 0]]  # 0: two of one chunk
             values, counts = np.unique(every, return_counts=True)
             twice, out = values[counts > 1], []
             for (chunk, bucket, _, _), keys in zip(rows, own, strict=True):
@@ -370,7 +377,7 @@ def _second(least: int, buckets: int):
             streams = Streams.unpack(part["own"]).read(least)
             bucket, low = _lows(streams.keys, buckets)
             k, w = streams.pairs(_among(low + (bucket << _U(24)), code))
-            rows += _dealt(part["chunk"], buckets, _lows(k, buckets)[0], k, 8, w)
+            rows += _dealt(part["chunk"], buckets, _lows(k, buckets)[0], k & _U(0xFFFFFFFFFFFF), 6, w)
         trim()
         return pa.table(_asked(rows))
 
@@ -382,11 +389,13 @@ def main_texts(hosts: list[str], pages: list[str], repeated: np.ndarray, least:
     return Streams(hosts, [blocks(p) for p in pages]).read(least).texts(repeated, least, told)
 
 
-def _finish(least: int, told: float):
+def _finish(least: int, told: float, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (part,) = left.to_pylist()
-        repeated = np.sort(np.concatenate([np.empty(0, _U), *(_values(r["digests"], 8) for r in right.to_pylist())]))
-        texts = Streams.unpack(part["own"]).read(least).texts(repeated, least, told)
+        repeated = np.sort(np.concatenate([np.empty(0, _U), *(_values(r["digests"], 6) + (_U(r["bucket"]) << _U(48)) for r in right.to_pylist())]))
+        streams = Streams.unpack(part["own"]).read(least)
+        streams.keys = _wholes(streams.keys, buckets)
+        texts = streams.texts(repeated, least, told)
         with pa.ipc.open_stream(_grow(part["rest"])) as f:
             rest = f.read_all()
         trim()
@@ -416,4 +425,4 @@ def extract(pages: DataFrame, least: int = 8, told: float = 0.2) -> DataFrame:
     met = lambda asked, size: asked.repartition(shuffled, "bucket").sortWithinPartitions("bucket").mapInArrow(_met(size), ASKED).withColumnRenamed("chunk", "of")
     maybe = met(own.mapInArrow(_first(least, buckets), ASKED), 3)
     again = own.groupBy("chunk").cogroup(maybe.groupBy("of")).applyInArrow(_second(least, buckets), ASKED)
-    return parts.groupBy("chunk").cogroup(met(again, 8).groupBy("of")).applyInArrow(_finish(least, told), schema)
+    return parts.groupBy("chunk").cogroup(met(again, 6).groupBy("of")).applyInArrow(_finish(least, told, buckets), schema)
