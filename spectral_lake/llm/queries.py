@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, edit_fingerprint, html_extract, language_mixture, license_scan, minhash, mixing, quality_rules, source_divergence, suffix_dedup, toxicity, vector_codes
+from . import bpe, edit_fingerprint, html_extract, language_mixture, license_scan, minhash, mixing, ngram_join, quality_rules, source_divergence, suffix_dedup, toxicity, vector_codes
 from .common import materialise, table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -77,6 +77,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     books = vector_codes.train(vectors)
@@ -88,5 +92,5 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_language_id, op5_minhash_dedup, op6_suffix_dedup, op7_html_extract, op8_byte_bpe, op9_edit_fingerprint, op10_license_scan, op12_vector_codes, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_language_id, op5_minhash_dedup, op6_suffix_dedup, op7_html_extract, op8_byte_bpe, op9_edit_fingerprint, op10_license_scan, op11_ngram_join, op12_vector_codes, op13_source_divergence)}
 ORACLES = {"op2_quality_rules": quality_rules.rules_sql(), "op12_vector_codes": vector_codes.codes_sql(), "op13_source_divergence": source_divergence.divergence_sql()}
