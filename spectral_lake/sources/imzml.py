@@ -1,39 +1,25 @@
 """imzML: an XML file of spectra with the byte ranges of their arrays in a binary file beside it.
 
-The XML is read by Spark's own reader, one row a spectrum, so a large file is split like any
-other; tasks then read their spectra's byte ranges.  The binary file must be on a path that
-every executor can open.
+Header and places are read by Spark's own XML reader; spectra by the data source ``imzml``, whose
+tasks read byte ranges of both files on any file system that they can reach.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import zlib
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FormatError
-from ..functions import coords
-from ..operators import extract, metadata, ontology
+from ..operators import accounting, extract, metadata, ontology
+from .accessions import BYTES, CONTINUOUS, INTENSITY, LENGTH, MZ, OFFSET, PIXEL_X, PIXEL_Y, PROCESSED, UUID, ZLIB, X, Y, Z  # noqa: F401
+from .decoding import SCHEMA
+from .imzml_source import register
 from .registry import register_reader
 
-#: Accessions of the format.
-CONTINUOUS, PROCESSED = "IMS:1000030", "IMS:1000031"
-X, Y, Z = "IMS:1000050", "IMS:1000051", "IMS:1000052"
-OFFSET, LENGTH, BYTES = "IMS:1000102", "IMS:1000103", "IMS:1000104"
-MZ, INTENSITY, ZLIB = "MS:1000514", "MS:1000515", "MS:1000574"
-PIXEL_X, PIXEL_Y = "IMS:1000046", "IMS:1000047"
-UUID = "IMS:1000080"
-KINDS = {"MS:1000521": "<f4", "MS:1000523": "<f8", "MS:1000519": "<i4", "MS:1000522": "<i8"}
-
 _PARAM = "cvParam array<struct<_accession: string, _value: string>>"
-_REF = "referenceableParamGroupRef array<struct<_ref: string>>"
-_SPECTRUM = f"_index bigint, scanList struct<scan: array<struct<{_PARAM.replace(' ', ': ', 1)}>>>, binaryDataArrayList struct<binaryDataArray: array<struct<{_PARAM.replace(' ', ': ', 1)}, {_REF.replace(' ', ': ', 1)}>>>"
+_SPECTRUM = f"_index bigint, scanList struct<scan: array<struct<{_PARAM.replace(' ', ': ', 1)}>>>"
 
 
 def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
@@ -65,62 +51,6 @@ def pixel_size(spark: SparkSession, path: str) -> tuple[float, float] | None:
     return None if row["x"] is None else (row["x"], row["y"] if row["y"] is not None else row["x"])
 
 
-def layout(spark: SparkSession, path: str) -> DataFrame:
-    """One row a spectrum: raw coordinates, and offset, length and kind of both arrays."""
-    groups = _xml(spark, path, "referenceableParamGroup", f"_id string, {_PARAM}")
-    known = {r["_id"]: [(p["_accession"], p["_value"]) for p in r["cvParam"] or []] for r in groups.collect()}  # a handful in any file
-    s = _xml(spark, path, "spectrum", _SPECTRUM)
-    scan = F.flatten(F.transform("scanList.scan", lambda x: x["cvParam"]))
-    table = F.create_map(*[x for k, ps in known.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(a).alias("_accession"), F.lit(v).alias("_value")) for a, v in ps]))]) if known else None
-
-    def every(a: Column) -> Column:
-        own = F.coalesce(a["cvParam"], F.array().cast("array<struct<_accession: string, _value: string>>"))
-        if table is None:
-            return own
-        return F.concat(F.flatten(F.transform(F.coalesce(a["referenceableParamGroupRef"], F.array().cast("array<struct<_ref: string>>")), lambda r: F.coalesce(table[r["_ref"]], F.array().cast("array<struct<_accession: string, _value: string>>")))), own)
-
-    arrays = F.transform("binaryDataArrayList.binaryDataArray", every)
-
-    def one(role: str) -> Column:
-        p = F.element_at(F.filter(F.col("arrays"), lambda a: F.exists(a, lambda q: q["_accession"] == role)), 1)
-        kind = F.element_at(F.filter(p, lambda q: q["_accession"].isin(*KINDS)), -1)["_accession"]
-        return F.struct(_value(p, OFFSET).cast("bigint").alias("at"), _value(p, LENGTH).cast("bigint").alias("n"), _value(p, BYTES).cast("bigint").alias("size"), kind.alias("kind"), F.exists(p, lambda q: q["_accession"] == ZLIB).alias("zlib"))
-
-    s = s.select(F.col("_index").alias("spectrum_idx"), scan.alias("scan"), arrays.alias("arrays"))
-    place = [F.coalesce(_value(F.col("scan"), a).cast("int"), F.lit(d)).alias(n) for n, a, d in (("x", X, 1), ("y", Y, 1), ("z", Z, 0))]
-    return s.select("spectrum_idx", *place, one(MZ).alias("mz"), one(INTENSITY).alias("it"))
-
-
-def _decode(ibd: str):
-    def values(f, a: dict | None) -> list[float] | None:
-        if not a or a["at"] is None or a["kind"] not in KINDS:
-            return None
-        f.seek(a["at"])
-        raw = f.read(a["size"] if a["size"] is not None else a["n"] * np.dtype(KINDS[a["kind"]]).itemsize)
-        if a["zlib"]:
-            raw = zlib.decompress(raw)
-        return np.frombuffer(raw, KINDS[a["kind"]], a["n"]).astype(float).tolist()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(ibd, "rb") as f:
-            for b in batches:
-                out, bad = ([], []), []
-                for m, i in zip(b.column("mz").to_pylist(), b.column("it").to_pylist(), strict=True):
-                    try:
-                        got, why = (values(f, m), values(f, i)), None
-                        if got[0] is None or got[1] is None or len(got[0]) != len(got[1]):
-                            got, why = (None, None), "arrays missing or of different length"
-                    except (ValueError, zlib.error, OSError) as e:
-                        got, why = (None, None), str(e)
-                    out[0].append(got[0])
-                    out[1].append(got[1])
-                    bad.append(why)
-                keep = [b.column(c) for c in ("spectrum_idx", "x", "y", "z")]
-                yield pa.record_batch([*keep, *(pa.array(o, pa.list_(pa.float64())) for o in out), pa.array(bad, pa.string())], names=["spectrum_idx", "x", "y", "z", "mzs", "intensities", "error"])
-
-    return run
-
-
 def _check_binary(path: str) -> None:
     if not os.path.exists(os.path.splitext(path)[0] + ".ibd"):
         raise FormatError(f"{path}: no .ibd file beside it")
@@ -128,21 +58,29 @@ def _check_binary(path: str) -> None:
 
 def places(spark: SparkSession, path: str) -> DataFrame:
     """(x, y, z) of every spectrum, from 1, read from the XML alone."""
-    return layout(spark, path).select("x", "y", "z")
+    s = _xml(spark, path, "spectrum", _SPECTRUM).select(F.flatten(F.transform("scanList.scan", lambda x: x["cvParam"])).alias("scan"))
+    return s.select(*[F.coalesce(_value(F.col("scan"), a).cast("int"), F.lit(d)).alias(n) for n, a, d in (("x", X, 1), ("y", Y, 1), ("z", Z, 0))])
+
+
+def scan(spark: SparkSession, path: str, schema: str = SCHEMA, **options: str) -> DataFrame:
+    """``spectra`` with their ``error``, as the data source ``imzml`` reads them.
+
+    A ``schema`` without arrays and error, and filters on places, keep the binary file closed.
+    """
+    register(spark)
+    return spark.read.format("imzml").schema(schema).options(**options).load(path)
 
 
 @register_reader("imzml", ".imzml", _check_binary)
-def read(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, keep_bad: bool = False, **options: str) -> DataFrame:
     """``spectra(spectrum_idx, x, y, z, mzs, intensities)`` with coordinates from 0.
 
     Unreadable spectra and those with an empty array are left out, or kept with their ``error``.
+    Options are the data source's.
     """
     mode(spark, path)
-    ibd = re.sub(r"\.imzml$", ".ibd", path, flags=re.I)
-    s = layout(spark, path).mapInArrow(_decode(ibd), "spectrum_idx bigint, x int, y int, z int, mzs array<double>, intensities array<double>, error string")
-    x, y, z = coords.zero_based(F.col("x"), F.col("y"), F.col("z"))
-    s = s.select("spectrum_idx", x.alias("x"), y.alias("y"), z.alias("z"), "mzs", "intensities", "error")
-    return s if keep_bad else s.where("error is null and size(mzs) > 0 and size(intensities) > 0").drop("error")
+    s = scan(spark, path, **options)
+    return s if keep_bad else accounting.usable(s)
 
 
 def peaks(spectra: DataFrame) -> DataFrame:
