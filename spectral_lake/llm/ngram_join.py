@@ -136,6 +136,15 @@ class TreeOfSets(BySet):
         return super().like(i, others[self.near[i, others]])
 
 
+#: Rows of a table that is sent to every executor at most; a larger one is joined by a shuffle.
+SENT = 1 << 20
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its size allows."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
 # --- blocks -----------------------------------------------------------------------------
 
 
@@ -233,12 +242,12 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, cap: int = 256, s
     # blocks with the same members are one
     blocks = keyed.groupBy("grp").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("c > 1")
     chosen = materialise(blocks.groupBy("c", "x", "y", F.expr("grp & 63").alias("level")).agg(F.min("grp").alias("grp")).select("grp"))
-    met = keyed.join(chosen, "grp").distinct()
+    met = keyed.join(_sent(chosen), "grp").distinct()
     size = F.unhex(F.lpad(F.hex("n"), 16, "0"))
     members = met.join(nodes.select("node", F.concat(size, "bits").alias("payload")), "node").select("grp", "node", F.lit(1).alias("weight"), "payload")
     groups = components(group_links(members, ByTree(percent), cap))
-    wanted = groups.join(nodes, "node").select("node", F.xxhash64("root").alias("grp"), "rk", (F.col("n") + 1000).alias("weight"))
-    texts = slim.join(wanted, "rk").select("grp", "node", "weight", F.col("text").alias("payload"))
+    wanted = materialise(groups.join(nodes, "node").select("node", F.xxhash64("root").alias("grp"), "rk", (F.col("n") + 1000).alias("weight")))
+    texts = slim.join(_sent(wanted), "rk").select("grp", "node", "weight", F.col("text").alias("payload"))
     checked = texts.mapInArrow(_own_text(words), "grp bigint, node binary, weight bigint, payload binary").dropDuplicates(["grp", "node"])
     roots = components(group_links(checked, TreeOfSets(percent, words), set_cap))
     placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
