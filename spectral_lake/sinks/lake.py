@@ -3,29 +3,25 @@
 from __future__ import annotations
 
 import json
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..config import SETTINGS
 from ..sources.registry import register_converter
 
 
-def _place(spark: SparkSession, path: str):
-    """A path and the file system it is on, local or not."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at, fs = _place(spark, path)
-    return fs.exists(at)
+def stored(path: str, df: DataFrame) -> DataFrame:
+    """``df`` written once: what reads the result reads files."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_spectra(path: str, spectra: DataFrame) -> DataFrame:
     """Decoded spectra, written once: all other tables are made from what is read back."""
-    spectra.write.parquet(f"{path}/spectra")
-    return spectra.sparkSession.read.schema(spectra.schema).parquet(f"{path}/spectra")
+    return stored(f"{path}/spectra", spectra)
 
 
 @register_converter("lake")
@@ -60,20 +56,11 @@ def compact(path: str, out: str, tile: int = SETTINGS.tile, nx: int | None = Non
 
 
 def optimise(path: str, tile: int = SETTINGS.tile, nx: int | None = None) -> bool:
-    """``compact`` in place: written beside, then swapped; the old matrix goes last.  False if it failed."""
-    spark = SparkSession.active()
+    """``compact`` in place: the matrix stays as it was until the new one is whole.  False if it failed."""
     try:
-        compact(path, f"{path}/X_optimized", tile, nx)
-        old, fs = _place(spark, f"{path}/X")
-        aside, new = _place(spark, f"{path}/X_backup")[0], _place(spark, f"{path}/X_optimized")[0]
-        if not fs.rename(old, aside):
-            return False
-        if not fs.rename(new, old):
-            fs.rename(aside, old)
-            return False
-        return bool(fs.delete(aside, True))
+        with storage.whole(SparkSession.active(), f"{path}/X", replace=True) as stage:
+            compact(path, stage, tile, nx)
+        return True
     except Exception:
-        import logging
-
         logging.getLogger("spectral_lake").exception("optimising failed")
         return False

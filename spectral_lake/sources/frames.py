@@ -1,4 +1,7 @@
-"""Vendor folders: an SQLite frame database and spectra only a vendor decoder can read."""
+"""Vendor folders: an SQLite frame database and spectra only a vendor decoder can read.
+
+The folder must be on a local or mounted path of every executor: neither SQLite nor a vendor's library opens anything else.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +9,29 @@ import os
 import sqlite3
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DecoderError, FormatError
 from ..functions import coords
-from ..operators import extract
+from ..operators import accounting, balance, extract
+from .decoding import ROW, SCHEMA, Batches
 from .registry import detect, register_reader  # noqa: F401  (detect is part of this module's surface)
 
 SPECTRA = "spectrum_idx bigint, x int, y int, z int, mzs array<double>, intensities array<double>"
+#: Frames that hold a spectrum.
+_VALID = "NumPeaks > 0 AND NumPeaks <= 65535"
+#: Peaks and rows that a task is planned for.
+PEAKS_A_TASK, ROWS_A_TASK = 20_000_000, 100_000
+
+
+def _parts(spark: SparkSession, db: str) -> int:
+    """Tasks for all frames: by their peaks, and as many as the session has cores where there is enough to do."""
+    got = table(spark, db, "Frames", "Id bigint, NumPeaks bigint").where(_VALID).agg(F.sum("NumPeaks"), F.count("*")).first()
+    return max(1, min(spark.sparkContext.defaultParallelism, got[1]), -(-(got[0] or 0) // PEAKS_A_TASK))
 
 
 def database(path: str) -> str:
@@ -36,15 +52,15 @@ def _open(db: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{db}?mode=ro", uri=True)
 
 
-def table(spark: SparkSession, db: str, name: str, schema: str, parts: int = 8) -> DataFrame:
-    """A table of the database, read-only, in ranges of rowid; none if the table is missing, nulls for a missing column."""
+def table(spark: SparkSession, db: str, name: str, schema: str, rows: int = ROWS_A_TASK) -> DataFrame:
+    """A table of the database, read-only, in ranges of ``rows`` rowids; none if the table is missing, nulls for a missing column."""
     columns = [c.split()[0] for c in schema.split(",")]
     with _open(db) as con:
         if not con.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (name,)).fetchone():
             return spark.createDataFrame([], schema)
         there = {r[1] for r in con.execute(f'PRAGMA table_info("{name}")')}
         lo, hi = con.execute(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{name}"').fetchone()
-    step = max(1, -(-(hi - lo + 1) // parts))
+    step = max(1, rows)
     columns = [c if c in there else f"NULL AS {c}" for c in columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,7 +69,7 @@ def table(spark: SparkSession, db: str, name: str, schema: str, parts: int = 8)
                 for a in b["id"].tolist():
                     yield pd.read_sql_query(f'SELECT {", ".join(columns)} FROM "{name}" WHERE rowid BETWEEN {a} AND {a + step - 1}', con)
 
-    return spark.range(lo, hi + 1, step, numPartitions=parts).mapInPandas(run, schema)
+    return spark.range(lo, hi + 1, step, numPartitions=max(1, -(-(hi - lo + 1) // step))).mapInPandas(run, schema)
 
 
 def frames(spark: SparkSession, db: str, offset: tuple[int, int] = (0, 0)) -> DataFrame:
@@ -118,20 +134,56 @@ def laser_spots(spark: SparkSession, db: str) -> DataFrame:
     return t.toDF("id", "x", "y", "beam_x", "beam_y")
 
 
+def partitions(spark: SparkSession, db: str, parts: int) -> list[tuple[int, int]]:
+    """First and last id of stretches of frames with near equal peaks; one stretch is one task of ``read``."""
+    f = table(spark, db, "Frames", "Id bigint, NumPeaks bigint").where(_VALID)
+    found = balance.cuts(f, "Id", F.col("NumPeaks"), parts).orderBy("part").collect()  # ``parts`` rows at most
+    return [(r["first"], r["last"]) for r in found]
+
+
+def _stretch(con: sqlite3.Connection, first: int, last: int, off: tuple[int, int]) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
+    """Id, peaks and place of each frame of a stretch, in order of id."""
+    tables = {r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+    where = f"FROM Frames WHERE Id BETWEEN {first} AND {last} AND {_VALID} ORDER BY Id"
+    if "MaldiFrameInfo" in tables:
+        where = where.replace("FROM Frames", "FROM Frames LEFT JOIN MaldiFrameInfo ON Frame = Id")
+    x, y = ("XIndexPos", "YIndexPos") if "MaldiFrameInfo" in tables else ("NULL", "NULL")
+    for i, n, a, b in con.execute(f"SELECT Id, NumPeaks, {x}, {y} {where}"):
+        yield i, n, (i - 1, i - 1, 0, 0) if a is None or b is None else (i - 1, a - off[0], b - off[1], 0)
+
+
 @register_reader("frames", ".d", _check_folder)
-def read(spark: SparkSession, path: str, decode: Callable[[str, int, int], tuple[list[float], list[float]]] | None = None) -> DataFrame:
-    """Spectra of a vendor folder.  ``decode(path, frame_id, num_peaks)`` gives m/z and intensities of a frame."""
+def read(spark: SparkSession, path: str, decode: Callable[[str, int, int], tuple[list[float], list[float]]] | None = None, keep_bad: bool = False, parts: int | None = None) -> DataFrame:
+    """Spectra of a vendor folder.  ``decode(path, frame_id, num_peaks)`` gives m/z and intensities of a frame.
+
+    Frames are dealt by their peaks, so that no task has much more than the mean.  A frame that the
+    decoder fails on, or gives arrays of different length for, is left out, or kept with its ``error``.
+    """
     if decode is None:
         raise DecoderError("vendor spectra need a decoder; metadata can be read without")
     db = database(path)
-    f = frames(spark, db, offset(spark, db)).where("num_peaks > 0 and num_peaks <= 65535")
+    off, stretches = offset(spark, db), partitions(spark, db, parts or _parts(spark, db))
+    if not stretches:
+        found = spark.createDataFrame([], SCHEMA)
+        return found if keep_bad else accounting.usable(found)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [decode(path, i, n) for i, n in zip(b["frame_id"].tolist(), b["num_peaks"].tolist(), strict=True)]
-            yield pd.DataFrame({"spectrum_idx": b["frame_id"] - 1, "x": b["x"], "y": b["y"], "z": b["z"], "mzs": [g[0] for g in got], "intensities": [g[1] for g in got]})
-
-    return f.mapInPandas(run, SPECTRA).where("size(mzs) > 0 and size(intensities) > 0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batches([name for name, _ in ROW])
+        with _open(db) as con:
+            for k in (k for b in batches for k in b.column("id").to_pylist()):
+                for i, n, place in _stretch(con, *stretches[k], off):
+                    got, why = (None, None), None
+                    try:
+                        got = tuple(np.asarray(v, np.float64) for v in decode(path, i, n))
+                        if len(got[0]) != len(got[1]):
+                            got, why = (None, None), f"lengths: {len(got[0])} m/z, {len(got[1])} intensities"
+                    except Exception as e:  # a decoder of the user's may raise anything
+                        got, why = (None, None), f"decoder: {type(e).__name__} {e}"
+                    yield from out.add(place, *got, why)
+        yield from out.rest()
+
+    found = spark.range(0, len(stretches), 1, numPartitions=len(stretches)).mapInArrow(run, SCHEMA)
+    return found if keep_bad else accounting.usable(found)
 
 
 def _inputs(spark: SparkSession, db: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

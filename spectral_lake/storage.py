@@ -9,6 +9,7 @@ can be an option of a data source and be resolved in every worker.
 from __future__ import annotations
 
 import importlib
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -119,3 +120,18 @@ def whole(spark: SparkSession, path: str, replace: bool = False) -> Iterator[str
     except BaseException:
         remove(spark, stage)
         raise
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: ``spark.checkpoint.dir``, or the context's.
+
+    Where none is set, a session in one process, as in tests, gets a temporary one; a cluster must name its own.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spectral-lake-"))
+        found = context.getCheckpointDir()
+    if not found:
+        raise ConfigurationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found.rstrip("/")
