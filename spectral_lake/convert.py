@@ -15,7 +15,7 @@ from .errors import ConfigurationError, DataError
 from .functions import coords
 from .operators import accounting, axis, extract, images, mapping, matrix, metadata, stats
 from .progress import reported as progress_of
-from .sinks import lake
+from .sinks import bundle, lake  # noqa: F401  (bundle registers its format)
 from .sources import frames, imzml, registry
 from .sources.decoding import CAUSES
 

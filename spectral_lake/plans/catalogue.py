@@ -518,4 +518,4 @@ def metadata_summary(spark, d):
     return src.peaks(spark, d).agg(F.max("mz").alias("mz_max"), F.min("mz").alias("mz_min")).crossJoin(F.broadcast(n)).select("n_spectra", "mz_max", "mz_min", "is_3d")
 
 
-from . import records  # noqa: E402, F401  (registers its queries here)
+from . import records, stores  # noqa: E402, F401  (they register their queries here)

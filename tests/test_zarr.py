@@ -111,3 +111,27 @@ def test_cells_of_an_array(spark, tmp_path):
     assert back.count() == 5 * 70 * 65 and back.exceptAll(want).isEmpty()
     with pytest.raises(ConfigurationError):
         z.write_image(image, str(tmp_path / "i"), (5, 70, 65))
+
+
+def test_conversion_to_a_bundle(spark, tmp_path):
+    from test_sources import SPECTRA, write_imzml
+
+    from spectral_lake.convert import convert
+
+    path, out = write_imzml(tmp_path / "a.imzML", SPECTRA), tmp_path / "out"
+    assert convert(spark, path, str(out), "d", output_format="zarr")
+    back = z.read_csr(spark, f"{out}/tables/d/X")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, spark.read.parquet(f"{out}/X").collect())) and back.count() == 5
+    assert z.read_image(f"{out}/images/d_tic")[0].tolist() == [[3.0, 0.0], [7.0, 5.0]]
+
+
+def test_each_slice_has_its_arrays(spark, tmp_path):
+    from test_sources import write_imzml
+
+    from spectral_lake.convert import convert
+
+    rows = [(1, 1, [], [], 1), (3, 2, [], [], 2), (2, 2, [200.0, 500.0], [100.0, 200.0], 1), (3, 1, [300.0, 500.0], [150.0, 250.0], 2)]
+    assert convert(spark, write_imzml(tmp_path / "a.imzML", rows), str(tmp_path / "out"), "t", output_format="zarr")
+    got = {k: sorted(map(tuple, z.read_csr(spark, f"{tmp_path}/out/tables/t_z{k}/X").collect())) for k in (0, 1)}
+    assert got == {0: [(4, 0, 100.0), (4, 2, 200.0)], 1: [(2, 1, 150.0), (2, 2, 250.0)]}
+    assert z.read_image(f"{tmp_path}/out/images/t_z1_tic")[0].tolist() == [[0.0, 0.0, 400.0], [0.0, 0.0, 0.0]]
