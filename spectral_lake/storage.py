@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .errors import ConfigurationError, ImagingError
 
@@ -135,3 +135,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         raise ConfigurationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: lineage ends here, and a lost executor costs later tasks only."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
