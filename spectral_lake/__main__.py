@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--optimize-chunks", action="store_true", help="store pixels of one tile together")
     t = sub.add_parser("check-terms")
     t.add_argument("input", help="a file, or a folder that is searched whole")
-    t.add_argument("terms", help="an OBO file")
+    t.add_argument("terms", nargs="+", help="OBO files; a later one replaces terms of those before it")
     t.add_argument("--output", help="a JSON report")
     t.add_argument("--verbose", action="store_true", help="list every unknown term")
     d = sub.add_parser("describe")
@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "describe":
         json.dump(describe(spark, args.input), sys.stdout, indent=2, default=str)
         return 0
-    params, terms = ontology.read_params(spark, args.input), ontology.load_obo(spark, args.terms)
+    params, terms = ontology.read_params(spark, args.input), ontology.load_vocabularies(spark, args.terms)
     print(ontology.report(params, terms, shown=1 << 30 if args.verbose else 10))
     found = ontology.results(params, terms)
     if args.output:

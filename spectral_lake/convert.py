@@ -31,21 +31,23 @@ def assemble(spectra: DataFrame, dims: tuple[int, int, int], dataset_id: str, pi
     """All output tables of ``spectra``; lazy.  Three of them read ``common``, the axis: give a stored one.
 
     A volume without ``handle_3d`` is a set of slices, whose average spectrum is the mean; else the
-    total stands in its place.  Coordinates outside the grid are an error, not wrapped.
+    total stands in its place.  Coordinates outside the grid are an error, not wrapped; only a slice that is
+    not in it is left out of matrix and image, and its spectra count in totals and means.
     """
     nx, ny, nz = dims
     spark = spectra.sparkSession
-    inside = F.col("x").between(0, nx - 1) & F.col("y").between(0, ny - 1) & F.col("z").between(0, nz - 1)
+    sliced = nz > 1 and not handle_3d
+    inside = F.col("x").between(0, nx - 1) & F.col("y").between(0, ny - 1) & (F.lit(sliced) | F.col("z").between(0, nz - 1))
     spectra = spectra.withColumn("pixel_idx", F.when(inside, coords.pixel_index(F.col("x"), F.col("y"), F.col("z"), nx, ny)).otherwise(F.raise_error(F.lit("a coordinate lies outside the grid")).cast("bigint")))
     peaks = imzml.peaks(spectra)
     common = common if common is not None else common_axis(spectra, continuous)
     mapped = mapping.map_bucketed(peaks, common) if continuous else mapping.map_exact(peaks, common)
-    x = matrix.assemble(mapped)
+    own = (lambda df: images.in_slices(df, nz)) if sliced else (lambda df: df)
+    x = matrix.assemble(own(mapped))
     total = stats.total_spectrum(mapped, common)
-    sliced = nz > 1 and not handle_3d
     spectrum = stats.average_spectrum(total, spectra.agg(F.count("*").alias("n"))) if sliced else total.withColumnRenamed("total", "average")
     grid = images.grid(spark, nx, ny, nz)
-    tic = stats.last_tic(spectra.select("pixel_idx", "spectrum_idx", F.aggregate("intensities", F.lit(0.0), lambda a, v: a + v).alias("tic")))
+    tic = stats.last_tic(own(spectra).select("pixel_idx", "spectrum_idx", F.aggregate("intensities", F.lit(0.0), lambda a, v: a + v).alias("tic")))
     tic = images.on_grid(grid, tic, F.col("tic"))
     obs = images.obs_slices(grid, dataset_id, pixel_size, nx) if sliced else images.obs_table(grid, dataset_id, pixel_size, nz)
     shapes = images.pixel_shapes(obs, pixel_size)
@@ -129,7 +131,7 @@ def _convert(spark: SparkSession, source: str, stage: str, dataset_id: str, pixe
     detection = F.struct(*[c.alias(k) for k, c in extract.chosen_pixel_size(*known).items()])
     info = {"source": source, "kind": kind, "output_format": output_format, "handle_3d": handle_3d, "continuous": continuous}
     tables["attrs"] = tables["attrs"].withColumns({"pixel_size_detection": detection, "conversion_info": _struct(info), "processing_stats": _struct(stats_of)})
-    write(stage, **tables, metadata=module.sections(spark, source) if module else None)
+    write(stage, **tables, metadata=extract.nonempty(module.sections(spark, source)) if module else None)
     storage.remove(spark, f"{stage}/_axis")
 
 

@@ -108,6 +108,12 @@ def header_sections(pairs: DataFrame) -> DataFrame:
     return known.union(pairs.select(F.lit("raw_metadata").alias("section"), "key", "value"))
 
 
+def nonempty(sections: DataFrame) -> DataFrame:
+    """``sections(section, key, value)`` without those that have no value at all, and without rows of no section."""
+    full = sections.where("section is not null").groupBy("section").agg(F.count("value").alias("_n")).where("_n > 0")
+    return sections.join(full.select("section"), "section", "left_semi")
+
+
 def as_json(sections: DataFrame) -> DataFrame:
     """One row: a JSON document with an object for each section that has rows."""
     per = sections.groupBy("section").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value")))).alias("values"))

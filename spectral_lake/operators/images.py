@@ -65,3 +65,8 @@ def tiles(pixels: DataFrame, height: int = 64, width: int = 64) -> DataFrame:
     """How many pixels fall in each storage tile."""
     cell = lambda c, n: F.floor(F.col(c) / n).cast("bigint")
     return pixels.groupBy("z", cell("y", height).alias("tile_y"), cell("x", width).alias("tile_x")).agg(F.count("*").alias("pixels"))
+
+
+def in_slices(df: DataFrame, nz: int, z: str = "z") -> DataFrame:
+    """Rows whose slice is one of ``nz``: others are in no slice's table, though sums over all spectra have them."""
+    return df.where(F.col(z).between(0, nz - 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,24 @@ def load_obo(spark: SparkSession, path: str) -> DataFrame:
     return terms.where("accession like '%:%'").dropDuplicates(["accession"])
 
 
+def load_vocabularies(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Terms of several OBO files, ``updated`` in the order of ``paths``."""
+    files = [load_obo(spark, p).withColumns({"vocabulary": F.lit(i), "seq": F.monotonically_increasing_id()}) for i, p in enumerate(paths)]
+    return updated(reduce(DataFrame.union, files))
+
+
+def updated(terms: DataFrame) -> DataFrame:
+    """(accession, name, value_type, load_order) of ``terms(accession, name, value_type, vocabulary, seq)``, one row an accession.
+
+    A term of a later vocabulary, or later in one, replaces what is known of its accession.  load_order stays
+    where the accession was first met: it decides in ``by_name`` which of equal names is found.
+    """
+    at = F.struct("vocabulary", "seq")
+    last = F.max_by(F.struct("name", "value_type"), at)
+    one = terms.groupBy("accession").agg(last.alias("t"), F.min(at).alias("load_order"))
+    return one.select("accession", "t.name", "t.value_type", "load_order")
+
+
 def prefix(accession):
     """What stands before the colon; none without one."""
     return F.when(F.contains(accession, F.lit(":")), F.split_part(accession, F.lit(":"), F.lit(1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matrix import assemble, last_in_spectrum
@@ -60,3 +60,9 @@ def coverage(grid_tic: DataFrame) -> DataFrame:
     """Pixels, pixels with signal and their share in percent."""
     n, full = F.count("*"), F.count_if(F.col("value") > 0)
     return grid_tic.agg(n.alias("pixels"), full.alias("non_empty"), (full * 100.0 / F.greatest(n, F.lit(1))).alias("percent"))
+
+
+def slice_membership(spectra: DataFrame, known: Column) -> DataFrame:
+    """One row: spectra and their total current, of all and of those in a ``known`` slice.  Means are over all: a spectrum of no slice counts."""
+    own = F.when(known, F.col("tic"))
+    return spectra.agg(F.count("*").alias("spectra"), F.count_if(known).alias("in_slices"), F.sum("tic").alias("total"), F.coalesce(F.sum(own), F.lit(0.0)).alias("in_slices_total"))

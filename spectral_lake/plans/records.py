@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coords
-from ..operators import axis, extract, mapping, metadata
+from ..operators import axis, extract, mapping, metadata, ontology, stats
 from ..sources import adapters as src
 from ..sources import imzml
 from .catalogue import CTE, NX, NY, _grid, query
@@ -109,8 +109,10 @@ def metadata_sections(spark, d):
 
 @query("SELECT section, count(*) AS n FROM (SELECT CASE WHEN key IN ('1-URGENT', '2-HIGH') THEN 'known' END AS section FROM (SELECT o_orderpriority AS key FROM orders)) WHERE section IS NOT NULL GROUP BY 1 HAVING count(*) > 0")
 def nonempty_sections(spark, d):
-    o = src.read(spark, d, "orders").select(F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "known").alias("section"))
-    return o.where("section is not null").groupBy("section").agg(F.count("*").alias("n")).where("n > 0")
+    """Orders as pairs of two sections, one of which has no value."""
+    known = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    pairs = src.read(spark, d, "orders").select(F.when(known, "known").otherwise("void").alias("section"), F.col("o_orderkey").cast("string").alias("key"), F.when(known, F.col("o_orderpriority")).alias("value"))
+    return extract.nonempty(pairs).groupBy("section").agg(F.count("*").alias("n"))
 
 
 @query("SELECT min(frame_id) AS first_id, max(frame_id) AS last_id, count(*) AS n FROM frames", "frames")
@@ -148,8 +150,7 @@ def element_counts(spark, d):
 def slice_membership(spark, d):
     """With slice 0 the only one known: other spectra are in no slice's matrix and still count in the totals."""
     t = src.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("tic"))
-    known = F.floor(F.col("l_orderkey") / (NX * NY)) == 0
-    return t.agg(F.count("*").alias("spectra"), F.count_if(known).alias("in_slices"), F.sum("tic").alias("total"), F.coalesce(F.sum(F.when(known, F.col("tic"))), F.lit(0.0)).alias("in_slices_total"))
+    return stats.slice_membership(t, F.floor(F.col("l_orderkey") / (NX * NY)) == 0)
 
 
 @query("SELECT p_partkey AS k, coalesce(given, x) AS pixel_size, CASE WHEN given IS NOT NULL THEN 'manual' WHEN x IS NOT NULL THEN 'automatic' ELSE 'none' END AS method, given IS NULL AND x IS NOT NULL AS detection_successful, x AS detected_x, coalesce(y, x) AS detected_y FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size * 1.0::DOUBLE END AS given, CASE WHEN p_partkey % 5 <> 0 THEN p_size * 2.0::DOUBLE END AS x, CASE WHEN p_partkey % 7 = 0 THEN p_size * 3.0::DOUBLE END AS y FROM part)")
@@ -192,3 +193,14 @@ def dense_read(spark, d):
 def batch_size_by_peaks(spark, d):
     size = metadata.batch_size_by_peaks(F.lit(64.0), F.col("l_partkey"), F.lit(100_000))
     return src.read(spark, d, "lineitem").where("l_partkey > 0").select("l_orderkey", "l_linenumber", F.least(size, F.lit(100_000)).cast("bigint").alias("batch"))
+
+
+@query(
+    """SELECT accession, arg_max(name, row(v, k)) AS name, min({'v': v, 'k': k}).v AS first_vocabulary, min({'v': v, 'k': k}).k AS first_seq FROM (
+    SELECT 'T:' || n_nationkey AS accession, n_name AS name, 0 AS v, n_nationkey::BIGINT AS k FROM nation UNION ALL SELECT 'T:' || s_suppkey, s_name, 1, s_suppkey FROM supplier UNION ALL SELECT 'T:' || p_partkey // 3, p_name, 2, p_partkey FROM part) GROUP BY accession"""
+)
+def vocabulary_update(spark, d):
+    """Nations, suppliers and parts as three vocabularies that share accessions, the last with several terms each."""
+    of = lambda name, key, label, v, by=1: src.read(spark, d, name).select(F.concat(F.lit("T:"), F.floor(F.col(key) / by).cast("string")).alias("accession"), F.col(label).alias("name"), F.lit(None).cast("string").alias("value_type"), F.lit(v).alias("vocabulary"), F.col(key).cast("bigint").alias("seq"))
+    terms = of("nation", "n_nationkey", "n_name", 0).union(of("supplier", "s_suppkey", "s_name", 1)).union(of("part", "p_partkey", "p_name", 2, 3))
+    return ontology.updated(terms).select("accession", "name", F.col("load_order.vocabulary").alias("first_vocabulary"), F.col("load_order.seq").alias("first_seq"))

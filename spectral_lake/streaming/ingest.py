@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import storage
 from ..sources.imzml import peaks
 
 SCHEMA = "spectrum_idx bigint, x int, y int, z int, mzs array<double>, intensities array<double>"
@@ -16,10 +17,19 @@ def arriving(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
 
 
 def append_peaks(spectra: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Each spectrum's peaks once: a batch that runs again replaces its own folder."""
+    """Each spectrum's peaks once, whichever batch brings it again; a batch that runs again replaces its own folder.
+
+    The first batch that has a spectrum keeps it; within a batch the least by m/z, then by intensities.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        peaks(batch.dropDuplicates(["spectrum_idx"])).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c != "spectrum_idx"]
+        one = batch.groupBy("spectrum_idx").agg(F.min(F.struct("mzs", "intensities", *(c for c in rest if c not in ("mzs", "intensities")))).alias("s")).select("spectrum_idx", *(f"s.{c}" for c in rest))
+        if storage.exists(spark, out):  # batches before this one, and not its own of a former try
+            stored = spark.read.option("basePath", out).schema("spectrum_idx bigint, batch bigint").parquet(out).where(F.col("batch") < number)
+            one = one.join(stored.select("spectrum_idx").distinct(), "spectrum_idx", "left_anti")
+        peaks(one.select(batch.columns)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return spectra.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 
