@@ -1,18 +1,18 @@
 """Main text of web pages: what a host repeats across distinct pages is removed, the unique runs stay.
 
-A page becomes blocks of words.  The blocks of a host's pages, menus and adverts included, are one
-token stream whose suffixes are sorted by their leading ``least`` words (by a digest of
-these: the order among different suffixes does not matter, that equal ones are neighbours does).
-Neighbours from two distinct pages are a repeated substring; longer repeats are unions of such, so
-nothing more of a suffix is needed.  Covered words are boilerplate wherever they stand on the
-host, and only the runs between them stay.  Pages with equal streams are one page.
-
-Elements ``article`` and ``main`` are evidence on the other side: if more than a ``told`` share of
-the words in them is covered, then the story itself is on another page, and its repeats stay.
-Menus, forms and the like are left out by element, role or class in any case.
-
-Pages are parsed once and kept in chunks.  Each suffix goes out as 24 bits of its digest; only
-those met twice in their bucket go out again, as 48 bits besides the bucket and the page they are from.
+A page becomes blocks of words.  Those of its ``article`` or ``main`` are the story and stay whole: many
+a story quotes a line that other pages of the host have, and must not lose it.  All else, on a page without either
+element everything, is the host's token stream.  Each position with ``least`` words to follow on the page is a suffix; a
+host's suffixes are sorted by their words, and neighbours of two distinct pages whose common prefix has
+``least`` words are a repeat.  Longer repeats are unions of such, so that no more of a suffix is needed.  Covered words
+are boilerplate, the runs between them stay.  Pages with equal words are one page.
+
+Menus, forms and the like are left out by element, role or class too (``lists``).
+
+Only suffixes that may repeat are sorted.  Pages are parsed once and kept in chunks; each distinct
+suffix of a chunk's outside goes out as 24 bits of its digest, and those that are met twice in
+their bucket go out again, as the words' own digests, 32 bits each, with the page they are from.
+A bucket of the second round is the suffix array's stretch: sorted by host and words and compared from neighbour to neighbour.
 """
 
 from __future__ import annotations
@@ -68,21 +68,29 @@ def _hidden(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in an article, left out) of each block of a page, in order."""
-    out: list[tuple[str, bool, bool]] = []
+def blocks(page: str, lists: bool = True) -> list[tuple[str, int]]:
+    """(text, flags) of each block of a page, in order: 1 in an article, 2 left out.
+
+    Without ``lists``, only raw elements are left out.  Time is linear in the page: open elements are found by name,
+    and an end without its begin costs nothing.
+    """
+    out: list[tuple[str, int]] = []
     words: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, in an article, left out
+    place: dict[str, list[int]] = {}  # where elements of a name stand in it
     main = hidden = False
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
 
     def close() -> None:
         text = " ".join(html.unescape("".join(words)).split())
         words.clear()
         if text:
-            out.append((text, main, hidden))
+            out.append((text, main + 2 * hidden))
 
     while at < size:
+        if at > last:  # no tag ends any more
+            words.append(page[at:].partition("<!--")[0])
+            break
         m = TOKEN.match(page, at)
         at = m.end()
         name = m[2] or m[5]
@@ -104,18 +112,19 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
         if name in VOID:
             continue
         if shut:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name in INLINE and stack[i][1:] != (main, hidden):
-                        break  # an inline end does not close blocks
+            if place.get(name):
+                i = place[name][-1]
+                if not (name in INLINE and stack[i][1:] != (main, hidden)):  # an inline end does not close blocks
                     _, main, hidden = stack[i]
+                    for gone, _, _ in stack[i:]:
+                        place[gone].pop()
                     del stack[i:]
-                    break
         elif not attrs.endswith("/"):
-            stack.append((name, main, hidden))
-            hide = _hidden(name, attrs, main)
-            if hide != hidden and hide and words:
+            hide = lists and _hidden(name, attrs, main)
+            if hide and not hidden and words:
                 close()
+            place.setdefault(name, []).append(len(stack))
+            stack.append((name, main, hidden))
             main = main or (name in ("article", "main") and not (hidden or hide))
             hidden = hidden or hide
     close()
@@ -130,11 +139,11 @@ def host_of(url: str | None) -> str:
 class Streams:
     """The blocks of many pages as one token stream."""
 
-    def __init__(self, hosts: list[str], pages: list[list[tuple[str, bool, bool]]]) -> None:
+    def __init__(self, hosts: list[str], pages: list[list[tuple[str, int]]]) -> None:
         self.counts = np.array([len(p) for p in pages], np.int64)
-        self.flags = np.array([main + 2 * hidden for p in pages for _, main, hidden in p], np.uint8)
+        self.flags = np.array([flags for p in pages for _, flags in p], np.uint8)
         self.hosts = Rolling.digests([h.encode("utf-8", "surrogatepass") for h in hosts])
-        self.raw = "\n".join(t for p in pages for t, _, _ in p).encode("utf-8", "surrogatepass")
+        self.raw = "\n".join(t for p in pages for t, _ in p).encode("utf-8", "surrogatepass")
 
     def pack(self) -> bytes:
         return _squeeze(np.array([len(self.counts), len(self.flags)], "<i8").tobytes() + self.counts.astype("<i8").tobytes() + self.hosts.astype("<u8").tobytes() + self.flags.tobytes() + self.raw)
@@ -148,59 +157,38 @@ class Streams:
         return self
 
     def read(self, least: int) -> Streams:
-        """Place words, and sort out the suffixes: ``keys`` of host and leading words, ``page`` of each, ``owner`` of each page."""
+        """Place words, and lay out the suffixes of what is no story."""
         buf = np.frombuffer(self.raw, np.uint8)
         gaps = np.flatnonzero((buf == 32) | (buf == 10)) if len(buf) else np.empty(0, np.int64)
-        self.lo, self.hi = (np.r_[0, gaps + 1], np.r_[gaps, len(buf)]) if len(self.flags) else (gaps, gaps)
+        lo, hi = (np.r_[0, gaps + 1], np.r_[gaps, len(buf)]) if len(self.flags) else (gaps, gaps)
         rolling = Rolling(buf)
-        words = rolling.of(self.lo, self.hi)
+        self.words = rolling.of(lo, hi)
         self.block = np.r_[0, np.cumsum(buf[gaps] == 10)] if len(self.flags) else np.empty(0, np.int64)
         self.first = np.searchsorted(self.block, np.arange(len(self.flags) + 1))  # a block's first word
-        of_block = np.repeat(np.arange(len(self.counts)), self.counts)
-        page = of_block[self.block]
+        self.of_block = np.repeat(np.arange(len(self.counts)), self.counts)
+        page = self.of_block[self.block]
+        # a page is its words, wherever they stand: a digest of all of them and the host
+        weight = mix(self.words + seeds(1, 91)[0] * np.arange(1, len(page) + 1, dtype=_U)[np.arange(len(page)) - np.searchsorted(page, page)]) if len(page) else self.words
+        sums = np.r_[_U(0), np.cumsum(weight, dtype=_U)]
         ends = np.searchsorted(page, np.arange(len(self.counts) + 1))
-        edge = lambda at: np.where(at < len(self.lo), self.lo[np.minimum(at, max(0, len(self.lo) - 1))] if len(self.lo) else 0, len(buf) + 1)
-        start, end = edge(ends[:-1]), np.maximum(edge(ends[1:]) - 1, edge(ends[:-1]))
-        empty = ends[:-1] == ends[1:]
-        self.owner = mix(rolling.of(np.where(empty, 0, start), np.where(empty, 0, np.minimum(end, len(buf)))) + self.hosts)
-        n = max(0, len(words) - least + 1)
-        keys = self.hosts[page[:n]]
-        weights = seeds(least, 43) | _U(1)
-        for k in range(least):
-            keys = mix(keys + words[k : n + k] * weights[k])
-        self.at = np.flatnonzero(page[:n] == page[least - 1 : n + least - 1])
-        self.keys, self.page = keys[self.at], page[self.at]
+        self.owner = mix(sums[ends[1:]] - sums[ends[:-1]] + self.hosts + np.diff(ends).astype(_U))
+        other = ((self.flags & 3) != 1)[self.block] if len(self.block) else np.empty(0, bool)
+        self.suffixes = Suffixes(self, page, np.flatnonzero(other), least)
         return self
 
-    def pairs(self, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys with their owner, or 0 if two pages own one: that is all that tells a repeat."""
-        k, w = self.keys, self.owner[self.page]
-        if pick is not None:
-            k, w = k[pick], w[pick]
-        order = np.lexsort((w, k))
-        k, w = k[order], w[order]
-        new = np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])][: len(k)]
-        k, w = k[new], w[new] & _U(0xFFFFFFFF) | _U(1)
-        first = np.r_[True, k[1:] != k[:-1]][: len(k)]
-        return k[first], np.where(np.r_[first[1:], True][: len(k)], w, _U(0))[first]
+    def suspects(self, code: np.ndarray, buckets: int) -> dict:
+        """Suffixes whose first round's code is in ``code``."""
+        keys = self.suffixes.keys
+        return self.suffixes.rows(_among((keys & _U(0xFFFFFF)) + (_bucket(keys, buckets) << _U(24)), code))
 
-    def texts(self, repeated: np.ndarray, least: int, told: float) -> list[str]:
+    def texts(self, repeated: np.ndarray, least: int) -> list[str]:
         """The main text of each page, given the digests of repeats."""
-        hit = self.at[_among(self.keys, repeated)]
-        step = np.zeros(len(self.lo) + 1, np.int64)
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + least, -1)
-        covered = np.cumsum(step)[:-1] > 0
-        main = (self.flags == 1)[self.block] if len(self.block) else np.empty(0, bool)
-        of_block = np.repeat(np.arange(len(self.counts)), self.counts)
-        page = of_block[self.block]
-        inside, gone = np.bincount(page[main], minlength=len(self.counts)), np.bincount(page[main & covered], minlength=len(self.counts))
-        covered &= ~(main & (gone > told * inside)[page])
+        covered = self.suffixes.covered(_among(self.suffixes.keys, repeated), least)
         touched = np.zeros(len(self.flags) + 1, bool)
         touched[self.block[covered]] = True
         out: list[list[str]] = [[] for _ in self.counts]
         blocks = self.raw.split(b"\n") if len(self.flags) else []
-        for i, p in enumerate(of_block.tolist()):
+        for i, p in enumerate(self.of_block.tolist()):
             if self.flags[i] & 2:
                 continue
             text = blocks[i].decode("utf-8", "surrogatepass")
@@ -211,6 +199,42 @@ class Streams:
         return ["\n\n".join(x) for x in out]
 
 
+class Suffixes:
+    """Positions ``at`` of a stream with ``least`` words to follow on their page, the digests ``keys`` of host and these words, and their ``page``."""
+
+    def __init__(self, streams: Streams, page: np.ndarray, places: np.ndarray, least: int) -> None:
+        self.places, self.size, self.streams, self.least = places, len(page), streams, least
+        own, words = page[places], streams.words[places]
+        n = max(0, len(places) - least + 1)
+        self.at = np.flatnonzero(own[:n] == own[least - 1 : n + least - 1])
+        self.page = own[self.at]
+        keys, weights = streams.hosts[self.page], seeds(least, 43) | _U(1)
+        for k in range(least):
+            keys = mix(keys + words[self.at + k] * weights[k])
+        self.keys = keys
+
+    def rows(self, pick: np.ndarray) -> dict:
+        """Distinct suffixes of those picked: digest, host and words, and the page, or 0 if two pages of the chunk have one."""
+        at = np.flatnonzero(pick)
+        k, w = self.keys[at], self.streams.owner[self.page[at]] & _U(0xFFFFFFFF) | _U(1)
+        order = np.lexsort((w, k))
+        k, w, at = k[order], w[order], at[order]
+        first = np.r_[True, k[1:] != k[:-1]][: len(k)]
+        edge = np.flatnonzero(first)
+        one = w[edge] == w[np.r_[edge[1:], len(k)] - 1] if len(k) else w
+        words = self.streams.words[self.places[self.at[at[edge]][:, None] + np.arange(self.least)]]
+        return {"keys": k[edge], "owners": np.where(one, w[edge], _U(0)), "hosts": self.streams.hosts[self.page[at[edge]]], "words": (words & _U(0xFFFFFFFF)).astype(np.uint32)}
+
+    def covered(self, hit: np.ndarray, least: int) -> np.ndarray:
+        """Words of all streams that a suffix in ``hit`` begins with."""
+        step = np.zeros(len(self.places) + 1, np.int64)
+        np.add.at(step, self.at[hit], 1)
+        np.add.at(step, self.at[hit] + least, -1)
+        out = np.zeros(self.size, bool)
+        out[self.places] = np.cumsum(step)[:-1] > 0
+        return out
+
+
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values are in ``known``, which is sorted."""
     if not len(known):
@@ -263,139 +287,151 @@ def _values(packed: bytes, size: int) -> np.ndarray:
 PART = "chunk bigint, rest binary, own binary"
 
 
-@lean
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _chunks(lists: bool):
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    at, rest, hosts, found, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        at, rest, hosts, found, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
-    def flush() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([at], pa.int64()), pa.array([_ipc(rest)], pa.binary()), pa.array([Streams(hosts, found).pack()], pa.binary())], names=["chunk", "rest", "own"])
+        def flush() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([at], pa.int64()), pa.array([_ipc(rest)], pa.binary()), pa.array([Streams(hosts, found).pack()], pa.binary())], names=["chunk", "rest", "own"])
 
-    for b in batches:
-        rest.append(pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]))
-        hosts += map(host_of, b.column(b.num_columns - 2).to_pylist())
-        for page in b.column(b.num_columns - 1).to_pylist():
-            found.append(blocks(page or ""))
-            size += sum(len(t) for t, _, _ in found[-1])
-        if size > CHUNK:
+        for b in batches:
+            rest.append(pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]))
+            hosts += map(host_of, b.column(b.num_columns - 2).to_pylist())
+            for page in b.column(b.num_columns - 1).to_pylist():
+                found.append(blocks(page or "", lists))
+                size += sum(len(t) for t, _ in found[-1])
+            if size > CHUNK:
+                yield flush()
+                at, rest, hosts, found, size = at + 1, [], [], [], 0
+        if rest:
             yield flush()
-            at, rest, hosts, found, size = at + 1, [], [], [], 0
-    if rest:
-        yield flush()
-
 
-def _lows(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each digest, and 24 bits of it that do not depend on the bucket."""
-    return (keys >> _U(32)) % _U(buckets), keys & _U(0xFFFFFF)
+    return run
 
 
-def _wholes(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each digest and its low 48 bits, as one number: what the second round tells apart."""
-    return ((keys >> _U(32)) % _U(buckets) << _U(48)) | (keys & _U(0xFFFFFFFFFFFF))
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys >> _U(32)) % _U(buckets)
 
 
-ASKED = "chunk bigint, bucket int, digests binary, owners binary"
+#: What chunks and buckets tell each other: digests, and in the second round hosts, words and pages.
+ASKED = "chunk bigint, bucket int, digests binary, hosts binary, words binary, owners binary"
+_NAMES = ("chunk", "bucket", "digests", "hosts", "words", "owners")
 
 
 def _asked(rows: list[tuple]) -> dict:
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-    names = ("chunk", "bucket", "digests", "owners")
-    return {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))}
-
-
-def _dealt(chunk: int, buckets: int, bucket: np.ndarray, digests: np.ndarray, size: int, owners: np.ndarray | None = None) -> list[tuple]:
-    order = np.lexsort((digests, bucket))
-    bucket, digests = bucket[order], digests[order]
-    ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=_U))
-    out = []
-    for k in range(buckets):
-        x, y = int(ends[k]), int(ends[k + 1])
-        if x < y:
-            out.append((chunk, k, _planes(digests[x:y], size), None if owners is None else _planes(owners[order[x:y]], 4)))
-    return out
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    return {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(zip(_NAMES, kinds, strict=True))}
+
+
+def _by_bucket(bucket: np.ndarray, order: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=_U))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        yield k, order[ends[k] : ends[k + 1]]
 
 
 def _first(least: int, buckets: int):
-    """24 bits of each suffix's digest, by bucket; of one that two pages of the chunk have, twice."""
+    """24 bits of each distinct suffix's digest, by bucket; of one that two pages of the chunk have, twice."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, own in zip(b.column("chunk").to_pylist(), b.column("own").to_pylist(), strict=True):
-                k, w = Streams.unpack(own).read(least).pairs()
-                bucket, low = _lows(np.r_[k, k[w == 0]], buckets)
-                yield pa.record_batch(_asked(_dealt(chunk, buckets, bucket, low, 3)))
+                every = Streams.unpack(own).read(least).suffixes
+                found = every.rows(np.ones(len(every.keys), bool))
+                keys = np.r_[found["keys"], found["keys"][found["owners"] == 0]]
+                bucket, low = _bucket(keys, buckets), keys & _U(0xFFFFFF)
+                rows = [(chunk, k, _planes(low[at], 3), None, None, None) for k, at in _by_bucket(bucket, np.lexsort((low, bucket)), buckets)]
+                yield pa.record_batch(_asked(rows))
 
     return run
 
 
-def _met(size: int):
-    """For rows in bucket order: of each chunk's digests those with two owners in the bucket, or met twice if no owner is told."""
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of one bucket after another."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b.column(k).to_pylist() for k in _NAMES), strict=True):
+            if held and held[0][1] != r[1]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            own = [_values(d, size) for _, _, d, _ in rows]
-            every = np.concatenate(own)
-            if rows[0][3] is not None:
-                who = np.concatenate([_values(w, 4) for _, _, _, w in rows])
-                order = np.lexsort((who, every))
-                every, who = every[order], who[order]
-                new = np.r_[True, (np.diff(every) != 0) | (np.diff(who) != 0)]
-                every = np.r_[every[new], every[who == 0]]  # 0: two of one chunk
-            values, counts = np.unique(every, return_counts=True)
-            twice, out = values[counts > 1], []
-            for (chunk, bucket, _, _), keys in zip(rows, own, strict=True):
-                hit = np.unique(keys)
-                hit = hit[_among(hit, twice)]
-                if len(hit):
-                    out.append((chunk, bucket, _planes(hit, size), None))
-            return pa.record_batch(_asked(out))
-
-        held: list[tuple] = []
-        for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in ("chunk", "bucket", "digests", "owners")), strict=True):
-                if held and held[0][1] != r[1]:
-                    yield flush(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield flush(held)
 
-    return run
+@lean
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk's short digests those that are met twice in their bucket."""
+    for rows in _runs_of(batches):
+        own = [_values(r[2], 3) for r in rows]
+        values, counts = np.unique(np.concatenate(own), return_counts=True)
+        twice = values[counts > 1]
+        hits = [np.unique(keys[_among(keys, twice)]) for keys in own]
+        yield pa.record_batch(_asked([(r[0], r[1], _planes(hit, 3), None, None, None) for r, hit in zip(rows, hits, strict=True) if len(hit)]))
 
 
 def _second(least: int, buckets: int):
-    """Whole digests and owners of what the first round met twice."""
+    """Host, words and page of the suffixes that the first round has met twice."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        code = [np.empty(0, _U), *(_values(r["digests"], 3) + (_U(r["bucket"]) << _U(24)) for r in right.to_pylist())]
-        code = np.sort(np.concatenate(code))
+        code = np.sort(np.concatenate([np.empty(0, _U), *(_values(r["digests"], 3) + (_U(r["bucket"]) << _U(24)) for r in right.to_pylist())]))
         for part in left.to_pylist():
-            streams = Streams.unpack(part["own"]).read(least)
-            bucket, low = _lows(streams.keys, buckets)
-            k, w = streams.pairs(_among(low + (bucket << _U(24)), code))
-            rows += _dealt(part["chunk"], buckets, _lows(k, buckets)[0], k & _U(0xFFFFFFFFFFFF), 6, w)
+            found = Streams.unpack(part["own"]).read(least).suspects(code, buckets)
+            bucket = _bucket(found["keys"], buckets)
+            for k, at in _by_bucket(bucket, np.lexsort((found["keys"], bucket)), buckets):
+                rows.append((part["chunk"], k, found["keys"][at].tobytes(), _squeeze(found["hosts"][at].tobytes()), _squeeze(found["words"][at].tobytes()), _planes(found["owners"][at], 4)))
         trim()
         return pa.table(_asked(rows))
 
     return run
 
 
-def main_texts(hosts: list[str], pages: list[str], repeated: np.ndarray, least: int = 8, told: float = 0.2) -> list[str]:
-    """The texts of pages given the digests of their host's repeats, which is all that other pages matter for."""
-    return Streams(hosts, [blocks(p) for p in pages]).read(least).texts(repeated, least, told)
+def repeats(hosts: np.ndarray, words: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Which suffixes two distinct pages share, by sorting them and comparing neighbours; owner 0 stands for two pages."""
+    order = np.lexsort((owners, *words.T[::-1], hosts))
+    hosts, words, owners = hosts[order], words[order], owners[order]
+    common = np.cumprod(words[1:] == words[:-1], axis=1).sum(axis=1) if len(words) > 1 else np.empty(0, np.int64)  # words of the common prefix
+    same = (common == words.shape[1]) & (hosts[1:] == hosts[:-1])
+    run = np.cumsum(np.r_[True, ~same][: len(order)]) - 1
+    many = np.zeros(int(run[-1]) + 1 if len(run) else 0, bool)
+    many[run[owners == 0]] = True
+    many[run[1:][same & (owners[1:] != owners[:-1])]] = True
+    out = np.zeros(len(order), bool)
+    out[order] = many[run]
+    return out
+
+
+def _compared(least: int):
+    """Of each chunk's suffixes those that repeat."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs_of(batches):
+            keys = [np.frombuffer(r[2], _U) for r in rows]
+            hosts, words = (np.frombuffer(b"".join(_grow(r[k]) for r in rows), kind) for k, kind in ((3, _U), (4, np.uint32)))
+            hit = repeats(hosts, words.reshape(-1, least), np.concatenate([_values(r[5], 4) for r in rows]))
+            ends = np.cumsum([len(k) for k in keys])
+            yield pa.record_batch(_asked([(r[0], r[1], k[h].tobytes(), None, None, None) for r, k, h in zip(rows, keys, np.split(hit, ends[:-1]), strict=True) if h.any()]))
+
+    return run
+
+
+def main_texts(hosts: list[str], pages: list[str], least: int = 8, lists: bool = True) -> list[str]:
+    """The texts of a few pages, in this process: repeats are those among them."""
+    streams = Streams(hosts, [blocks(p, lists) for p in pages]).read(least)
+    found = streams.suffixes.rows(np.ones(len(streams.suffixes.keys), bool))
+    return streams.texts(np.sort(found["keys"][repeats(found["hosts"], found["words"], found["owners"])]), least)
 
 
-def _finish(least: int, told: float, buckets: int):
+def _finish(least: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (part,) = left.to_pylist()
-        repeated = np.sort(np.concatenate([np.empty(0, _U), *(_values(r["digests"], 6) + (_U(r["bucket"]) << _U(48)) for r in right.to_pylist())]))
-        streams = Streams.unpack(part["own"]).read(least)
-        streams.keys = _wholes(streams.keys, buckets)
-        texts = streams.texts(repeated, least, told)
+        repeated = np.sort(np.concatenate([np.empty(0, _U), *(np.frombuffer(r["digests"], _U) for r in right.to_pylist())]))
+        texts = Streams.unpack(part["own"]).read(least).texts(repeated, least)
         with pa.ipc.open_stream(_grow(part["rest"])) as f:
             rest = f.read_all()
         trim()
@@ -404,11 +440,11 @@ def _finish(least: int, told: float, buckets: int):
     return run
 
 
-def extract(pages: DataFrame, least: int = 8, told: float = 0.2) -> DataFrame:
+def extract(pages: DataFrame, least: int = 8, lists: bool = True) -> DataFrame:
     """``pages(url, html, ...)`` with the main ``text`` of each whole page in place of html.
 
     A null html is empty and gives an empty text; null urls are one host, the nameless one.  Pages
-    of a host with equal streams, repeated rows among them, count as one.  A page of any length is
+    of a host with equal words, repeated rows among them, count as one.  A page of any length is
     one row of its chunk.  An empty table gives an empty table.  A column text of the input is
     replaced; other names may be any.
     """
@@ -420,9 +456,9 @@ def extract(pages: DataFrame, least: int = 8, told: float = 0.2) -> DataFrame:
     buckets = min(60_000, 2 * shuffled)
     taken = "_" * max(map(len, pages.columns))  # longer than any name of the input once a letter follows
     last = [F.col(c).alias(f"{taken}{c}") for c in ("url", "html")]
-    parts = materialise_by(pages.select(*names, *last).mapInArrow(_chunks, PART), "chunk", shuffled)
+    parts = materialise_by(pages.select(*names, *last).mapInArrow(_chunks(lists), PART), "chunk", shuffled)
     own = parts.select("chunk", "own")
-    met = lambda asked, size: asked.repartition(shuffled, "bucket").sortWithinPartitions("bucket").mapInArrow(_met(size), ASKED).withColumnRenamed("chunk", "of")
-    maybe = met(own.mapInArrow(_first(least, buckets), ASKED), 3)
+    met = lambda asked, compare: asked.repartition(shuffled, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, ASKED).withColumnRenamed("chunk", "of")
+    maybe = met(own.mapInArrow(_first(least, buckets), ASKED), _met)
     again = own.groupBy("chunk").cogroup(maybe.groupBy("of")).applyInArrow(_second(least, buckets), ASKED)
-    return parts.groupBy("chunk").cogroup(met(again, 6).groupBy("of")).applyInArrow(_finish(least, told, buckets), schema)
+    return parts.groupBy("chunk").cogroup(met(again, _compared(least)).groupBy("of")).applyInArrow(_finish(least), schema)
