@@ -166,14 +166,12 @@ def ppm_axis(axis: DataFrame, tolerance_ppm: float = 5.0, rows: int = 1 << 16, m
     step = max(rows, -(-n // most_parts))
     first = np.array([r["mz"] for r in dense.where(F.col("mz_idx") % step == 0).select("mz").orderBy("mz").collect()])  # one value a part
     own = dense.select(F.floor(F.col("mz_idx") / step).alias("part"), "mz").repartition("part").sortWithinPartitions("part", "mz")
-    v = own.mapInArrow(_dealt(first, tolerance_ppm), "part bigint, mz double")
-    start, opens = float(first[0]), F.col("mz") == F.lit(float(first[0]))
-    v = v.repartition("part").sortWithinPartitions("part", "mz")
-    if len(first) > 1:
-        jumps = v.mapInArrow(_exits(first, tolerance_ppm), "entry double, exit double")
-        found = _orbit(jumps, start, len(first).bit_length()).distinct().select(F.col("entry").alias("mz"), F.lit(True).alias("_opens"))
-        v = v.join(found, "mz", "left").withColumn("opens", F.col("_opens").isNotNull())
+    if len(first) == 1:
+        v = own.withColumn("opens", F.col("mz") == F.lit(float(first[0])))
     else:
-        v = v.withColumn("opens", opens)
-    means = v.select("part", "mz", "opens").repartition("part").sortWithinPartitions("part", "mz").mapInArrow(_means(first, tolerance_ppm), "mz double")
+        v = own.mapInArrow(_dealt(first, tolerance_ppm), "part bigint, mz double")
+        jumps = v.repartition("part").sortWithinPartitions("part", "mz").mapInArrow(_exits(first, tolerance_ppm), "entry double, exit double")
+        found = _orbit(jumps, float(first[0]), len(first).bit_length()).distinct().select(F.col("entry").alias("mz"), F.lit(True).alias("_opens"))
+        v = v.join(found, "mz", "left").select("part", "mz", F.col("_opens").isNotNull().alias("opens")).repartition("part").sortWithinPartitions("part", "mz")
+    means = storage.written(v.mapInArrow(_means(first, tolerance_ppm), "mz double"))
     return dense_index(means)
