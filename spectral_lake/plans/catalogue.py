@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import coords
-from ..operators import axis, images, mapping, matrix, metadata, ontology, stats
+from ..operators import axis, images, mapping, matrix, metadata, ontology, selection, stats
 from ..sources import adapters as src
 
 NX, NY = src.NX, src.NY
@@ -352,17 +352,17 @@ def tic_from_matrix(spark, d):
 
 @query("SELECT frame_id, num_peaks FROM frames WHERE num_peaks > 0 AND num_peaks <= 65535", "frames")
 def num_peaks_valid(spark, d):
-    return src.frames(spark, d).where("num_peaks > 0 and num_peaks <= 65535")
+    return selection.valid_frames(src.frames(spark, d))
 
 
 @query("SELECT o_orderkey FROM orders SEMI JOIN lineitem ON o_orderkey = l_orderkey")
 def nonempty_spectra(spark, d):
-    return src.read(spark, d, "orders").join(src.read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+    return selection.with_peaks(src.read(spark, d, "orders").select("o_orderkey"), src.read(spark, d, "lineitem"), "o_orderkey", "l_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
 def empty_spectra(spark, d):
-    return src.read(spark, d, "orders").join(src.read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    return selection.without_peaks(src.read(spark, d, "orders").select("o_orderkey"), src.read(spark, d, "lineitem"), "o_orderkey", "l_orderkey")
 
 
 @query(f"SELECT max(o_orderkey % {NX} + 1) AS nx, max((o_orderkey // {NX}) % {NY} + 1) AS ny, max(o_orderkey // {NX * NY} + 1) AS nz FROM orders")
@@ -383,7 +383,7 @@ def mass_range_sampled(spark, d):
 
 @query("SELECT min(mz) AS mz_min, max(mz) AS mz_max FROM peaks", "peaks")
 def mass_range_exact(spark, d):
-    return src.peaks(spark, d).agg(F.min("mz").alias("mz_min"), F.max("mz").alias("mz_max"))
+    return selection.peak_range(src.peaks(spark, d))
 
 
 @query("SELECT greatest(max(x_pos) - min(x_pos) + 1, 1)::BIGINT AS nx, greatest(max(y_pos) - min(y_pos) + 1, 1)::BIGINT AS ny, 1::BIGINT AS nz FROM pos", "pos")
@@ -515,7 +515,7 @@ def attrs_document(spark, d):
 @query("SELECT (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n_spectra, max(mz) AS mz_max, min(mz) AS mz_min, (SELECT nz > 1 FROM nz) AS is_3d FROM peaks", "peaks nz")
 def metadata_summary(spark, d):
     n = src.read(spark, d, "lineitem").agg(F.count_distinct("l_orderkey").alias("n_spectra"), (F.floor(F.max("l_orderkey") / (NX * NY)) + 1 > 1).alias("is_3d"))
-    return src.peaks(spark, d).agg(F.max("mz").alias("mz_max"), F.min("mz").alias("mz_min")).crossJoin(F.broadcast(n)).select("n_spectra", "mz_max", "mz_min", "is_3d")
+    return selection.peak_range(src.peaks(spark, d)).crossJoin(F.broadcast(n)).select("n_spectra", "mz_max", "mz_min", "is_3d")
 
 
 from . import records, stores  # noqa: E402, F401  (they register their queries here)

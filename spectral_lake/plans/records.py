@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coords
-from ..operators import axis, extract, mapping, metadata, ontology, stats
+from ..operators import axis, extract, mapping, metadata, ontology, selection, stats
 from ..sources import adapters as src
 from ..sources import imzml
 from .catalogue import CTE, NX, NY, _grid, query
@@ -43,12 +43,12 @@ def laser_parameters(spark, d):
 
 @query("SELECT id, spot_x, spot_y, beam_x, beam_y FROM laser", "laser")
 def laser_spots(spark, d):
-    return _laser(spark, d).select("id", "spot_x", "spot_y", "beam_x", "beam_y")
+    return selection.laser_spots(_laser(spark, d))
 
 
 @query("SELECT count(*) AS n, count(*) > 0 AS is_maldi FROM laser", "laser")
 def laser_count(spark, d):
-    return _laser(spark, d).agg(F.count("*").alias("n"), (F.count("*") > 0).alias("is_maldi"))
+    return selection.laser_count(_laser(spark, d))
 
 
 @query("SELECT max(value) FILTER (key = 'AcquisitionDateTime') AS acquisition_datetime FROM pairs", "pairs")
@@ -117,12 +117,12 @@ def nonempty_sections(spark, d):
 
 @query("SELECT min(frame_id) AS first_id, max(frame_id) AS last_id, count(*) AS n FROM frames", "frames")
 def frame_id_range(spark, d):
-    return src.frames(spark, d).agg(F.min("frame_id").alias("first_id"), F.max("frame_id").alias("last_id"), F.count("*").alias("n"))
+    return selection.id_range(src.frames(spark, d))
 
 
 @query("SELECT frame, x_pos, y_pos FROM pos WHERE frame BETWEEN 100 AND 5000", "pos")
 def frames_between(spark, d):
-    return src.frame_positions(spark, d).where("frame between 100 and 5000")
+    return selection.frames_between(src.frame_positions(spark, d), 100, 5000)
 
 
 @query("SELECT coalesce(nullif((SELECT count(*) FROM frames WHERE num_peaks < 0), 0), nullif((SELECT count(*) FROM pos), 0), 77)::BIGINT AS n_spectra", "frames pos")

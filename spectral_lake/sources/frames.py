@@ -17,20 +17,19 @@ from pyspark.sql import functions as F
 
 from ..errors import DecoderError, FormatError
 from ..functions import coords
-from ..operators import accounting, balance, extract
+from ..operators import accounting, balance, extract, selection
 from .decoding import ROW, SCHEMA, Batches
 from .registry import detect, register_reader  # noqa: F401  (detect is part of this module's surface)
 
 SPECTRA = "spectrum_idx bigint, x int, y int, z int, mzs array<double>, intensities array<double>"
-#: Frames that hold a spectrum.
-_VALID = "NumPeaks > 0 AND NumPeaks <= 65535"
+_VALID = selection.VALID.format("NumPeaks")
 #: Peaks and rows that a task is planned for.
 PEAKS_A_TASK, ROWS_A_TASK = 20_000_000, 100_000
 
 
 def _parts(spark: SparkSession, db: str) -> int:
     """Tasks for all frames: by their peaks, and as many as the session has cores where there is enough to do."""
-    got = table(spark, db, "Frames", "Id bigint, NumPeaks bigint").where(_VALID).agg(F.sum("NumPeaks"), F.count("*")).first()
+    got = selection.valid_frames(table(spark, db, "Frames", "Id bigint, NumPeaks bigint"), "NumPeaks").agg(F.sum("NumPeaks"), F.count("*")).first()
     return max(1, min(spark.sparkContext.defaultParallelism, got[1]), -(-(got[0] or 0) // PEAKS_A_TASK))
 
 
@@ -125,18 +124,18 @@ def spectrum_count(spark: SparkSession, db: str, dims: tuple[int, int, int] = (1
 
 
 def is_maldi(spark: SparkSession, db: str) -> bool:
-    return not table(spark, db, "MaldiFrameLaserInfo", "Id bigint").isEmpty()
+    return selection.laser_count(table(spark, db, "MaldiFrameLaserInfo", "Id bigint")).first()["is_maldi"]
 
 
 def laser_spots(spark: SparkSession, db: str) -> DataFrame:
     """(id, x, y, beam_x, beam_y) of every laser row."""
     t = table(spark, db, "MaldiFrameLaserInfo", "Id bigint, SpotXPos double, SpotYPos double, BeamScanSizeX double, BeamScanSizeY double")
-    return t.toDF("id", "x", "y", "beam_x", "beam_y")
+    return selection.laser_spots(t.toDF("id", "spot_x", "spot_y", "beam_x", "beam_y")).toDF("id", "x", "y", "beam_x", "beam_y")
 
 
 def partitions(spark: SparkSession, db: str, parts: int) -> list[tuple[int, int]]:
     """First and last id of stretches of frames with near equal peaks; one stretch is one task of ``read``."""
-    f = table(spark, db, "Frames", "Id bigint, NumPeaks bigint").where(_VALID)
+    f = selection.valid_frames(table(spark, db, "Frames", "Id bigint, NumPeaks bigint"), "NumPeaks")
     found = balance.cuts(f, "Id", F.col("NumPeaks"), parts).orderBy("part").collect()  # ``parts`` rows at most
     return [(r["first"], r["last"]) for r in found]
 

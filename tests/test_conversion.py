@@ -258,3 +258,19 @@ def test_prefix_sums_and_cuts(spark, width):
     assert sum(r["n"] for r in parts) == 11 and sum(r["weight"] for r in parts) == 60 and max(r["weight"] for r in parts) <= 60 / 4 + 40
     assert [r["part"] for r in balance.cuts(df.withColumn("w", F.lit(0)), "k", F.col("w"), 4, width).collect()] == [0]
     assert balance.cuts(df.limit(0), "k", F.col("w"), 4, width).collect() == []
+
+
+def test_laser_rows_and_counts(spark, tmp_path):
+    source = frame_folder(tmp_path / "a.d", [1, 0, 2])
+    db = frames.database(source)
+    assert not frames.is_maldi(spark, db) and frames.laser_spots(spark, db).collect() == []
+    assert frames.spectrum_count(spark, db) == 3
+    with sqlite3.connect(db) as con:
+        con.execute("CREATE TABLE MaldiFrameLaserInfo(Id INT, SpotXPos REAL, SpotYPos REAL, BeamScanSizeX REAL, BeamScanSizeY REAL)")
+        con.execute("INSERT INTO MaldiFrameLaserInfo VALUES (1, 2, 3, 4, 5)")
+        con.execute("DELETE FROM Frames")
+    assert frames.is_maldi(spark, db) and [tuple(r) for r in frames.laser_spots(spark, db).collect()] == [(1, 2.0, 3.0, 4.0, 5.0)]
+    assert frames.spectrum_count(spark, db) == 3  # places, as there are no frames
+    with sqlite3.connect(db) as con:
+        con.execute("DROP TABLE MaldiFrameInfo")
+    assert frames.spectrum_count(spark, db, (4, 5, 1)) == 20
