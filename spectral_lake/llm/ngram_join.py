@@ -160,16 +160,25 @@ def _often(words: int):
     return run
 
 
-def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents share, ascending, and how often they were met: the most frequent ``TOLD`` of them.
+def frequent(texts: DataFrame, words: int, told: int = TOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents share, ascending, and how often they were met: the most frequent ones, ``told`` at most.
 
-    It only orders shingles: one that is left out counts as rare.
+    It only orders shingles: one that is left out counts as rare.  How often is told in steps of a fourth of
+    a doubling, so that a few counts say which steps go to the driver; no step goes in part.
     """
-    counted = texts.mapInArrow(_often(words), "item bigint, n bigint").groupBy("item").agg(F.sum("n").alias("n"))
-    got = counted.orderBy(F.desc("n"), "item").limit(TOLD).toPandas()
-    items, n = got["item"].to_numpy(np.int64).view(_U), got["n"].to_numpy(np.int64)
+    step = F.floor(4 * F.log2("n")).cast("int").alias("step")
+    counted = materialise(texts.mapInArrow(_often(words), "item bigint, n bigint").groupBy("item").agg(F.sum("n").alias("n")).select("item", step))
+    least, left = 1 << 20, told
+    for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # 252 rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    got = counted.where(F.col("step") >= least).toPandas()
+    discard(counted)
+    items = got["item"].to_numpy(np.int64).view(_U)
     order = np.argsort(items)
-    return items[order], n[order]
+    return items[order], got["step"].to_numpy(np.int64)[order] + 1
 
 
 def prefix(items: np.ndarray, percent: int, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

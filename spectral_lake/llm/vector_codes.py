@@ -130,6 +130,23 @@ def _sums(now: Codebooks) -> Callable:
     return run
 
 
+def _least(vectors: DataFrame, entries: int, few: int = 100_000) -> DataFrame:
+    """Rows of which the ``entries`` least vec_ids are some, and not many more: an approximate quantile bounds them again and again.
+
+    Each task of an ordered limit sends so many rows to the driver; these bounds leave few tasks with any.
+    """
+    found, n = vectors, vectors.count()
+    while n > few:
+        share = min(1.0, (entries + n / 5000) / n)  # the quantile may be off by n / 10000
+        bound = found.agg(F.percentile_approx("vec_id", share, 10_000)).first()[0]
+        nearer = found.where(F.col("vec_id") <= bound)
+        m = nearer.count()
+        if not entries <= m < n:
+            break  # ids that are null or equal: the ordered limit alone decides
+        found, n = nearer, m
+    return found
+
+
 def train(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int = 4) -> Codebooks | None:
     """Codebooks of ``vectors(vec_id, embedding)``; None if no vector is usable.
 
@@ -143,11 +160,11 @@ def train(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int =
     """
     vectors = bounded_batches(vectors).select("vec_id", "embedding")
     usable = vectors.where(_usable())
-    first = usable.orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(1).collect()
-    if not first:
+    first = usable.agg(F.min(F.struct(F.col("vec_id").isNull().alias("last"), "vec_id", "embedding")).alias("row")).first()["row"]
+    if first is None:
         return None
-    width = len(first[0]["embedding"])
-    start = _kept(vectors, width).orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(entries).collect()
+    width = len(first["embedding"])
+    start = _least(_kept(vectors, width), entries).orderBy(F.col("vec_id").asc_nulls_last(), "embedding").limit(entries).collect()
     x = integers(np.array([r["embedding"] for r in start], np.float64), width, parts) if width else np.zeros((len(start), parts, 0), np.int64)
     now = Codebooks(tuple(tuple(tuple(e) for e in x[:, p].tolist()) for p in range(parts)), width)
     for _ in range(rounds if width else 0):

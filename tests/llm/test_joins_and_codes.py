@@ -135,6 +135,25 @@ def test_vector_codes(spark, scale):
     assert min(sum((int(np.floor(1024 * x)) - d) ** 2 for x, d in zip(rows[0][1], one["decoded"])), vector_codes.LARGEST) == one["error"]
 
 
+@pytest.mark.parametrize("few", [10, 40, 5000])
+def test_the_least_ids_are_found_by_bounds(spark, few):
+    rng = np.random.default_rng(8)
+    ids = [int(i) for i in rng.integers(-5000, 5000, 3000)] + [None] * 50
+    df = spark.createDataFrame([(i, [1.0]) for i in ids], "vec_id bigint, embedding array<float>").repartition(5)
+    got = sorted(r["vec_id"] for r in vector_codes._least(df, 20, few).collect() if r["vec_id"] is not None)
+    assert got[:20] == sorted(i for i in ids if i is not None)[:20] and len(got) >= 20
+    same = spark.createDataFrame([(7, [1.0])] * 100, "vec_id bigint, embedding array<float>")
+    assert vector_codes._least(same, 20, 10).count() == 100
+
+
+def test_frequent_shingles_are_bounded(spark, monkeypatch):
+    rows = [(i, "one two three four five " + ("six seven eight " if i % 2 else "") + f"own{i} a b c") for i in range(64)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).select("text")
+    items, n = ngram_join.frequent(texts, 4)
+    assert len(items) == len(n) and (np.diff(items.astype(object)) > 0).all() and len(items) >= 2 and set(n.tolist()) == {21, 25}
+    assert len(ngram_join.frequent(texts, 4, told=2)[0]) <= 2 and len(ngram_join.frequent(texts, 4, told=0)[0]) == 0
+
+
 def test_vectors_of_odd_lengths(spark):
     """A length that the parts do not divide is padded; vectors without components have one code; huge ones saturate."""
     df = spark.createDataFrame([(i, [float(i), 1.0, -1.0, 0.5, 2.0 * i], 0) for i in range(9)], "vec_id bigint, embedding array<float>, label int")
