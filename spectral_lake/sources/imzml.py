@@ -11,6 +11,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..errors import FormatError
 from ..operators import accounting, extract, metadata, ontology
 from .accessions import BYTES, CONTINUOUS, INTENSITY, LENGTH, MZ, OFFSET, PIXEL_X, PIXEL_Y, PROCESSED, UUID, ZLIB, X, Y, Z  # noqa: F401
@@ -52,7 +53,7 @@ def pixel_size(spark: SparkSession, path: str) -> tuple[float, float] | None:
 
 
 def _check_binary(path: str) -> None:
-    if not os.path.exists(os.path.splitext(path)[0] + ".ibd"):
+    if not storage.there(os.path.splitext(path)[0] + ".ibd"):
         raise FormatError(f"{path}: no .ibd file beside it")
 
 

@@ -10,6 +10,7 @@ import os
 from collections.abc import Callable
 from threading import RLock
 
+from .. import storage
 from ..errors import ConfigurationError, FormatError
 
 _lock = RLock()
@@ -58,7 +59,7 @@ def converter(name: str) -> Callable:
 
 def detect(path: str) -> str:
     """The kind of a file or folder, from its suffix and what stands beside or in it."""
-    if not os.path.exists(path):
+    if not storage.there(path):
         raise FormatError(f"{path}: does not exist")
     ext = os.path.splitext(path.rstrip("/"))[1]
     with _lock:

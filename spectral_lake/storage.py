@@ -33,6 +33,12 @@ def locate(uri: str, factory: str | None = None) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
+def there(uri: str, factory: str | None = None) -> bool:
+    """Whether ``uri`` is a file or a folder."""
+    fs, path = locate(uri, factory)
+    return fs.get_file_info(path).type != pafs.FileType.NotFound
+
+
 def size(uri: str, factory: str | None = None) -> int | None:
     """Bytes of a file; None if there is none."""
     fs, path = locate(uri, factory)

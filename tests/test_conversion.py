@@ -274,3 +274,11 @@ def test_laser_rows_and_counts(spark, tmp_path):
     with sqlite3.connect(db) as con:
         con.execute("DROP TABLE MaldiFrameInfo")
     assert frames.spectrum_count(spark, db, (4, 5, 1)) == 20
+
+
+def test_conversion_from_and_to_uris(spark, tmp_path):
+    write_imzml(tmp_path / "a.imzML", SPECTRA)
+    assert convert(spark, f"file://{tmp_path}/a.imzML", f"file://{tmp_path}/out", "d", output_format="zarr")
+    assert spark.read.parquet(str(tmp_path / "out" / "X")).count() == 5 and (tmp_path / "out" / "tables" / "d" / "X" / "indptr" / "0").exists()
+    (tmp_path / "a.ibd").unlink()
+    assert not convert(spark, f"file://{tmp_path}/a.imzML", f"file://{tmp_path}/again", "d")
