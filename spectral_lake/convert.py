@@ -122,6 +122,8 @@ def _convert(spark: SparkSession, source: str, stage: str, dataset_id: str, pixe
     stats_of = told.get | {"seconds": round(time.time() - began, 3)}
     if skipped := {k: v for k, v in stats_of.items() if k in (*CAUSES, "other") and v}:
         log.warning("%s: %d of %d spectra were skipped: %s", source, sum(skipped.values()), stats_of["spectra"], skipped)
+    if not stats_of["read"]:
+        raise DataError(f"{source}: no spectrum with peaks could be read")
     if dims is None:
         dims = tuple(extract.dimensions_of_places(spectra).first())
     continuous = kind == "imzml" and imzml.mode(spark, source) == "continuous"

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ResourceError
+from . import balance
 
 TOLERANCE = 1e-6
 #: Axis values a task may hold: 8 MB of doubles.
@@ -63,10 +64,13 @@ def map_vectorised(peaks: DataFrame, axis: DataFrame, tolerance: float = TOLERAN
 
 
 def map_next(peaks: DataFrame, axis: DataFrame) -> DataFrame:
-    """The first axis value not below a peak's m/z, however far; peaks beyond the last are left out."""
+    """The first value of an ascending axis not below a peak's m/z, however far; peaks beyond the last are left out.
+
+    Binary search in the axis, which each task holds; larger axes go to ``map_next_bucketed``.
+    """
     held = axis.select("mz_idx", "mz").limit(MOST_SHIPPED + 1).toPandas()
     if len(held) > MOST_SHIPPED:
-        raise ResourceError(f"a dense read holds an array as long as the axis, which has over {MOST_SHIPPED} values")
+        return map_next_bucketed(peaks, axis)
     shared = peaks.sparkSession.sparkContext.broadcast(held.sort_values("mz_idx")["mz"].to_numpy(float))
 
     @F.pandas_udf("bigint")
@@ -76,8 +80,29 @@ def map_next(peaks: DataFrame, axis: DataFrame) -> DataFrame:
     return peaks.withColumn("mz_idx", place("mz")).where(F.col("mz_idx") < len(held))
 
 
+def map_next_bucketed(peaks: DataFrame, axis: DataFrame, width: float = 1e-3) -> DataFrame:
+    """The same for an axis of any size: a peak's place is how many axis values are below it.
+
+    These are those of lesser buckets, by prefix sums over the buckets of axis and peaks, and the lesser ones of its own bucket.
+    """
+    bucket = F.floor(F.col("mz") / width)
+    own = axis.groupBy(bucket.alias("bucket")).agg(F.collect_list("mz").alias("near"))
+    every = own.select("bucket", F.size("near").alias("n")).union(peaks.select(bucket.alias("bucket"), F.lit(0).alias("n")).distinct())
+    below = balance.prefix_sums(every.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket", F.col("n"))
+    rows = below.join(own, "bucket", "left").select("bucket", "before", "near")
+    total = axis.agg(F.count("*").alias("_total"))  # one row
+    p = peaks.withColumn("bucket", bucket).join(rows, "bucket").crossJoin(F.broadcast(total))
+    lesser = F.coalesce(F.size(F.filter("near", lambda v: v < F.col("mz"))), F.lit(0))
+    return p.withColumn("mz_idx", F.col("before") + F.when(F.col("near").isNull(), 0).otherwise(lesser)).where("mz_idx < _total").select(*peaks.columns, "mz_idx")
+
+
 def dense(mapped: DataFrame, size: int) -> DataFrame:
-    """(spectrum_idx, intensities): an array over the whole axis of ``size``, 0 where nothing is; the last peak of a place stays."""
+    """(spectrum_idx, intensities): an array over the whole axis of ``size``, 0 where nothing is; the last peak of a place stays.
+
+    A row is as long as the axis: one of over ``MOST_SHIPPED`` values is refused, and the sparse matrix is the way.
+    """
+    if size > MOST_SHIPPED:
+        raise ResourceError(f"a dense row would have {size} values, more than {MOST_SHIPPED}")
     last = mapped.groupBy("spectrum_idx", "mz_idx").agg(F.max_by("intensity", "peak_pos").alias("v"))
     per = last.groupBy("spectrum_idx").agg(F.map_from_entries(F.collect_list(F.struct("mz_idx", "v"))).alias("m"))
     places = F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))

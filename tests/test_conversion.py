@@ -282,3 +282,9 @@ def test_conversion_from_and_to_uris(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "X")).count() == 5 and (tmp_path / "out" / "tables" / "d" / "X" / "indptr" / "0").exists()
     (tmp_path / "a.ibd").unlink()
     assert not convert(spark, f"file://{tmp_path}/a.imzML", f"file://{tmp_path}/again", "d")
+
+
+def test_a_source_without_a_usable_spectrum(spark, tmp_path):
+    assert not convert(spark, write_imzml(tmp_path / "a.imzML", [(1, 1, [], []), (1, 2, [], [])]), str(tmp_path / "out"), "d")
+    assert not convert(spark, frame_folder(tmp_path / "b.d", [3, 2]), str(tmp_path / "out"), pixel_size_um=1.0, decode=lambda path, i, n: 1 / 0)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.ibd", "a.imzML", "b.d"]

@@ -103,3 +103,23 @@ def test_equal_peaks_stay_as_many_as_they_are(spark):
     want = sorted([(100.0, 0), (100.0, 0), (99.9999995, 0), (100.0000002, 1), (300.0000004, 3)])
     for f in (mapping.map_bucketed, mapping.map_vectorised):
         assert sorted((r["mz"], r["mz_idx"]) for r in f(peaks, axis_rows).collect()) == want
+
+
+def test_the_next_axis_value_by_buckets(spark):
+    import numpy as np
+    import pytest
+
+    from spectral_lake.errors import ResourceError
+    from spectral_lake.operators import mapping
+
+    rng = np.random.default_rng(5)
+    values = np.unique(np.concatenate([100 + rng.random(200) * 5e-3, 100 + rng.random(300) * 800, np.arange(200, 210)]))
+    wanted = np.concatenate([rng.choice(values, 100), 90 + rng.random(400) * 900, [values[0], values[-1], values[-1] + 1e-9, 0.0]])
+    axis = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "mz_idx bigint, mz double")
+    peaks = spark.createDataFrame([(0, i, float(v), 1.0) for i, v in enumerate(wanted)], "spectrum_idx bigint, peak_pos bigint, mz double, intensity double")
+    want = {i: int(k) for i, k in enumerate(np.searchsorted(values, wanted)) if k < len(values)}
+    for got in (mapping.map_next(peaks, axis), mapping.map_next_bucketed(peaks, axis), mapping.map_next_bucketed(peaks, axis, 10.0)):
+        assert {r["peak_pos"]: r["mz_idx"] for r in got.collect()} == want
+    assert mapping.map_next_bucketed(peaks, axis.limit(0)).collect() == []
+    with pytest.raises(ResourceError):
+        mapping.dense(peaks, mapping.MOST_SHIPPED + 1)
