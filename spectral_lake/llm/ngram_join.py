@@ -81,26 +81,30 @@ class SignatureTree:
         fit[fit] = (100 + percent) * most >= percent * (low[i] + low[j])
         return fit
 
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places i, j of pairs of sets that may have 100 * common >= percent * union, each once."""
-        i = j = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
+    def pairs(self, percent: int, step: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places i, j of pairs of sets that may have 100 * common >= percent * union, each once; ``step`` pairs of nodes at a time."""
+        child = np.arange(self.fan)
+        todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while todo:
+            level, i, j = todo.pop()
+            if len(i) > step:
+                todo.append((level, i[step:], j[step:]))
+                i, j = i[:step], j[:step]
             fit = self._hopeful(level, i, j, percent)
             i, j = i[fit], j[fit]
             if not level:
-                break
-            child = np.arange(self.fan)
-            a = np.broadcast_to(i[:, None, None] * self.fan + child[:, None], (len(i), self.fan, self.fan)).reshape(-1)
-            b = np.broadcast_to(j[:, None, None] * self.fan + child, (len(j), self.fan, self.fan)).reshape(-1)
-            there = len(self.levels[level - 1][1])
-            keep = (a < there) & (b < there) & (a <= b)
-            i, j = a[keep], b[keep]
-        return self.order[i], self.order[j]
+                yield self.order[i], self.order[j]
+            elif len(i):
+                a = np.broadcast_to(i[:, None, None] * self.fan + child[:, None], (len(i), self.fan, self.fan)).reshape(-1)
+                b = np.broadcast_to(j[:, None, None] * self.fan + child, (len(j), self.fan, self.fan)).reshape(-1)
+                there = len(self.levels[level - 1][1])
+                keep = (a < there) & (b < there) & (a <= b)
+                todo.append((level - 1, a[keep], b[keep]))
 
     def matrix(self, percent: int) -> np.ndarray:
         near = np.zeros((len(self.order), len(self.order)), bool)
-        i, j = self.pairs(percent)
-        near[i, j] = near[j, i] = True
+        for i, j in self.pairs(percent):
+            near[i, j] = near[j, i] = True
         return near
 
 

@@ -74,6 +74,9 @@ def test_trees_leave_every_pair(percent):
     near = tree.matrix(percent)
     true = np.array([[100 * (k := len(np.intersect1d(a, b, True))) >= percent * (len(a) + len(b) - k) for b in sets] for a in sets])
     assert (near | ~true).all() and near.sum() < 0.4 * near.size
+    for step in (1, 7):  # however few node pairs are looked at together
+        found = [p for i, j in tree.pairs(percent, step) for p in zip(i.tolist(), j.tolist())]
+        assert len(found) == len(set(found)) and {(i, j) for i, j in found} | {(j, i) for i, j in found} == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
 
 
 def test_linked_sets_share_a_prefix(spark):
