@@ -268,3 +268,16 @@ def linked(docs: DataFrame, words: int = 4, percent: int = 85, cap: int = 256, s
     of = placed.join(least, "root").select("node", "component_id")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return sketch.join(of, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def linked_sql(words: int = 4, percent: int = 85) -> str:
+    """``linked`` in DuckDB SQL: an inverted index of all shingles, and every document that links reach."""
+    return f"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT rid, unnest(list_distinct(list_transform(range(1, greatest(len(w) - {words}, 0) + 2), lambda i: array_to_string(w[i : i + {words - 1}], ' ')))) AS s FROM docs WHERE len(w) > 0),
+sizes AS MATERIALIZED (SELECT rid, count(*) AS n FROM sets GROUP BY rid),
+common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM sets a JOIN sets b USING (s) WHERE a.rid <> b.rid GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+reach(rid, other) AS (SELECT rid, rid FROM sizes UNION SELECT r.rid, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, CASE WHEN z.n IS NULL THEN d.doc_id ELSE least_id END AS component_id
+FROM docs d LEFT JOIN sizes z USING (rid) LEFT JOIN (SELECT r.rid, min(o.doc_id) AS least_id FROM reach r JOIN docs o ON o.rid = r.other GROUP BY r.rid) USING (rid)"""

@@ -93,4 +93,10 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_mixing, op4_language_id, op5_minhash_dedup, op6_suffix_dedup, op7_html_extract, op8_byte_bpe, op9_edit_fingerprint, op10_license_scan, op11_ngram_join, op12_vector_codes, op13_source_divergence)}
-ORACLES = {"op2_quality_rules": quality_rules.rules_sql(), "op12_vector_codes": vector_codes.codes_sql(), "op13_source_divergence": source_divergence.divergence_sql()}
+ORACLES = {
+    "op2_quality_rules": quality_rules.rules_sql(),
+    "op5_minhash_dedup": f"SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM ({ngram_join.linked_sql(5, 85)})",
+    "op11_ngram_join": ngram_join.linked_sql(4, 85),
+    "op12_vector_codes": vector_codes.codes_sql(),
+    "op13_source_divergence": source_divergence.divergence_sql(),
+}

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import near_by_force
 
-from spectral_lake.llm import minhash, ngram_join, source_divergence, vector_codes
+from spectral_lake.llm import minhash, ngram_join, queries, source_divergence, vector_codes
 
 DOCS = "doc_id bigint, text string, lang string, source string, n string, value string, rk string"
 
@@ -230,3 +230,19 @@ def test_counts_do_not_depend_on_what_a_task_holds(spark, monkeypatch):
 
 def test_short_texts_are_one_shingle():
     assert len(minhash.shingle_set(b"a b c", 4)) == 1 and len(minhash.shingle_set(b"a b c d e", 4)) == 2
+
+
+@pytest.mark.parametrize("name", ["op5_minhash_dedup", "op11_ngram_join", "op12_vector_codes", "op13_source_divergence"])
+def test_same_rows_as_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = sorted(d[0] for d in want.description)
+    rows = collections.Counter(tuple(r[[d[0] for d in want.description].index(c)] for c in columns) for r in want.fetchall())
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == columns
+    assert collections.Counter(map(tuple, got.select(*columns).collect())) == rows and rows
