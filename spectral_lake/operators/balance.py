@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows that a task sorts, about: some 20 MB of five numbers each.
+ROWS_A_TASK = 1 << 18
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Into how many partitions to deal ``rows``, so that a task's share does not grow with them; a task for each core at least."""
+    return max(ceil(rows / ROWS_A_TASK), spark.sparkContext.defaultParallelism)
+
 
 def prefix_sums(df: DataFrame, key: str, weight: Column, width: int = 4096, name: str = "before") -> DataFrame:
     """``df`` with the sum of ``weight`` over all lesser keys; keys are distinct whole numbers.

@@ -99,11 +99,22 @@ def _chunk(path: str, layout: Layout, number: int) -> np.ndarray | None:
 # --- cells to chunks and back -----------------------------------------------------------
 
 
-def write_cells(cells: DataFrame, path: str, layouts: dict[str, Layout]) -> int:
+def _parts(layout: Layout) -> int:
+    """A partition for each chunk, up to 10,000."""
+    return max(1, min(prod(layout.grid), 10_000))
+
+
+def _by_chunk(df: DataFrame, parts: int) -> DataFrame:
+    """Chunks dealt in turn, as by a digest some tasks would have several."""
+    return df.repartitionById(parts, (F.col("chunk") % parts).cast("int"))
+
+
+def write_cells(cells: DataFrame, path: str, layouts: dict[str, Layout], parts: int | None = None) -> int:
     """Chunks of the arrays ``path/name`` from ``cells(chunk, place, <name>...)``; returns how many chunks have cells.
 
     ``chunk`` is a chunk's number and ``place`` a cell's within it, both in C order.  Of equal places the one of
-    greatest value stays.  Rows are sorted by chunk, so that a task holds one chunk at a time.
+    greatest value stays.  Rows are sorted by chunk, so that a task holds one chunk at a time; with ``parts`` for as many
+    chunks, it sorts one only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +141,8 @@ def write_cells(cells: DataFrame, path: str, layouts: dict[str, Layout]) -> int:
         yield pa.record_batch([pa.array(done, pa.int64())], names=["chunk"])
 
     names = [name or "value" for name in layouts]
-    ordered = cells.select("chunk", "place", *names).repartition("chunk").sortWithinPartitions("chunk", "place", *names)
+    dealt = cells.select("chunk", "place", *names)
+    ordered = (_by_chunk(dealt, parts) if parts else dealt.repartition("chunk")).sortWithinPartitions("chunk", "place", *names)
     return ordered.mapInArrow(run, "chunk bigint").count()
 
 
@@ -276,84 +288,101 @@ def write_csr(matrix: DataFrame, path: str, shape: tuple[int, int], rows_a_chunk
     """``matrix(pixel_idx, mz_idx, intensity)`` of distinct cells as the compressed sparse rows ``path``; returns its entries.
 
     ``path`` is a group of ``indptr``, ``indices`` and ``data`` with the attributes of a csr_matrix.  An entry's
-    place is its row's start plus its rank in the row; starts are prefix sums of two levels.  Rows
-    without entries repeat the start of the next.
+    place is the number of entries in lesser blocks of rows plus its rank in its own block.  Rows without
+    entries repeat the start of the next.  The matrix is computed once and held in the shared folder meanwhile.
     """
     rows, columns = shape
-    starts = row_starts(matrix)
     outside = F.raise_error(F.lit("a cell lies outside the matrix")).cast("bigint")
     inside = F.col("pixel_idx").between(0, rows - 1) & F.col("mz_idx").between(0, columns - 1)
-    rank = F.row_number().over(W.partitionBy("pixel_idx").orderBy("mz_idx", "intensity")) - 1
-    place = F.when(inside, F.col("start") + rank).otherwise(outside)
-    entries = matrix.select("pixel_idx", "mz_idx", "intensity").join(starts, "pixel_idx").select(F.col("mz_idx").alias("indices"), F.col("intensity").alias("data"), place.alias("at"))
-    total = starts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kinds = {"data": Layout((total,), (entries_a_chunk,)), "indices": Layout((total,), (entries_a_chunk,), "<i8")}
+    with storage.held(matrix.select(F.when(inside, F.col("pixel_idx")).otherwise(outside).alias("pixel_idx"), "mz_idx", "intensity")) as cells:
+        total = cells.count()
+        _write_entries(cells, path, rows, total, entries_a_chunk)
+        _write_indptr(cells, path, rows, total, rows_a_chunk)
+    _put(f"{path}/.zgroup", {"zarr_format": 2})
+    _put(f"{path}/.zattrs", {"encoding-type": "csr_matrix", "encoding-version": "0.1.0", "shape": [rows, columns]})
+    return total
+
+
+def _write_entries(cells: DataFrame, path: str, rows: int, total: int, size: int) -> None:
+    """``indices`` and ``data`` in chunks of ``size`` entries; blocks are of rows with 16,384 entries in the mean, of 4096 rows at most."""
+    kinds = {"data": Layout((total,), (size,)), "indices": Layout((total,), (size,), "<i8")}
     for name, layout in kinds.items():
         create(f"{path}/{name}", layout)
-    write_cells(entries.select(F.floor(F.col("at") / entries_a_chunk).alias("chunk"), (F.col("at") % entries_a_chunk).alias("place"), "data", "indices"), path, kinds)
-    # indptr: the number of entries before each row, and at the end all of them
-    ends = Layout((rows + 1,), (rows_a_chunk,), "<i8")
+    width = max(1, min(4096, 16_384 * rows // max(1, total)))
+    block = F.floor(F.col("pixel_idx") / width).alias("block")
+    sizes = cells.groupBy(block).agg(F.count("*").alias("n"))
+    before = balance.prefix_sums(sizes, "block", F.col("n")).select("block", "before")
+    dealt = cells.select(block, "pixel_idx", "mz_idx", "intensity").repartition(balance.tasks(cells.sparkSession, total), "block")
+    rank = F.row_number().over(W.partitionBy("block").orderBy("pixel_idx", "mz_idx", "intensity")) - 1
+    at = dealt.withColumn("rank", rank).join(before, "block").select((F.col("before") + F.col("rank")).alias("at"), F.col("intensity").alias("data"), F.col("mz_idx").alias("indices"))
+    write_cells(at.select(F.floor(F.col("at") / size).alias("chunk"), (F.col("at") % size).alias("place"), "data", "indices"), path, kinds, parts=_parts(kinds["data"]))
+
+
+def _write_indptr(cells: DataFrame, path: str, rows: int, total: int, size: int) -> None:
+    """The number of entries before each row, and at the end all of them.  A chunk's first row, of place -1, is its base."""
+    ends = Layout((rows + 1,), (size,), "<i8")
     create(f"{path}/indptr", ends)
-    block = F.floor(F.col("pixel_idx") / rows_a_chunk)
-    counts = starts.groupBy(block.alias("chunk")).agg(F.min("start").alias("base"), F.sum("n").alias("all"), F.collect_list(F.struct((F.col("pixel_idx") % rows_a_chunk).alias("k"), "n")).alias("rows"))
-    every = matrix.sparkSession.range(ends.grid[0]).withColumnRenamed("id", "chunk").join(counts, "chunk", "left")
-    before = F.sum(F.coalesce("all", F.lit(0))).over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))  # one row a chunk of indptr
-    every = every.withColumn("base", F.coalesce("base", before, F.lit(0))).select("chunk", "base", "rows")
+    spark = cells.sparkSession
+    counts = cells.repartition(balance.tasks(spark, total), "pixel_idx").groupBy("pixel_idx").agg(F.count("*").alias("n"))
+    own = counts.select(F.floor(F.col("pixel_idx") / size).alias("chunk"), (F.col("pixel_idx") % size).alias("place"), "n")
+    every = spark.range(ends.grid[0]).withColumnRenamed("id", "chunk").join(cells.groupBy(F.floor(F.col("pixel_idx") / size).alias("chunk")).agg(F.count("*").alias("n")), "chunk", "left")
+    bases = balance.prefix_sums(every, "chunk", F.col("n")).select("chunk", F.lit(-1).cast("bigint").alias("place"), F.col("before").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, base, held, done = None, 0, np.zeros(0, np.int64), []
+
+        def close() -> None:
+            if at is not None:
+                storage.write(f"{path}/indptr/{at}", ends.pack(base + np.cumsum(held) - held))
+                done.append(at)
+
         for b in batches:
-            done = []
-            for r in b.to_pylist():
-                n = np.zeros(rows_a_chunk, np.int64)
-                for x in r["rows"] or ():
-                    n[x["k"]] = x["n"]
-                storage.write(f"{path}/indptr/{r['chunk']}", ends.pack(r["base"] + np.concatenate([[0], np.cumsum(n)[:-1]])))
-                done.append(r["chunk"])
-            yield pa.record_batch([pa.array(done, pa.int64())], names=["chunk"])
+            chunk, place, many = (b.column(k).to_numpy() for k in ("chunk", "place", "n"))
+            edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if chunk[lo] != at:
+                    close()
+                    at, base, held, lo = int(chunk[lo]), int(many[lo]), np.zeros(size, np.int64), lo + 1
+                held[place[lo:hi]] = many[lo:hi]
+        close()
+        yield pa.record_batch([pa.array(done, pa.int64())], names=["chunk"])
 
-    every.repartition("chunk").mapInArrow(run, "chunk bigint").count()
-    _put(f"{path}/.zgroup", {"zarr_format": 2})
-    _put(f"{path}/.zattrs", {"encoding-type": "csr_matrix", "encoding-version": "0.1.0", "shape": [rows, columns]})
-    return total
+    _by_chunk(own.union(bases), _parts(ends)).sortWithinPartitions("chunk", "place").mapInArrow(run, "chunk bigint").count()
 
 
 def read_csr(spark: SparkSession, path: str) -> DataFrame:
-    """``matrix(pixel_idx, mz_idx, intensity)`` of compressed sparse rows: a task reads a chunk of entries and the rows that reach into it."""
+    """``matrix(pixel_idx, mz_idx, intensity)`` of compressed sparse rows: a task reads a chunk of entries and the chunks of row starts that reach into it."""
     ends, kinds = layout_of(f"{path}/indptr"), {name: layout_of(f"{path}/{name}") for name in ("data", "indices")}
-    size, n = kinds["data"].chunks[0], ends.grid[0]
+    size, n, total = kinds["data"].chunks[0], ends.grid[0], kinds["data"].shape[0]
     if kinds["indices"].chunks[0] != size:
         raise FormatError(f"{path}: chunks of indices and data differ")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def starts(c: int) -> np.ndarray:
+        """The starts of a chunk's rows, and the end of the last."""
+        own = _chunk(f"{path}/indptr", ends, c)[: ends.shape[0] - c * ends.chunks[0]]
+        return np.append(own, _chunk(f"{path}/indptr", ends, c + 1)[:1]) if c + 1 < n else own
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in (i for b in batches for i in b.column("id").to_pylist()):
-            own = _chunk(f"{path}/indptr", ends, c)[: ends.shape[0] - c * ends.chunks[0]]
-            following = _chunk(f"{path}/indptr", ends, c + 1)[:1] if c + 1 < n else own[:0]
-            v = np.concatenate([own, following])
-            full = np.flatnonzero(np.diff(v))
-            yield pa.record_batch([pa.array(full + c * ends.chunks[0]), pa.array(v[full]), pa.array(v[full + 1])], names=["pixel_idx", "start", "end"])
+            v = starts(c)
+            yield pa.record_batch([pa.array([c]), pa.array(v[:1]), pa.array(v[-1:])], names=["rows", "start", "end"])
 
-    of = spark.range(0, n, 1, numPartitions=n).mapInArrow(rows, "pixel_idx bigint, start bigint, end bigint")
-    met = of.select("pixel_idx", "start", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("chunk"))
+    of = spark.range(0, n, 1, numPartitions=_parts(ends)).mapInArrow(spans, "rows bigint, start bigint, end bigint").where("start < end")
+    met = of.select("rows", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias("chunk"))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, first, pixel = None, [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if at is None:
-                return
-            there = min(size, kinds["data"].shape[0] - at * size)
-            data, indices = (_chunk(f"{path}/{name}", kinds[name], at)[:there] for name in ("data", "indices"))
-            row = np.array(pixel)[np.searchsorted(np.array(first), np.arange(there) + at * size, "right") - 1]
-            for lo in range(0, there, 100_000):
-                yield pa.record_batch([pa.array(x[lo : lo + 100_000]) for x in (row, indices, data)], names=["pixel_idx", "mz_idx", "intensity"])
-
+        at, held = None, {}
         for b in batches:
-            for c, s, p in zip(*(b.column(k).to_pylist() for k in ("chunk", "start", "pixel_idx")), strict=True):
+            for c, r in zip(b.column("chunk").to_pylist(), b.column("rows").to_pylist(), strict=True):
                 if c != at:
-                    yield from close()
-                    at, first, pixel = c, [], []
-                first.append(s)
-                pixel.append(p)
-        yield from close()
-
-    return met.repartition("chunk").sortWithinPartitions("chunk", "start").mapInArrow(entries, "pixel_idx bigint, mz_idx bigint, intensity double")
+                    at, held = c, {name: _chunk(f"{path}/{name}", kinds[name], c) for name in ("indices", "data")}
+                v = starts(r)
+                first, last = max(int(v[0]), c * size), min(int(v[-1]), (c + 1) * size, total)
+                for lo in range(first, last, 100_000):
+                    hi = min(lo + 100_000, last)
+                    row = np.searchsorted(v, np.arange(lo, hi), "right") - 1 + r * ends.chunks[0]
+                    yield pa.record_batch([pa.array(row), *(pa.array(held[k][lo - c * size : hi - c * size]) for k in ("indices", "data"))], names=["pixel_idx", "mz_idx", "intensity"])
+
+    return _by_chunk(met, _parts(kinds["data"])).sortWithinPartitions("chunk", "rows").mapInArrow(entries, "pixel_idx bigint, mz_idx bigint, intensity double")

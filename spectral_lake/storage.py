@@ -143,6 +143,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as Parquet in the shared folder while the block runs: for steps that read it several times and end there."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back: lineage ends here, and a lost executor costs later tasks only."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"

@@ -1,6 +1,7 @@
 """Chunked arrays: sparse rows, rechunking, cells; against numpy and the table they came from."""
 
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -55,6 +56,32 @@ def test_many_entries_are_dealt_over_tasks(spark, tmp_path):
     assert len(list((tmp_path / "X" / "data").iterdir())) == 49 + 1
 
 
+def test_the_matrix_is_computed_once_and_entries_are_dealt_by_chunk(spark, tmp_path, monkeypatch):
+    """Steps read the matrix as held; a task sorts one chunk of entries, and nothing stays in the shared folder."""
+    seen, parts, real = spark.sparkContext.accumulator(0), [], z._by_chunk
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    def by_chunk(df, n):
+        dealt = real(df, n)
+        parts.append(dealt.groupBy(F.spark_partition_id()).agg(F.count_distinct("chunk")).toPandas().iloc[:, 1].tolist())
+        return dealt
+
+    df = spark.range(5000).select((F.col("id") % 300 * 3).alias("pixel_idx"), F.col("id").alias("mz_idx"), (F.col("id") + 0.5).alias("intensity"))
+    shared = Path(storage.shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    monkeypatch.setattr(z, "_by_chunk", by_chunk)
+    assert z.write_csr(df.mapInArrow(counted, df.schema), str(tmp_path / "X"), (900, 5000), 64, 512) == 5000
+    assert seen.value == 5000
+    assert sorted(parts[0]) == [1] * 10 and sorted(parts[1]) == [1] * 15
+    assert set(shared.iterdir()) == before
+    back = z.read_csr(spark, str(tmp_path / "X"))
+    assert back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
+
+
 @pytest.mark.parametrize("new", [(5, 7), (64, 1), (1, 64), (30, 30), (100, 90)])
 def test_rechunking(spark, tmp_path, new):
     values = np.random.default_rng(2).normal(size=(61, 83))
