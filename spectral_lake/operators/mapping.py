@@ -20,9 +20,18 @@ TOLERANCE = 1e-6
 MOST_SHIPPED = 1_000_000
 
 
-def map_exact(peaks: DataFrame, axis: DataFrame) -> DataFrame:
-    """Equality join; the same as the rule if every peak's m/z is on the axis."""
-    return peaks.join(axis, "mz")
+def map_exact(peaks: DataFrame, axis: DataFrame, parts: int | None = None) -> DataFrame:
+    """Equality join; the same as the rule if every peak's m/z is on the axis.
+
+    ``parts`` (see ``balance.tasks``): partitions by m/z, else as many as the session has for any input. They are dealt
+    by a digest, as a join on floating-point keys deals its input anew.
+    """
+    if not parts:
+        return peaks.join(axis, "mz")
+    own = peaks.withColumn("_key", F.xxhash64("mz")).repartition(parts, "_key").alias("p")
+    a = axis.select("mz_idx", F.col("mz").alias("_mz"), F.xxhash64("mz").alias("_key")).alias("a")
+    met = own.join(a, (F.col("p._key") == F.col("a._key")) & (F.col("mz") >= F.col("_mz")) & (F.col("mz") <= F.col("_mz")))
+    return met.select("mz", *[F.col(f"p.`{c}`") for c in peaks.columns if c != "mz"], "mz_idx")
 
 
 def map_bucketed(peaks: DataFrame, axis: DataFrame, tolerance: float = TOLERANCE, width: float = 1e-3) -> DataFrame:

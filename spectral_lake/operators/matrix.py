@@ -12,13 +12,16 @@ def last_in_spectrum(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy(*keys, "mz_idx").agg(F.max_by("intensity", F.struct("peak_pos", "intensity")).alias("intensity"))
 
 
-def assemble(mapped: DataFrame, positive_only: bool = False) -> DataFrame:
+def assemble(mapped: DataFrame, positive_only: bool = False, parts: int | None = None) -> DataFrame:
     """(pixel_idx, mz_idx, intensity); of several writes to a cell the last spectrum's last peak stays.
 
     Zeros are not stored; ``positive_only`` leaves out negative intensities too, before any is written.
+    ``parts`` (see ``balance.tasks``): partitions by pixel, in which cells are made and rows stay together.
     """
     if positive_only:
         mapped = mapped.where("intensity > 0")
+    if parts:
+        mapped = mapped.repartition(parts, "pixel_idx")
     cells = mapped.groupBy("pixel_idx", "mz_idx").agg(F.max_by("intensity", F.struct("spectrum_idx", "peak_pos", "intensity")).alias("intensity"))
     return cells.where("intensity <> 0")
 

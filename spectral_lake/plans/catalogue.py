@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import coords
-from ..operators import axis, images, mapping, matrix, metadata, ontology, selection, stats
+from ..operators import axis, balance, images, mapping, matrix, metadata, ontology, selection, stats
 from ..sources import adapters as src
 
 NX, NY = src.NX, src.NY
@@ -73,15 +73,18 @@ def _grid(spark, d) -> DataFrame:
     return images.grid(spark, NX, NY, _nz(spark, d))
 
 
+def _tasks(spark, d) -> int:
+    return balance.tasks(spark, src.read(spark, d, "lineitem").count())
+
+
 def _mapped(spark, d) -> tuple[DataFrame, DataFrame]:
-    p = src.peaks(spark, d)
-    a = axis.processed_axis(p)
-    return mapping.map_exact(p, a), a
+    n, a = _tasks(spark, d), axis.processed_axis(src.peaks(spark, d))
+    return mapping.map_exact(src.peaks(spark, d, n), a, n), a
 
 
 def _matrix(spark, d) -> tuple[DataFrame, DataFrame]:
     m, a = _mapped(spark, d)
-    return matrix.assemble(m.withColumn("pixel_idx", F.col("spectrum_idx"))), a
+    return matrix.assemble(m.withColumn("pixel_idx", F.col("spectrum_idx")), parts=_tasks(spark, d)), a
 
 
 def _tic(spark, d) -> DataFrame:

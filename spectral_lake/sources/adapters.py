@@ -13,11 +13,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as peaks: an order is a spectrum, its lines are its peaks in order."""
+def peaks(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Line items as peaks: an order is a spectrum, its lines are its peaks in order; ``parts``: partitions by spectrum in which they are numbered."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_quantity", "l_partkey")
     mz = F.lit(100.0).cast("double") + F.col("l_partkey") * F.lit(0.5).cast("double")
-    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("spectrum_idx"), (F.row_number().over(order) - 1).cast("bigint").alias("peak_pos"), mz.alias("mz"), F.col("l_quantity").alias("intensity"))
+    lines = read(spark, sf_dir, "lineitem")
+    lines = lines.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_partkey").repartition(parts, "l_orderkey") if parts else lines
+    return lines.select(F.col("l_orderkey").alias("spectrum_idx"), (F.row_number().over(order) - 1).cast("bigint").alias("peak_pos"), mz.alias("mz"), F.col("l_quantity").alias("intensity"))
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectral_lake.functions import coords
-from spectral_lake.operators import axis, images, mapping, matrix, metadata, ontology, stats
+from spectral_lake.operators import axis, balance, images, mapping, matrix, metadata, ontology, stats
+from spectral_lake.plans import catalogue
 
 
 def by_numpy(values, probes, tolerance=1e-6):
@@ -123,3 +124,30 @@ def test_the_next_axis_value_by_buckets(spark):
     assert mapping.map_next_bucketed(peaks, axis.limit(0)).collect() == []
     with pytest.raises(ResourceError):
         mapping.dense(peaks, mapping.MOST_SHIPPED + 1)
+
+
+def test_exact_mapping_in_stated_partitions(spark, monkeypatch):
+    """The join keeps the partitions it is given, and finds what the plain join finds."""
+    p = spark.createDataFrame([(i, i % 5, v, 1.0 * i) for i, v in enumerate([0.0, -0.0, 0.1 + 0.2, 0.3, 1e300, float("nan"), None, 7.0] * 40)], "spectrum_idx bigint, peak_pos bigint, mz double, intensity double")
+    a = axis.processed_axis(p.where("mz is not null"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain, dealt = mapping.map_exact(p, a), mapping.map_exact(p, a, 11)
+        assert dealt.columns == plain.columns
+        assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect()))
+        assert dealt.rdd.getNumPartitions() == 11
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["intensity_matrix_coo"])
+def test_tasks_of_the_matrix_grow_in_number_with_the_rows(spark, monkeypatch, name):
+    """The session has 4 partitions for any input; 6000 rows at 500 a task are 12, with the same result."""
+    run = lambda: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    one = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(balance, "ROWS_A_TASK", 500)
+    df = run()
+    assert df.rdd.getNumPartitions() == 12
+    assert sorted(map(tuple, df.collect())) == one
+    held = df.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert held.max() < 800
