@@ -291,7 +291,7 @@ def intensity_matrix_coo(spark, d):
 @query("SELECT spectrum_idx // 2 AS pixel_idx, mz_idx, arg_max(intensity, row(spectrum_idx, peak_pos, intensity)) AS intensity FROM mapped GROUP BY 1, 2", "mapped")
 def last_write_wins_matrix(spark, d):
     m, _ = _mapped(spark, d)
-    return matrix.assemble(m.withColumn("pixel_idx", F.floor(F.col("spectrum_idx") / 2).cast("bigint")))
+    return matrix.assemble(m.withColumn("pixel_idx", F.floor(F.col("spectrum_idx") / 2).cast("bigint")), parts=_tasks(spark, d))
 
 
 @query("SELECT spectrum_idx AS pixel_idx, i - 1 AS mz_idx, intensities[i] AS intensity FROM (SELECT *, unnest(range(1, len(intensities) + 1)) AS i FROM spectra) WHERE intensities[i] > 0", "spectra")

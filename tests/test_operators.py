@@ -140,7 +140,7 @@ def test_exact_mapping_in_stated_partitions(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["intensity_matrix_coo", "csr_rows"])
+@pytest.mark.parametrize("name", ["intensity_matrix_coo", "csr_rows", "last_write_wins_matrix"])
 def test_tasks_of_the_matrix_grow_in_number_with_the_rows(spark, monkeypatch, name):
     """The session has 4 partitions for any input; 6000 rows at 500 a task are 12, with the same result."""
     run = lambda: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
